@@ -169,17 +169,17 @@ def grow_subtrees(batches: Iterator[pa.RecordBatch], window: int, gram: int, lot
 
 
 def window_digests(batches: Iterator[pa.RecordBatch], window: int, gram: int) -> Iterator[pa.RecordBatch]:
-    """(k1, k2, at, bit, digest) of every window of the anchors of large groups."""
+    """(k1, k2, at, h, mask, digest) of every window of the anchors of large groups; with equal h and mask, equal digests are other places."""
     for batch in batches:
         out = []
-        for k1, k2, at, left, right in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("k1", "k2", "at", "left", "right")), strict=True):
+        for k1, k2, at, h, left, right in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("k1", "k2", "at", "h", "left", "right")), strict=True):
             before, after = left.encode().split(), right.encode().split()
             for r in range(gram, window + 1):
                 if r <= len(after) and window - r <= len(before):
-                    out.append((k1, k2, at, r - gram, hashlib.sha256(b" ".join(before[len(before) - window + r :] + after[:r])).digest()))
+                    out.append((k1, k2, at, h, 1 << (r - gram), hashlib.sha256(b" ".join(before[len(before) - window + r :] + after[:r])).digest()))
         if out:
             columns = zip(*out, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(x, type=t) for x, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], ["k1", "k2", "at", "bit", "digest"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, type=t) for x, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["k1", "k2", "at", "h", "mask", "digest"])
 
 
 def marked(docs: DataFrame, window: int, gram: int, group: int) -> DataFrame:
@@ -196,9 +196,9 @@ def marked(docs: DataFrame, window: int, gram: int, group: int) -> DataFrame:
     if large.limit(1).count():
         small = held.join(large.select("h"), "h", "left_anti").select(held.columns)
         big = held.join(large.select("h"), "h", "left_semi").select(held.columns)
-        digests = WorkTable(big.mapInArrow(lambda batches: window_digests(batches, window, gram), "k1 long, k2 long, at int, bit int, digest binary")).df
-        twice = digests.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
-        grown = digests.join(twice, "digest").groupBy("k1", "k2", "at").agg(F.bit_or(F.shiftleft(F.lit(1).cast("long"), F.col("bit"))).alias("mask"))
+        digests = WorkTable(big.mapInArrow(lambda batches: window_digests(batches, window, gram), "k1 long, k2 long, at int, h long, mask long, digest binary")).df
+        twice = digests.groupBy("h", "mask", "digest").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+        grown = digests.join(twice, ["h", "mask", "digest"]).groupBy("k1", "k2", "at").agg(F.bit_or("mask").alias("mask"))
     parts = small.repartition("h").sortWithinPartitions("h")
     out = parts.mapInArrow(lambda batches: grow_subtrees(batches, window, gram), marks)
     if large.limit(1).count():
