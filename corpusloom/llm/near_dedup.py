@@ -102,10 +102,35 @@ def verify(batches: Iterator[pa.RecordBatch], words: int, percent: int) -> Itera
         yield pa.RecordBatch.from_arrays([x.filter(pa.array(keep, pa.bool_())) for x in batch.columns[:2]], ["a", "b"])
 
 
-def components(links: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, root): the smallest node reachable, by alternating large and small stars until nothing changes."""
+#: Links that one task joins at most; more are joined by all tasks, in several passes.
+FEW_LINKS = 1_000_000
+
+
+def join_few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(b, a) for each node b of the links (a, b) but the smallest, a, of its component."""
+    up: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (y := up.setdefault(x, x)) != x:
+            up[x] = up.setdefault(y, y)
+            x = up[x]
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            a, b = sorted((top(a), top(b)))
+            up[b] = a
+    found = [(top(x), x) for x in up if top(x) != x]
+    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*found, strict=True) if found else ([], []))], ["a", "b"])
+
+
+def joined(links: DataFrame) -> DataFrame:
+    """(a, b): for each node b of the links but the smallest of its component, that smallest one, a."""
     edges = WorkTable(links.select("a", "b").distinct()).df
+    if edges.count() <= FEW_LINKS:
+        return edges.repartition(1).mapInArrow(join_few, "a long, b long")
     while True:
+        # alternating large and small stars, until nothing changes
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         # large star: neighbours above a node move to the smallest of its neighbourhood
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -117,9 +142,8 @@ def components(links: DataFrame, nodes: DataFrame) -> DataFrame:
         new = WorkTable(small.where("a <> b").select("a", "b").distinct()).df
         sums = lambda d: d.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if sums(new) == sums(edges):
-            break
+            return edges
         edges = new
-    return nodes.join(edges.select(F.col("b").alias("node"), F.col("a").alias("root")), "node", "left").select("node", F.coalesce("root", "node").alias("root"))
 
 
 def linked(signed: DataFrame, docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -132,28 +156,29 @@ def linked(signed: DataFrame, docs: DataFrame, words: int, percent: int) -> tupl
     wanted = members.select("node").distinct().join(classes.select("node", "k1", "k2"), "node")
     text = WorkTable(docs.select("k1", "k2", "text").join(wanted, ["k1", "k2"]).select("node", "text").dropDuplicates(["node"])).df
     nodes = WorkTable(members.select("node").distinct()).df
-    roots, links, take = nodes.select("node", F.col("node").alias("root")), None, 1
+    roots, take = nodes.select("node", F.col("node").alias("root")), 1
     while True:
         placed = members.join(roots, "node")
         # buckets that still hold several components
-        mixed = placed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("node").alias("head")).where("lo < hi")
-        open_ = WorkTable(placed.join(mixed, "bucket").select("bucket", "node", "root", "head")).df
+        mixed = placed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("bucket")
+        open_ = WorkTable(placed.join(mixed, "bucket").select("bucket", "node", "root")).df
         if not open_.limit(1).count():
             return classes, roots
-        if take == 1:
-            heads = open_.where("node = head").select("bucket", F.col("node").alias("a"), F.col("root").alias("root_a"))
-        else:  # the smallest of `take` parts of each bucket's members, so that a bucket ends after logarithmically many rounds
-            part = F.pmod(F.xxhash64("node"), F.lit(take))
-            firsts = open_.groupBy("bucket", part.alias("part")).agg(F.min(F.struct("node", "root")).alias("x"))
-            heads = firsts.select("bucket", F.col("x.node").alias("a"), F.col("x.root").alias("root_a"))
+        # the smallest of `take` parts of each bucket's members, so that a bucket ends after logarithmically many rounds
+        part = F.pmod(F.xxhash64("node"), F.lit(take))
+        heads = open_.groupBy("bucket", part.alias("part")).agg(F.min(F.struct("node", "root")).alias("x")).select("bucket", F.col("x.node").alias("a"), F.col("x.root").alias("root_a"))
+        heads = WorkTable(heads).df
         pairs = open_.join(heads, "bucket").where("root <> root_a and node <> a").select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
         left = pairs.join(text.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
         full = left.join(text.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b").sortWithinPartitions("a")
         found = WorkTable(full.mapInArrow(lambda batches: verify(batches, words, percent), "a long, b long")).df
-        links = found if links is None else links.unionByName(found)
-        members = WorkTable(open_.join(heads.select("bucket", F.col("a").alias("node")), ["bucket", "node"], "left_anti").select("bucket", "node")).df
-        roots = WorkTable(components(links, nodes)).df
-        take *= 2
+        # links between components join them; a new root takes the place of those it joins
+        named = [roots.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}")) for x in "ab"]
+        between = found.join(named[0], "a").join(named[1], "b").select(F.least("root_a", "root_b").alias("a"), F.greatest("root_a", "root_b").alias("b")).where("a <> b")
+        moved = joined(between).select(F.col("b").alias("root"), F.col("a").alias("new"))
+        roots = WorkTable(roots.join(moved, "root", "left").select("node", F.coalesce("new", "root").alias("root"))).df
+        members = open_.join(heads.select("bucket", F.col("a").alias("node")), ["bucket", "node"], "left_anti").select("bucket", "node")
+        take *= 4
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -15,6 +15,7 @@ labelled ones, 0 without any.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -129,7 +130,7 @@ def remainder(doc_id: str = "doc_id"):  # noqa: ANN201
     return F.crc32(F.col(doc_id).cast("long").cast("string").cast("binary")) % 5
 
 
-def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 6000, most_bytes: int = 32 << 20, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple:
+def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 6000, most_bytes: int = 20 << 20, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple:
     """(weights or None, bias or the constant score) from labelled rows outside the held-out fifth."""
     known = labels.select(F.col("doc_id").cast("long").alias("id"), F.col(label_col).alias("y")).where("id is not null and y is not null")
     known = known.groupBy("id").agg(F.max(F.when(F.col("y") == 1, 1).otherwise(0)).alias("y")).where(remainder("id") != 0)
@@ -142,10 +143,17 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 6000, most_bytes: i
     y = np.array([*chosen.values()])
     if not len(y) or y.min() == y.max():
         return None, float(y.mean()) if len(y) else 0.0
-    ids = docs.sparkSession.createDataFrame([(i,) for i in chosen], "id long")  # at most most_rows rows
-    rows = own.join(F.broadcast(ids), "id", "left_semi").dropDuplicates(["id"]).collect()
-    rows.sort(key=lambda r: r["id"])
-    return train([r["text"] for r in rows], np.array([chosen[r["id"]] for r in rows]))
+    ids = docs.sparkSession.createDataFrame([*chosen.items()], "id long, y int")  # at most most_rows rows
+    rows = own.join(F.broadcast(ids), "id").dropDuplicates(["id"]).repartition(1)  # at most most_bytes of text
+    return pickle.loads(rows.select("id", "y", "text").mapInArrow(train_task, "model binary").first()["model"])
+
+
+def train_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Trains on the rows (id, y, text) of the sample within a task, so that the driver's memory stays out of it."""
+    rows = sorted(r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+    if rows:
+        model = train([t for _, _, t in rows], np.array([y for _, y, _ in rows]))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
 
 
 def score_rows(batches: Iterator[pa.RecordBatch], weight: np.ndarray | None, bias: float) -> Iterator[pa.RecordBatch]:
