@@ -8,11 +8,12 @@ of 4, a pair at the threshold 0.75 shares none with probability (1 - 0.75^4)^32,
 about 5 in a million, and less the more alike it is.
 
 Documents with the same set form a class, and only classes go on.  In each bucket the
-first classes are compared with the others, twice as many in each round, and leave
-it; classes already in one component need no comparison, so a bucket of copies of one
-text is done after one round and no bucket's pairs are all emitted.  What remains
-goes on until nothing is left, without a cap.  Each link is confirmed on the full sets
-of the texts themselves.
+smallest class is first compared with the others; a bucket whose classes are then in
+one component is done, so a bucket of copies of one text costs one comparison a class.
+The classes of other buckets are cut into parts of about PART; every two parts meet in
+a task of their own, which tests their classes against each other and gives as many
+links as join them.  Nothing is capped: a link can only be missed by the bands.  Each
+link is confirmed on the full sets of the texts themselves.
 
 Null and empty texts have the empty set and link with nothing.  Fewer than `words`
 words make one shingle.  Rows with equal or null ids are documents of their own;
@@ -21,6 +22,7 @@ component_id is the smallest id of the component, nulls last.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +34,8 @@ from .common import Words, WorkTable, grams, keyed, mix, slices
 
 WORDS, BANDS, ROWS, PERCENT = 5, 32, 4, 75
 STEP = 0x9E3779B1
+#: Classes of a part of a bucket, on average; two parts meet in a task.
+PART = 256
 SIGNED = "k1 long, k2 long, doc_id long, n long, f1 long, f2 long, bands array<long>"
 
 
@@ -156,29 +160,87 @@ def linked(signed: DataFrame, docs: DataFrame, words: int, percent: int) -> tupl
     wanted = members.select("node").distinct().join(classes.select("node", "k1", "k2"), "node")
     text = WorkTable(docs.select("k1", "k2", "text").join(wanted, ["k1", "k2"]).select("node", "text").dropDuplicates(["node"])).df
     nodes = WorkTable(members.select("node").distinct()).df
-    roots, take = nodes.select("node", F.col("node").alias("root")), 1
-    while True:
-        placed = members.join(roots, "node")
-        # buckets that still hold several components
-        mixed = placed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("bucket")
-        open_ = WorkTable(placed.join(mixed, "bucket").select("bucket", "node", "root")).df
-        if not open_.limit(1).count():
-            return classes, roots
-        # the smallest of `take` parts of each bucket's members, so that a bucket ends after logarithmically many rounds
-        part = F.pmod(F.xxhash64("node"), F.lit(take))
-        heads = open_.groupBy("bucket", part.alias("part")).agg(F.min(F.struct("node", "root")).alias("x")).select("bucket", F.col("x.node").alias("a"), F.col("x.root").alias("root_a"))
-        heads = WorkTable(heads).df
-        pairs = open_.join(heads, "bucket").where("root <> root_a and node <> a").select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
-        left = pairs.join(text.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-        full = left.join(text.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b").sortWithinPartitions("a")
-        found = WorkTable(full.mapInArrow(lambda batches: verify(batches, words, percent), "a long, b long")).df
-        # links between components join them; a new root takes the place of those it joins
-        named = [roots.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}")) for x in "ab"]
-        between = found.join(named[0], "a").join(named[1], "b").select(F.least("root_a", "root_b").alias("a"), F.greatest("root_a", "root_b").alias("b")).where("a <> b")
-        moved = joined(between).select(F.col("b").alias("root"), F.col("a").alias("new"))
-        roots = WorkTable(roots.join(moved, "root", "left").select("node", F.coalesce("new", "root").alias("root"))).df
-        members = open_.join(heads.select("bucket", F.col("a").alias("node")), ["bucket", "node"], "left_anti").select("bucket", "node")
-        take *= 4
+    roots = nodes.select("node", F.col("node").alias("root"))
+    # first each bucket's smallest class against the others
+    heads = members.groupBy("bucket").agg(F.min("node").alias("a"))
+    pairs = members.join(heads, "bucket").where("node <> a").select("a", F.col("node").alias("b")).distinct()
+    left = pairs.join(text.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
+    full = left.join(text.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b").sortWithinPartitions("a")
+    roots = moved(roots, WorkTable(full.mapInArrow(lambda batches: verify(batches, words, percent), "a long, b long")).df)
+    # then what shares a bucket and isn't joined yet, part against part
+    placed = members.join(roots, "node")
+    mixed = placed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("m")).where("lo < hi").select("bucket", F.ceil(F.col("m") / PART).alias("parts"))
+    open_ = placed.join(mixed, "bucket").withColumn("part", F.pmod(F.xxhash64("node"), "parts")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    open_ = open_.select("bucket", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "node", "root").join(text, "node").select("bucket", "lo", "hi", "node", "root", "text")
+    met = open_.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
+    found = WorkTable(met.mapInArrow(lambda batches: verify_parts(batches, words, percent), "a long, b long")).df
+    return classes, moved(roots, found)
+
+
+def moved(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """roots once links between their nodes have joined them."""
+    named = [roots.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}")) for x in "ab"]
+    between = links.join(named[0], "a").join(named[1], "b").select(F.least("root_a", "root_b").alias("a"), F.greatest("root_a", "root_b").alias("b")).where("a <> b")
+    news = joined(between).select(F.col("b").alias("root"), F.col("a").alias("new"))
+    return WorkTable(roots.join(news, "root", "left").select("node", F.coalesce("new", "root").alias("root"))).df
+
+
+def overlaps(sets: list[set[bytes]], slab: int = 4096) -> np.ndarray:
+    """Sizes of the intersections of all sets, over slabs of the members that several share."""
+    count = Counter(x for s in sets for x in s)
+    number = {x: i for i, x in enumerate(x for x, n in count.items() if n > 1)}
+    own = [np.sort(np.fromiter((number[x] for x in s if x in number), np.int64)) for s in sets]
+    row, column = np.repeat(np.arange(len(sets)), [*map(len, own)]), np.concatenate(own)
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    out = np.zeros((len(sets), len(sets)), np.float32)
+    for a in range(0, len(number), slab):
+        i, j = np.searchsorted(column, (a, a + slab))
+        held = np.zeros((len(sets), slab), np.float32)
+        held[row[i:j], column[i:j] - a] = 1
+        out += held @ held.T
+    return out.astype(np.int64)
+
+
+def verify_parts(batches: Iterator[pa.RecordBatch], words: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) that join the rows (bucket, lo, hi, node, root, text) of each pair of parts, sorted by them: all pairs are tested, and no more links given than join them."""
+
+    def solve(rows: list[tuple]) -> list[tuple[int, int]]:
+        up = {r[4]: r[4] for r in rows}
+
+        def top(x: int) -> int:
+            while up[x] != x:
+                x = up[x] = up[up[x]]
+            return x
+
+        if len(up) < 2:
+            return []
+        sets, out = [exact_set(r[5], words) for r in rows], []
+        size = np.fromiter(map(len, sets), np.int64, len(sets))
+        both = overlaps(sets)
+        near = (both > 0) & (100 * both >= percent * (size[:, None] + size[None] - both))
+        for i, j in zip(*np.nonzero(np.triu(near, 1)), strict=True):
+            x, y = top(rows[i][4]), top(rows[j][4])
+            if x != y:
+                up[y] = x
+                out.append((rows[i][3], rows[j][3]))
+        return out
+
+    held: list[tuple] = []
+    for batch in batches:
+        found = []
+        for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if held and held[0][:3] != r[:3]:
+                found += solve(held)
+                held = []
+            held.append(r)
+        yield links_of(found)
+    if held:
+        yield links_of(solve(held))
+
+
+def links_of(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*pairs, strict=True) if pairs else ([], []))], ["a", "b"])
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -305,7 +305,9 @@ def shingles(text: str) -> set:
     return set() if not own else {tuple(own)} if len(own) < 5 else {tuple(own[i : i + 5]) for i in range(len(own) - 4)}
 
 
-def test_near_dedup(spark):
+@pytest.mark.parametrize("part", [256, 3])
+def test_near_dedup(spark, monkeypatch, part):
+    monkeypatch.setattr(near_dedup, "PART", part)
     r = random.Random(9)
     table = rows()[:-4]
     base = [f"w{r.randrange(10**6)}" for _ in range(120)]
