@@ -51,7 +51,7 @@ def ends_solid(text: str) -> bool:
 class PieceEncoder:
     """ids of pieces, each distinct one encoded once while it stays in a bounded store."""
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -125,7 +125,7 @@ class PieceEncoder:
         return ids, at[np.searchsorted(cuts, bounds)]
 
 
-def encoder(path: str, most: int = 400_000) -> PieceEncoder:
+def encoder(path: str, most: int = 1_000_000) -> PieceEncoder:
     """The worker's encoder of a vocabulary file."""
     key = (path, most)
     if key not in _encoders:
