@@ -1,9 +1,11 @@
 """Exact BPE over whole texts by pieces that no token can cross.
 
 A hard boundary stands before an ASCII white-space byte that follows a byte that is
-surely not white space.  Neither pre-tokenizer pattern can match across it or look
-back over it, so a text's ids are the ids of its pieces end to end.  Distinct pieces
-are encoded once per worker and looked up from then on.
+surely not white space, and before a stop or comma that follows an ASCII letter or
+digit.  Neither pre-tokenizer pattern can match across it or look back over it, no
+special token's text holds one, and no composed character spans one, so a text's ids
+are the ids of its pieces end to end.  Distinct pieces are encoded once per worker and
+looked up from then on; a word is the same piece with a stop after it or without.
 """
 
 from __future__ import annotations
@@ -19,6 +21,11 @@ from .common import SPACE, gather_runs
 DOUBTFUL = np.zeros(256, dtype=bool)
 DOUBTFUL[list(range(0x1C, 0x20))] = True
 DOUBTFUL[SPACE] = True
+STOP = np.zeros(256, dtype=bool)
+STOP_TEXT = ",.;:!?"
+STOP[[ord(c) for c in STOP_TEXT]] = True
+ALNUM = np.zeros(256, dtype=bool)
+ALNUM[[c for c in range(128) if chr(c).isalnum()]] = True
 
 _encoders: dict[tuple[str, int], PieceEncoder] = {}
 
@@ -31,6 +38,7 @@ def hard_boundaries(data: np.ndarray) -> np.ndarray:
     at = at[data[at - 1] >= 0x80]
     doubt = (data[np.maximum(at - 2, 0)] == 0xC2) | ((data[np.maximum(at - 3, 0)] >= 0xE1) & (data[np.maximum(at - 3, 0)] <= 0xE3))
     cut[at[doubt]] = False
+    cut[1:] |= STOP[data[1:]] & ALNUM[data[:-1]]
     return cut
 
 
@@ -43,9 +51,11 @@ def pieces_of(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, pa.Array]
 SPACE_TEXT = "\x20\x09\x0a\x0b\x0c\x0d"
 
 
-def ends_solid(text: str) -> bool:
-    """Whether a hard boundary can follow the text."""
-    return text[-1].isalnum() or "!" <= text[-1] <= "~"
+def parted(left: str, right: str) -> bool:
+    """Whether a hard boundary surely stands between two pieces put end to end."""
+    if right[0] in SPACE_TEXT:
+        return left[-1].isalnum() or "!" <= left[-1] <= "~"
+    return right[0] in STOP_TEXT and left[-1].isascii() and left[-1].isalnum()
 
 
 class PieceEncoder:
@@ -90,11 +100,11 @@ class PieceEncoder:
         return np.fromiter(map(where.__getitem__, values), np.int64, len(values))
 
     def encode_new(self, pieces: list[bytes], together: int = 128) -> tuple[np.ndarray, np.ndarray]:
-        """(ids end to end, how many each piece has); pieces that begin at a hard boundary are encoded many at a time."""
+        """(ids end to end, how many each piece has); pieces with hard boundaries between them are encoded many at a time."""
         groups: list[list[str]] = [[]]
         whole = [x.decode("utf-8", "replace") for x in pieces]
         for x in whole:
-            if len(groups[-1]) >= together or (groups[-1] and not (x[0] in SPACE_TEXT and ends_solid(groups[-1][-1]))):
+            if len(groups[-1]) >= together or (groups[-1] and not parted(groups[-1][-1], x)):
                 groups.append([])
             groups[-1].append(x)
         flat, sizes = [], []
