@@ -1,7 +1,7 @@
 """Adaptive context-mixing range coder for token ids.
 
 A block is coded by itself: models start empty, and a header carries the number of
-ids and their crc32.  Its ids are dealt to up to 2048 lanes, each a run of
+ids and their crc32.  Its ids are dealt to up to 4096 lanes, each a run of
 consecutive ids with a range coder of its own.  At step t every lane codes its t-th
 id under one model shared by the block, which then learns from all of them, so one
 numpy operation advances every lane.
@@ -22,7 +22,7 @@ import numpy as np
 
 MAGIC = b"CMX1"
 HEAD = struct.Struct("<4sIIII")  # magic, alphabet, ids, lanes, crc32
-LANES = 2048
+LANES = 4096
 STEPS = 64  # a lane is this long at least, but for short blocks
 TOP_BITS, COUNT_BITS, TABLE_BITS = 8, 20, 18
 SHIFT, HALF = np.uint64(TOP_BITS + COUNT_BITS), np.uint64(32)

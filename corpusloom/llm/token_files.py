@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from . import bpe, range_coder
 from .common import NULL_ID, conf_int, offsets_of, slices, texts, work_dir
 
-BLOCK_IDS = 1 << 18
+BLOCK_IDS = 1 << 19
 BLOCKS = "file int, block int, start long, n_ids long, runs binary, payload binary"
 RUNS = "file int, ordinal long, doc_id long, part long, doc_start long, n_ids long, crc long"
 
