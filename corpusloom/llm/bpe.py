@@ -1,29 +1,34 @@
 """Exact BPE over whole texts by pieces that no token can cross.
 
 A hard boundary stands before an ASCII white-space byte that follows a byte that is
-surely not white space, and before a stop or comma that follows an ASCII letter or
-digit.  Neither pre-tokenizer pattern can match across it or look back over it, no
+surely not white space, and before an ASCII mark but | that follows an ASCII letter
+or digit.  Neither pre-tokenizer pattern can match across it or look back over it, no
 special token's text holds one, and no composed character spans one, so a text's ids
 are the ids of its pieces end to end.  Distinct pieces are encoded once per worker and
-looked up from then on; a word is the same piece with a stop after it or without.
+looked up from then on; a word is the same piece with a mark after it or without.
+Where the vocabulary lower-cases, ASCII letters are folded before that, save those that
+a combining mark may follow and those of special tokens' texts in any case, and white
+space becomes a blank.
 """
 
 from __future__ import annotations
 
+import json
 import os
 
 import numpy as np
 import pyarrow as pa
 
-from .common import SPACE, gather_runs
+from .common import LOWER, SPACE, gather_runs
 
 #: Bytes that may end a Unicode white-space character, or a control some patterns take for white space: no hard boundary after these.
 DOUBTFUL = np.zeros(256, dtype=bool)
 DOUBTFUL[list(range(0x1C, 0x20))] = True
 DOUBTFUL[SPACE] = True
 STOP = np.zeros(256, dtype=bool)
-STOP_TEXT = ",.;:!?"
+STOP_TEXT = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{}~"
 STOP[[ord(c) for c in STOP_TEXT]] = True
+FOLD = np.where(SPACE, np.uint8(0x20), LOWER)
 ALNUM = np.zeros(256, dtype=bool)
 ALNUM[[c for c in range(128) if chr(c).isalnum()]] = True
 
@@ -42,6 +47,19 @@ def hard_boundaries(data: np.ndarray) -> np.ndarray:
     return cut
 
 
+def folded(data: np.ndarray, whole: list[bytes]) -> np.ndarray:
+    """White space as blanks; letters in lower case, but before a byte over 0x7F, at the end, and where that would make one of the texts `whole`."""
+    stays = np.append(data[1:] >= 0x80, True) & ~SPACE[data]
+    out = np.where(stays, data, FOLD[data])
+    raw = FOLD[data].tobytes()
+    for x in whole:
+        at = raw.find(x)
+        while at >= 0:
+            out[at : at + len(x)] = data[at : at + len(x)]
+            at = raw.find(x, at + 1)
+    return out
+
+
 def pieces_of(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, pa.Array]:
     """(index of each piece, distinct pieces) of the byte ranges between sorted cuts, first and last included."""
     coded = pa.Array.from_buffers(pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(cuts.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
@@ -69,6 +87,9 @@ class PieceEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.most = most
+        held = json.loads(self.tokenizer.to_str())["normalizer"] or {}
+        self.folds = [x["type"] for x in held.get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]
+        self.specials = [FOLD[np.frombuffer(x.content.encode(), np.uint8)].tobytes() for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.vocab = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.clear()
 
@@ -124,6 +145,8 @@ class PieceEncoder:
         """(ids of all texts end to end, first id of each text with the end appended); bounds: the texts' byte offsets."""
         if not len(data):
             return np.zeros(0, np.uint32), np.zeros(len(bounds), np.int64)
+        if self.folds:
+            data = folded(data, self.specials)
         cut = hard_boundaries(data)
         cut[bounds[bounds < len(data)]] = True
         cuts = np.append(np.flatnonzero(cut), len(data))

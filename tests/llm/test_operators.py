@@ -390,3 +390,20 @@ def test_scores_carry_state_across_windows():
             want += np.log10(0.95 * np.exp(net.outputs(state, np.array([t]))[0]) + 0.05 / 16)
             previous = t
         assert abs(score - want) < 1e-3
+
+
+def test_pieces_give_the_librarys_ids_around_marks_case_and_special_tokens():
+    import random
+
+    from corpusloom.llm.common import offsets_of
+
+    draw = random.Random(4)
+    letters = "abABJTY1_-$|<>.,;:!?'s̸̈̊̇\x1c ́éÅ٣ \n\t"
+    held = ["<|ENDOFTEXT|> <|endOfText|>,a<|startoftext|>B", "x<|endoftext|>.y", "J̌ H̱ Y̊ İ Á aJ", "a_B-c$$$ D|E|f&&&", "X≠", "DON'T I'LL x'S", "1,234.56:7", ""]
+    held += ["".join(draw.choice(letters) for _ in range(draw.randrange(80))) for _ in range(1500)]
+    bounds, data = offsets_of(pa.array(held))
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        coder = bpe.PieceEncoder(public_tokenizers.path(name))
+        ids, at = coder.encode(data, bounds)
+        want = coder.tokenizer.encode_batch(held, add_special_tokens=False)
+        assert [ids[a:b].tolist() for a, b in zip(at, at[1:], strict=False)] == [x.ids for x in want]
