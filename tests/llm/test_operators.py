@@ -12,7 +12,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from corpusloom.llm import block_naming, chunk_bpe, common, cutting_stock, gru_lm, line_dedup, near_dedup, range_coder, substring_dedup, token_files, topk_search, toxicity
+from corpusloom.llm import block_naming, bpe, chunk_bpe, common, cutting_stock, gru_lm, line_dedup, near_dedup, range_coder, substring_dedup, token_files, topk_search, toxicity
 
 WORD, BYTE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, k1 string, row string, h long, node string"
@@ -393,8 +393,6 @@ def test_scores_carry_state_across_windows():
 
 
 def test_pieces_give_the_librarys_ids_around_marks_case_and_special_tokens():
-    import random
-
     from corpusloom.llm.common import offsets_of
 
     draw = random.Random(4)
