@@ -370,6 +370,26 @@ def test_gru(spark):
     assert sum(x["score"] for x in held) > 0.75 * sum(x["base_score"] for x in held)  # both below 0
 
 
+def test_gru_trains_on_rows_of_every_id_and_size(spark):
+    docs = spark.createDataFrame([(None, "a b c " * 20)] * 3 + [(0, "w " * (3 << 20))], "doc_id long, text string")  # 0 isn't held out
+    _, lexicon, net = gru_lm.fit(docs)
+    assert lexicon.total == 3 * 61 + (3 << 20) + 1 and net is not None
+    base = gru_lm.Network(3).x
+    assert all((net.x[lexicon.token[lexicon.words.index(w)]] != base[lexicon.token[lexicon.words.index(w)]]).any() for w in (b"w", b"a", b"b", b"c"))
+
+
+def test_gru_vocabulary_and_training_grow_with_the_corpus():
+    words = [str(i).encode() for i in range(30_000)]
+    lexicon = gru_lm.Lexicon(words, np.full(30_000, 3000), 90_000_000, 30_000, 10)
+    assert np.count_nonzero(lexicon.token) == lexicon.side**2 - 2 > 20_000
+    r = np.random.default_rng(0)
+    docs = [np.append(r.integers(2, 900, n), gru_lm.END).astype(np.int32) for n in r.integers(0, 60, 4000)]
+    batch = pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in docs], pa.binary())], ["tokens"])
+    net = gru_lm.Network(3)
+    out = list(gru_lm.train_task(iter([batch, batch]), gru_lm.packed(net, gru_lm.squares_of(net)), gru_lm.CLASSES))
+    assert {x["n"] for y in out for x in y.to_pylist()} == {2 * sum(map(len, docs))}
+
+
 def test_gru_distribution_sums_to_one():
     net = gru_lm.Network(1, classes=4, in_class=4, hidden=5)
     states = np.random.default_rng(0).normal(0, 1, (3, 5)).astype(np.float32)
