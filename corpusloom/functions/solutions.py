@@ -44,4 +44,5 @@ def extract_target(template: Column, solution: Column) -> Column:
 
 def is_trivial(tokens: Column) -> Column:
     """Whether tokens, leading NEWLINEs off, only raise NotImplementedError()."""
-    return F.array_join(F.filter(tokens, lambda x: x != "NEWLINE"), " ") == " ".join(TRIVIAL_TOKENS)
+    start = F.array_position(F.transform(tokens, lambda x: x != "NEWLINE"), True)
+    return F.when(start > 0, F.slice(tokens, F.greatest(start, F.lit(1)).cast("int"), F.greatest(F.size(tokens), F.lit(1))) == F.array(*map(F.lit, TRIVIAL_TOKENS))).otherwise(False)

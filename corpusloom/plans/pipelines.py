@@ -53,7 +53,7 @@ def graded(notebooks: DataFrame, max_nl_distance: int = 3, max_tokens: int = 120
 
 
 def choose_solution(rows: DataFrame, max_tokens: int = 120) -> DataFrame:
-    """A target for each question: the last passed row with outputs, else the first passed; its template; what was added to it."""
+    """A target for each question: the last passed row with outputs, else the first passed; its template, from the question's rows or else by checksum from all; what was added to it."""
     position = Window.partitionBy("question").orderBy("nb_index", "cell_index")
     placed = rows.withColumn("pos", F.row_number().over(position))
     rank = F.struct((~F.col("from_output_nb")).alias("late"), F.when(F.col("from_output_nb"), -F.col("pos")).otherwise(F.col("pos")).alias("pos"))
@@ -61,13 +61,19 @@ def choose_solution(rows: DataFrame, max_tokens: int = 120) -> DataFrame:
     target = F.struct("source", "nb_index", "cell_index", "path", "repo", "code", F.col("nl").alias("nl"))
     groups = placed.groupBy("question").agg(
         F.count_if(solution).alias("n_solutions"), F.max(solution & F.col("is_instructor_answer")).alias("instructor"), F.min_by(F.when(passed, target), F.when(passed, rank)).alias("target"),
+        F.min_by(F.when(passed, F.struct("nbgrader", "cell_type")), F.when(passed, rank)).alias("mark"),
         F.min_by(F.when(~solution, F.col("source")), F.when(~solution, F.col("pos"))).alias("template"),
     )
+    lacking = groups.where(F.col("template").isNull() & F.col("mark").isNotNull()).select("question", "mark.nbgrader", "mark.cell_type")
+    released = G.boilerplates_by_checksum(lacking, rows).groupBy("question").agg(F.min("released").alias("released"))
+    groups = groups.join(released, "question", "left").withColumn("template", F.coalesce("template", "released"))
     found = instructor_answers(placed.where(solution))
     own = groups.join(found, "question", "left").withColumn("added", F.when(F.col("template").isNotNull(), S.extract_target(F.col("template"), F.col("target.source"))))
     blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
     extracted = F.when(F.coalesce("instructor", F.lit(False)), F.col("span")).otherwise(F.col("added"))
     own = own.withColumn("extracted", extracted).withColumn("extracted_tokens", C.analyze(F.coalesce("extracted", F.lit("")))["code_tokens"])
+    tokens = C.analyze(F.coalesce("template", F.lit("")))["code_tokens"]
+    own = own.withColumn("template_tokens", F.when(F.col("template").isNotNull(), tokens)).withColumn("template_tokens", F.when(S.is_trivial(F.col("template_tokens")), F.array().cast("array<string>")).otherwise(F.col("template_tokens")))
     status = (
         F.when(F.col("n_solutions") == 0, "only boiler")
         .when(F.col("instructor"), F.when(F.coalesce("span_rows", F.lit(0)) >= 2, "success").when(F.col("span_rows") == 1, "only 1 solution").otherwise("no span"))
@@ -75,7 +81,7 @@ def choose_solution(rows: DataFrame, max_tokens: int = 120) -> DataFrame:
     )
     out = own.withColumn("status", status)
     long = F.coalesce(F.size("extracted_tokens"), F.lit(0)) > max_tokens
-    return out.withColumn("status", F.when((F.col("status") == "success") & long, "longer than the token limit").otherwise(F.col("status"))).select("question", "status", "target", "template", "extracted", "extracted_tokens", "n_solutions")
+    return out.withColumn("status", F.when((F.col("status") == "success") & long, "longer than the token limit").otherwise(F.col("status"))).select("question", "status", "target", "template", "template_tokens", "extracted", "extracted_tokens", "n_solutions")
 
 
 def instructor_answers(solutions: DataFrame) -> DataFrame:

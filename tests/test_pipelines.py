@@ -1,8 +1,10 @@
+import hashlib
 import json
 
 import pytest
 from pyspark.sql import functions as F
 
+from corpusloom.functions import solutions as S
 from corpusloom.operators import cells as K
 from corpusloom.operators import dedup as D
 from corpusloom.plans import pipelines
@@ -60,6 +62,22 @@ def test_graded(spark, tmp_path):
     assert pipelines.outcomes(pipelines.graded(data)).collect()[0]["n"] == 1
 
 
+def test_graded_finds_the_template_of_another_question_by_checksum(spark, tmp_path):
+    empty = "# YOUR CODE HERE\nraise NotImplementedError()"
+    released = lambda name: hashlib.md5(f"{empty}codeFalseTrueFalse{name}".encode()).hexdigest()
+    mark = lambda name: {"nbgrader": {"grade": False, "solution": True, "locked": False, "grade_id": name, "checksum": released(name)}}
+    check = {"nbgrader": {"grade": True, "solution": False, "locked": True, "grade_id": "t", "points": 1.0, "checksum": "x"}}
+    book = lambda i, text, answer, name: nb(i, [cell("markdown", text), cell("code", answer, metadata=mark(name)), cell("code", "assert k()", metadata=check)])
+    data = notebooks(spark, tmp_path, [book(1, "first", empty, "a"), book(2, "second", "k = 2", "b")])
+    got = {r["n_solutions"]: r for r in pipelines.graded(data).collect()}
+    assert got[0]["status"] == "only boiler" and (got[1]["status"], got[1]["template"], got[1]["extracted"], got[1]["template_tokens"]) == ("success", empty, "k = 2", [])
+
+
+def test_trivial_templates(spark):
+    rows = [(t,) for t in (["NEWLINE", *S.TRIVIAL_TOKENS], S.TRIVIAL_TOKENS, ["x", *S.TRIVIAL_TOKENS], [*S.TRIVIAL_TOKENS, "NEWLINE"], ["NEWLINE"], [])]
+    assert [r[0] for r in spark.createDataFrame(rows, "t array<string>").coalesce(1).select(S.is_trivial(F.col("t"))).collect()] == [True, True, False, False, False, False]
+
+
 def test_exercise(spark, tmp_path):
     same = [cell("markdown", "the first"), None, cell("markdown", "and the second"), cell("markdown", "to the end")]
     book = lambda i, repo, path, code: nb(i, [c or cell("code", code) for c in same], repo, path)
