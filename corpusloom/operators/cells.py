@@ -91,6 +91,13 @@ def nearest_markdown(cells: DataFrame, distance: int, name: str = "nl") -> DataF
     return cells.withColumn(name, F.last(F.when(is_markdown() & is_valid(), F.col("source")), ignorenulls=True).over(near))
 
 
+def markdown_distance(cells: DataFrame, distance: int, name: str = "nl_distance") -> DataFrame:
+    """How far above the cell of nearest_markdown() is; 0 without one."""
+    near = in_order().rowsBetween(-distance, -1)
+    at = F.last(F.when(is_markdown() & is_valid(), F.col("cell_index")), ignorenulls=True).over(near)
+    return cells.withColumn(name, F.coalesce(F.col("cell_index") - at, F.lit(0)))
+
+
 def test_outcomes(rows: DataFrame, is_test: Column, passed: Column, has_outputs: Column, keys: list[str], order: list[str]) -> DataFrame:
     """test_below_passed: outcome of the nearest test below, null without one; from_output_nb: whether any test below has outputs."""
     below = Window.partitionBy(*keys).orderBy(*order).rowsBetween(1, Window.unboundedFollowing)

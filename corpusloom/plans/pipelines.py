@@ -45,10 +45,10 @@ def graded(notebooks: DataFrame, max_nl_distance: int = 3, max_tokens: int = 120
     cells = G.mark_cells(K.explode_cells(notebooks))
     test = F.col("grading") == "autograder tests"
     cells = K.test_outcomes(cells, test, K.cell_passed(F.col("execution_count"), F.col("outputs")), F.size("outputs") > 0, ["nb_index"], ["cell_index"])
-    cells = K.nearest_markdown(K.markdown_within(cells, max_nl_distance), max_nl_distance)
+    cells = K.markdown_distance(K.nearest_markdown(K.markdown_within(cells, max_nl_distance), max_nl_distance), max_nl_distance)
     own = cells.where(F.col("nbgrader").isNotNull() & K.is_code() & (F.col("grading") == "autograded code") & F.col("has_markdown"))
     own = own.withColumn("source", X.print_calls(X.strip_magics(F.col("source"))))
-    rows = of_kept_logic(analyzed(own).where(F.col("code.parses") | F.col("is_boilerplate"))).withColumn("question", F.concat_ws("\x01", F.coalesce("nl", F.lit("")), F.coalesce("nbgrader.checksum", F.lit("dummy-checksum"))))
+    rows = of_kept_logic(analyzed(own).where(F.col("code.parses") | F.col("is_boilerplate"))).withColumn("question", F.concat_ws("\x01", F.coalesce("nl", F.lit("")), "nl_distance", F.coalesce("nbgrader.checksum", F.lit("dummy-checksum"))))
     return choose_solution(rows, max_tokens)
 
 
@@ -103,10 +103,10 @@ def exercise(notebooks: DataFrame, max_tokens: int = 120, percent: int = 50) ->
     keyed = cells.withColumn("nb", F.struct("repo", "path"))
     both = pairs.select(F.struct("repo", F.col("solution_path").alias("path")).alias("a"), F.struct("repo", F.col("submission_path").alias("path")).alias("b"))
     changed = D.positional_diff(both, keyed)
-    context = K.nearest_markdown(cells, 11111).select(F.struct("repo", "path").alias("a"), "cell_index", "nl", "nb_index")
-    rows = changed.join(context, ["a", "cell_index"]).select(F.col("a.repo").alias("repo"), F.col("a.path").alias("path"), F.col("b.path").alias("boilerplate_path"), "nb_index", "cell_index", "nl", F.col("source_a").alias("source"), F.col("source_b").alias("boilerplate"))
+    context = K.markdown_distance(K.nearest_markdown(cells, 11111), 11111).select(F.struct("repo", "path").alias("a"), "cell_index", "nl", "nl_distance", "nb_index")
+    rows = changed.join(context, ["a", "cell_index"]).select(F.col("a.repo").alias("repo"), F.col("a.path").alias("path"), F.col("b.path").alias("boilerplate_path"), "nb_index", "cell_index", "nl", "nl_distance", F.col("source_a").alias("source"), F.col("source_b").alias("boilerplate"))
     rows = of_kept_logic(rows.withColumn("code", C.analyze(F.col("source"))).where("code.parses"))
-    return vote(rows.withColumn("group", F.coalesce("nl", F.array_join("code.comments", " "), F.lit("yo"))), max_tokens)
+    return vote(rows.withColumn("group", F.concat_ws("\x01", F.coalesce("nl", F.nullif(F.array_join("code.comments", " "), F.lit("")), F.lit("yo")), "nl_distance")), max_tokens)
 
 
 def vote(rows: DataFrame, max_tokens: int = 120) -> DataFrame:

@@ -86,6 +86,19 @@ def test_exercise(spark, tmp_path):
     assert [(r["status"], r["target"], r["boilerplate"], r["n_repos"]) for r in out] == [("success", "s = 1", "b = 0", 2)]
 
 
+def test_cells_under_one_heading_are_questions_of_their_own(spark, tmp_path):
+    book = lambda repo, path, a, b: nb(0, [cell("markdown", "the first and the last"), cell("code", a), cell("code", b), *(cell("markdown", f"and the {x} to the end") for x in "abc")], repo, path)
+    nbs = [book(r, p, *c) for r in ("r1", "r2") for p, c in (("hw_solution.ipynb", ("s = 1", "t = [2]")), ("hw.ipynb", ("b = 0", "b = 1")))]
+    out = pipelines.exercise(notebooks(spark, tmp_path, nbs)).collect()
+    assert sorted((r["status"], r["target"], r["boilerplate"]) for r in out) == [("success", "s = 1", "b = 0"), ("success", "t = [2]", "b = 1")]
+
+
+def test_graded_cells_without_checksum_under_one_heading(spark, tmp_path):
+    mark = {"nbgrader": {"grade": False, "solution": True, "locked": False, "grade_id": "a"}}
+    data = notebooks(spark, tmp_path, [nb(1, [cell("markdown", "do both"), cell("code", "k = 1", metadata=mark), cell("code", "m = 2", metadata=mark)])])
+    assert [r["n_solutions"] for r in pipelines.graded(data).collect()] == [1, 1]
+
+
 def test_dedup_and_split(spark):
     df = spark.createDataFrame([(1, ["a"]), (2, ["a"]), (3, []), (4, None), (5, ["b"])], "id long, code array<string>")
     assert [r["id"] for r in D.first_by(df, F.col("code"), ["id"]).orderBy("id").collect()] == [1, 5]
