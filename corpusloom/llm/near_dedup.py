@@ -257,9 +257,10 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The input's rows and columns, one row of each component."""
-    kept = near_duplicates(docs, id_col=id_col, text_col=text_col).where("kept").select("k1", "k2")
-    rows = keyed(docs, id_col, text_col).select("k1", "k2", "row")
-    return rows.join(kept, ["k1", "k2"]).dropDuplicates(["k1", "k2"]).select("row.*")  # rows alike in id and text are copies
+    kept = near_duplicates(docs, id_col=id_col, text_col=text_col).where("kept").select("k1", "k2", (F.col("n_shingles") == 0).alias("blank")).distinct()
+    rows = keyed(docs, id_col, text_col).select("k1", "k2", "row").join(kept, ["k1", "k2"])
+    alone = F.when(F.col("blank"), F.monotonically_increasing_id())  # blank rows link with nothing; others alike in id and text are copies
+    return rows.withColumn("alone", alone).dropDuplicates(["k1", "k2", "alone"]).select("row.*")
 
 
 def op10(docs: DataFrame) -> DataFrame:

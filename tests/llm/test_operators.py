@@ -390,6 +390,13 @@ def test_gru_vocabulary_and_training_grow_with_the_corpus():
     assert {x["n"] for y in out for x in y.to_pylist()} == {2 * sum(map(len, docs))}
 
 
+def test_near_dedup_keeps_every_blank_row(spark):
+    table = [(None, " ", "a"), (None, " ", "b"), (7, None, "c"), (7, "", "d"), (8, "one two three four five six", "e"), (8, "one two three four five six", "f")]
+    out = near_dedup.keep_one(spark.createDataFrame(table, "doc_id long, text string, source string").repartition(3)).collect()
+    sources = sorted(r["source"] for r in out)
+    assert sources[:4] == ["a", "b", "c", "d"] and len(sources) == 5
+
+
 def test_gru_distribution_sums_to_one():
     net = gru_lm.Network(1, classes=4, in_class=4, hidden=5)
     states = np.random.default_rng(0).normal(0, 1, (3, 5)).astype(np.float32)
