@@ -72,7 +72,7 @@ def benchmark_leaks(s: SparkSession, d: str) -> DataFrame:
 
     Passages of fewer than ten words have no such run and are found by the words of
     their own that stand whole in any document that holds them; those of one or two
-    words are no passage.
+    words are looked for in every document.
     """
     run = lambda c: F.transform(F.sequence(F.lit(1), F.size(c) - 7), lambda i: F.array_join(F.slice(c, i, 8), " "))
     items = table(s, d, "benchmark").where("text <> ''").select("item_id", F.col("text").alias("passage"), X.words(F.col("text")).alias("w"))
@@ -82,7 +82,9 @@ def benchmark_leaks(s: SparkSession, d: str) -> DataFrame:
     hits = found.where(F.contains("text", F.col("passage"))).select("doc_id", "item_id")
     middle = items.where("size(w) between 3 and 9").select("item_id", "passage", F.get("w", F.lit(1)).alias("word"))
     by_word = docs.select("doc_id", "text", F.explode(F.array_distinct("w")).alias("word")).join(middle, "word").where(F.contains("text", F.col("passage"))).select("doc_id", "item_id")
-    return hits.unionByName(by_word).distinct()
+    short = F.broadcast(items.where("size(w) between 1 and 2").select("item_id", "passage"))
+    by_text = docs.join(short, F.contains("text", F.col("passage"))).select("doc_id", "item_id")
+    return hits.unionByName(by_word).unionByName(by_text).distinct()
 
 
 def benchmark_anti(s: SparkSession, d: str) -> DataFrame:

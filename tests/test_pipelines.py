@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import solutions as S
 from corpusloom.operators import cells as K
 from corpusloom.operators import dedup as D
-from corpusloom.plans import pipelines
+from corpusloom.plans import pipelines, queries
 from corpusloom.sources import records
 from corpusloom.streaming import first_records
 
@@ -99,6 +99,12 @@ def test_graded_cells_without_checksum_under_one_heading(spark, tmp_path):
     assert [r["n_solutions"] for r in pipelines.graded(data).collect()] == [1, 1]
 
 
+def test_leaks_of_short_passages(spark, tmp_path):
+    spark.createDataFrame([(1, "secret word"), (2, "alone"), (3, "not there")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([(1, "a secret word, standalone"), (2, "nothing"), (3, None)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert sorted(map(tuple, queries.benchmark_leaks(spark, str(tmp_path)).collect())) == [(1, 1), (1, 2)]
+
+
 def test_dedup_and_split(spark):
     df = spark.createDataFrame([(1, ["a"]), (2, ["a"]), (3, []), (4, None), (5, ["b"])], "id long, code array<string>")
     assert [r["id"] for r in D.first_by(df, F.col("code"), ["id"]).orderBy("id").collect()] == [1, 5]
