@@ -149,15 +149,19 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+#: Multipliers without structure: with those in arithmetic progression, "a b b a" and "b a a b" would collide.
+GRAM_ODDS = mix(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
+
+
 def grams(hashes: np.ndarray, k: int, seed: int = 1) -> np.ndarray:
-    """Fingerprints of all runs of k words: one fewer than k shorter than the input."""
+    """Fingerprints of all runs of k words (64 at most): k - 1 fewer than words."""
     n = len(hashes) - k + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
     out = np.zeros(n, np.uint64)
+    spread = mix(hashes + np.uint64(seed))
     for j in range(k):
-        odd = np.uint64((0xA0761D6478BD642F * (2 * j + 2 * seed + 1) | 1) & (2**64 - 1))
-        out += mix(hashes[j : j + n] + np.uint64(j + 1)) * odd if j == 0 else (hashes[j : j + n] ^ (hashes[j : j + n] >> np.uint64(33))) * odd
+        out += spread[j : j + n] * GRAM_ODDS[j]
     return mix(out)
 
 
