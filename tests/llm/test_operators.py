@@ -374,7 +374,7 @@ def test_gru_trains_on_rows_of_every_id_and_size(spark):
     docs = spark.createDataFrame([(None, "a b c " * 20)] * 3 + [(0, "w " * (3 << 20))], "doc_id long, text string")  # 0 isn't held out
     _, lexicon, net = gru_lm.fit(docs)
     assert lexicon.total == 3 * 61 + (3 << 20) + 1 and net is not None
-    base = gru_lm.Network(3).x
+    base = gru_lm.Network(3, edges=lexicon.edges).x
     assert all((net.x[lexicon.token[lexicon.words.index(w)]] != base[lexicon.token[lexicon.words.index(w)]]).any() for w in (b"w", b"a", b"b", b"c"))
 
 
@@ -386,7 +386,7 @@ def test_gru_vocabulary_and_training_grow_with_the_corpus():
     docs = [np.append(r.integers(2, 900, n), gru_lm.END).astype(np.int32) for n in r.integers(0, 60, 4000)]
     batch = pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in docs], pa.binary())], ["tokens"])
     net = gru_lm.Network(3)
-    out = list(gru_lm.train_task(iter([batch, batch]), gru_lm.packed(net, gru_lm.squares_of(net)), gru_lm.CLASSES))
+    out = list(gru_lm.train_task(iter([batch, batch]), gru_lm.packed(net, gru_lm.squares_of(net)), net.edges))
     assert {x["n"] for y in out for x in y.to_pylist()} == {2 * sum(map(len, docs))}
 
 
@@ -404,6 +404,41 @@ def test_gru_distribution_sums_to_one():
     assert np.allclose(total, 1, atol=1e-5)
 
 
+def test_gru_slopes_are_those_of_finite_differences():
+    net = gru_lm.Network(4, edges=np.array([0, 1, 3, 8]), hidden=3)
+    for n in net.NAMES:
+        setattr(net, n, getattr(net, n).astype(np.float64))
+    r = np.random.default_rng(2)
+    inputs, targets, real = r.integers(0, 8, (6, 2)), r.integers(0, 8, (6, 2)), np.ones((6, 2), bool)
+    real[4:, 1] = False
+
+    def loss() -> float:
+        state, total = np.zeros((2, 3)), 0.0
+        for t in range(6):
+            state = net.step(net.x[inputs[t]] + net.b, state)[0]
+            total -= net.outputs(state, targets[t])[real[t]].sum()
+        return total
+
+    want = {}
+    for n in net.NAMES:
+        held = getattr(net, n)
+        slope = np.zeros_like(held)
+        for i in np.ndindex(held.shape):
+            own = held[i]
+            held[i] = own + 1e-5
+            up = loss()
+            held[i] = own - 1e-5
+            slope[i] = (up - loss()) / 2e-5
+            held[i] = own
+        want[n] = slope
+    before = {n: getattr(net, n).copy() for n in net.NAMES}
+    squares = {n: np.full_like(before[n], 1e12) for n in net.NAMES}  # so large that a step is the slope, scaled
+    net.learn(inputs, targets, real, np.zeros((2, 3)), squares, 1e6)
+    for n in net.NAMES:
+        got = 2 * (before[n] - getattr(net, n))  # learn divides by the lanes
+        assert np.allclose(got, np.clip(want[n], -2, 2), atol=1e-4), n
+
+
 def test_scores_carry_state_across_windows():
     net = gru_lm.Network(2, classes=4, in_class=4, hidden=5)
     r = np.random.default_rng(1)
