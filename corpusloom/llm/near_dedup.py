@@ -7,13 +7,14 @@ orders them for coordinate k: signature[k] = min(pi(sigma(x) - k step)).  Bands
 of 4, a pair at the threshold 0.75 shares none with probability (1 - 0.75^4)^32,
 about 5 in a million, and less the more alike it is.
 
-Documents with the same set form a class, and only classes go on.  In each bucket the
+Documents with the same sequence of words, told by its sha256, form a class, and only
+classes go on; those that have one set in different orders are linked like others.  In each bucket the
 smallest class is first compared with the others; a bucket whose classes are then in
 one component is done, so a bucket of copies of one text costs one comparison a class.
 The classes of other buckets are cut into parts of about PART; every two parts meet in
 a task of their own, which tests their classes against each other and gives as many
 links as join them.  Nothing is capped: a link can only be missed by the bands.  Each
-link is confirmed on the full sets of the texts themselves.
+link between classes is confirmed on the full sets of the texts themselves.
 
 Null and empty texts have the empty set and link with nothing.  Fewer than `words`
 words make one shingle.  Rows with equal or null ids are documents of their own;
@@ -22,6 +23,7 @@ component_id is the smallest id of the component, nulls last.
 
 from __future__ import annotations
 
+import hashlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -36,7 +38,7 @@ WORDS, BANDS, ROWS, PERCENT = 5, 32, 4, 75
 STEP = 0x9E3779B1
 #: Classes of a part of a bucket, on average; two parts meet in a task.
 PART = 256
-SIGNED = "k1 long, k2 long, doc_id long, n long, f1 long, f2 long, bands array<long>"
+SIGNED = "k1 long, k2 long, doc_id long, n long, seq binary, bands array<long>"
 
 
 def shingle_hashes(w: Words, hashes: np.ndarray, i: int, words: int) -> np.ndarray:
@@ -65,12 +67,11 @@ def sign(batches: Iterator[pa.RecordBatch], words: int, bands: int, rows: int) -
     for batch in slices(batches):
         w = Words(batch.column(3), lower=True)
         hashes = w.hashes()
-        n, f1, f2, keys = [], [], [], []
-        for i in range(batch.num_rows):
+        n, seq, keys = [], [], []
+        for i, text in enumerate(batch.column(3).to_pylist()):
             members = shingle_hashes(w, hashes, i, words)
             n.append(len(members))
-            f1.append(members.sum(dtype=np.uint64) if len(members) else 0)
-            f2.append(mix(members ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64) if len(members) else 0)
+            seq.append(hashlib.sha256(b" ".join(text.encode().lower().split())).digest())
             if len(members):
                 sig = signature(members, bands * rows).astype(np.uint64).reshape(bands, rows)
                 key = mark.copy()
@@ -80,8 +81,8 @@ def sign(batches: Iterator[pa.RecordBatch], words: int, bands: int, rows: int) -
             else:
                 keys.append(np.zeros(0, np.int64))
         at = np.cumsum([0, *map(len, keys)]).astype(np.int32)
-        long = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
-        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(n, pa.int64()), long(f1), long(f2), pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(keys)))], ["k1", "k2", "doc_id", "n", "f1", "f2", "bands"])
+        bands_ = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(keys)))
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(n, pa.int64()), pa.array(seq, pa.binary()), bands_], ["k1", "k2", "doc_id", "n", "seq", "bands"])
 
 
 def exact_set(text: str, words: int) -> set[bytes]:
@@ -151,9 +152,9 @@ def joined(links: DataFrame) -> DataFrame:
 
 
 def linked(signed: DataFrame, docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(classes: node, n, f1, f2; the nodes' roots)."""
-    some = signed.where("n > 0").groupBy("n", "f1", "f2").agg(F.min(F.struct("k1", "k2")).alias("first"), F.any_value("bands").alias("bands"))
-    classes = WorkTable(some.select(F.monotonically_increasing_id().alias("node"), "n", "f1", "f2", "first.k1", "first.k2", "bands")).df
+    """(classes: node, seq; the nodes' roots)."""
+    some = signed.where("n > 0").groupBy("seq").agg(F.min(F.struct("k1", "k2")).alias("first"), F.any_value("bands").alias("bands"))
+    classes = WorkTable(some.select(F.monotonically_increasing_id().alias("node"), "seq", "first.k1", "first.k2", "bands")).df
     held = classes.select("node", F.explode("bands").alias("bucket"))
     shared = held.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1").select("bucket")
     members = WorkTable(held.join(shared, "bucket")).df
@@ -248,9 +249,9 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     own = keyed(docs, id_col, text_col)
     signed = WorkTable(own.select("k1", "k2", "doc_id", "text").mapInArrow(lambda batches: sign(batches, words, bands, rows), SIGNED)).df
     classes, roots = linked(signed, own, words, percent)
-    named = classes.select("n", "f1", "f2", "node").join(roots, "node", "left").select("n", "f1", "f2", F.coalesce("root", "node").alias("root"))
-    rows_ = signed.select(F.monotonically_increasing_id().alias("uid"), "k1", "k2", "doc_id", "n", "f1", "f2")
-    placed = WorkTable(rows_.join(named, ["n", "f1", "f2"], "left").select("uid", "k1", "k2", "doc_id", "n", F.coalesce("root", -1 - F.col("uid")).alias("root"))).df
+    named = classes.select("seq", "node").join(roots, "node", "left").select("seq", F.coalesce("root", "node").alias("root"))
+    rows_ = signed.select(F.monotonically_increasing_id().alias("uid"), "k1", "k2", "doc_id", "n", "seq")
+    placed = WorkTable(rows_.join(named, "seq", "left").select("uid", "k1", "k2", "doc_id", "n", F.coalesce("root", -1 - F.col("uid")).alias("root"))).df
     heads = placed.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.min(F.struct(F.col("doc_id").isNull().alias("late"), F.col("doc_id"), F.col("k2"), F.col("uid"))).alias("head"))
     return placed.join(heads, "root").select("k1", "k2", "doc_id", F.col("n").alias("n_shingles"), "component_id", (F.col("uid") == F.col("head.uid")).alias("kept"))
 
