@@ -24,8 +24,9 @@ BUILTINS = frozenset(dir(builtins)) | frozenset(keyword.kwlist) | OLD_BUILTINS
 # What normalised code puts in place of strings, functions, arguments and locals.
 STRING, FUNCTION, ARGUMENT, LOCAL = "jupyter_string", "method_name", "arg", "loc"
 LINES = 10
+NO_CALLS = "NO_API_SEQUENCE"
 
-RESULT = "parses boolean, code_tokens array<string>, token_types array<string>, code_tokens_clean array<string>, code_tokens_normalized array<string>, code_tokens_normalized_trunc array<string>, code_tokens_partial_normalized_trunc array<string>, comments array<string>, docstring array<string>, api_sequence array<string>"
+RESULT = "parses boolean, code_tokens array<string>, token_types array<string>, code_tokens_clean array<string>, code_tokens_normalized array<string>, code_tokens_normalized_trunc array<string>, code_tokens_partial_normalized_trunc array<string>, comments array<string>, docstring array<string>, api_sequence array<string>, api_sequence_declared array<string>"
 
 Token = tuple[str, str]
 
@@ -165,6 +166,7 @@ class AlikeNames(AlikeStrings):
     def __init__(self) -> None:
         self.arguments: dict[str, str] = {}
         self.locals: dict[str, str] = {}
+        self.assigning = 0
 
     def visit_FunctionDef(self, node: ast.FunctionDef) -> ast.AST:
         node.name = FUNCTION
@@ -173,13 +175,14 @@ class AlikeNames(AlikeStrings):
         return self.generic_visit(node)
 
     def visit_Assign(self, node: ast.Assign) -> ast.AST:
-        for target in node.targets:
-            for x in target.elts if isinstance(target, (ast.Tuple, ast.List)) else [target]:
-                if isinstance(x, ast.Name):
-                    self.locals[x.id] = f"{LOCAL}{len(self.locals)}"
-        return self.generic_visit(node)
+        self.assigning += 1
+        out = self.generic_visit(node)
+        self.assigning -= 1
+        return out
 
     def visit_Name(self, node: ast.Name) -> ast.AST:
+        if self.assigning and isinstance(node.ctx, ast.Store):  # targets of any depth, and loops inside the value
+            self.locals[node.id] = f"{LOCAL}{len(self.locals)}"
         name = self.arguments.get(node.id) or self.locals.get(node.id) or node.id
         return ast.copy_location(ast.Name(name, node.ctx), node)
 
@@ -224,42 +227,61 @@ def free_names(code: str) -> set[str]:
     return loaded - stored
 
 
-def analyze_one(code: str | None, declarations: bool = False) -> dict | None:
-    """All fields of RESULT; parses alone where anything fails."""
+def analyze_one(code: str | None) -> dict | None:
+    """All fields of RESULT; parses alone where anything fails.
+
+    code_tokens are those of the code as it stands, code_tokens_clean those of the
+    whole code spelt anew; the normalised ones leave imports out and keep one function.
+    """
     if code is None:
         return None
     try:
         tokens = tokens_of(code)
         comments, docstring = comments_of(tokens)
-        body = ast.unparse(single_function(ast.parse(code)))
-        own = tokens_of(body)
-        plain = clean(own, strings=False)
-        alike = clean(tokens_of(normalized(body)))
-        partial = clean(tokens_of(normalized(body, names=False)))
-        calls = api_calls(tokens, declarations)
+        tree = ast.parse(code)
+        whole = clean(tokens_of(ast.unparse(tree)))
+        body = ast.unparse(single_function(tree))
+        own, alike = tokens_of(body), tokens_of(normalized(body))
+        named = lambda x: x or ([NO_CALLS] if alike else [])
         return {
-            "parses": True, "code_tokens": plain, "token_types": [k for _, k in own], "code_tokens_clean": clean(own, comments=True), "code_tokens_normalized": alike, "code_tokens_normalized_trunc": first_lines(alike),
-            "code_tokens_partial_normalized_trunc": first_lines(partial), "comments": comments, "docstring": docstring, "api_sequence": calls or (["NO_API_SEQUENCE"] if alike else []),
+            "parses": True, "code_tokens": [t for t, _ in tokens], "token_types": [k for _, k in tokens], "code_tokens_clean": whole, "code_tokens_normalized": [t for t, _ in alike] or None,
+            "code_tokens_normalized_trunc": first_lines(clean(alike, comments=True, strings=False)) if alike else None, "code_tokens_partial_normalized_trunc": first_lines(clean(own, comments=True)) if own else None,
+            "comments": comments, "docstring": docstring, "api_sequence": named(api_calls(tokens)), "api_sequence_declared": named(api_calls(tokens, True)),
         }
     except Exception:  # noqa: BLE001 - code that can't be analysed has no fields
         return {"parses": parses(code)}
 
 
-def analyze(code: Column, declarations: bool = False) -> Column:
-    """Struct RESULT, computed once a row: the UDF is marked as not deterministic so that no projection repeats it."""
+def analyze(code: Column) -> Column:
+    """Struct RESULT, computed once a row: the UDF is marked as not deterministic so that no projection repeats it; null for null."""
     fields = [f.split()[0] for f in RESULT.split(", ")]
 
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for s in parts:
-            rows = [analyze_one(x, declarations) or {} for x in s]
+            rows = [analyze_one(x) or {} for x in s]
             yield pd.DataFrame({f: [r.get(f) for r in rows] for f in fields}, columns=fields)
 
     return F.pandas_udf(run, RESULT).asNondeterministic()(code)
 
 
+def plain_tokens(code: Column) -> Column:
+    """Tokens of code that need not parse, strings made alike and comments dropped; null where it can't be tokenized."""
+
+    def run(s: pd.Series) -> pd.Series:
+        out = []
+        for x in s:
+            try:
+                out.append(None if x is None else clean(tokens_of(x)))
+            except Exception:  # noqa: BLE001 - whatever the tokenizer raises
+                out.append(None)
+        return pd.Series(out, dtype=object)
+
+    return F.pandas_udf(run, "array<string>").asNondeterministic()(code)
+
+
 def logic_type(boilerplate: Column, api_sequence: Column, tokens: Column, least: int = 0, most: int = 15) -> Column:
     """What kind of code a cell is; the length of its API sequence is judged before its definitions."""
-    n = F.size(F.filter(api_sequence, lambda x: x != "NO_API_SEQUENCE"))
+    n = F.size(F.filter(api_sequence, lambda x: x != NO_CALLS))
     defs = F.size(F.filter(tokens, lambda x: x == "def"))
     return (
         F.when(F.coalesce(boilerplate, F.lit(False)), "boilerplate").when(n > most, f"api seq longer than {most}").when(n < least, f"api seq shorter than {least}")

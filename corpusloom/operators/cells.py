@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..functions.language import has_code_tag
 
 def in_order() -> WindowSpec:
     return Window.partitionBy("nb_index").orderBy("cell_index")
@@ -50,6 +51,32 @@ def python_notebooks(notebooks: DataFrame) -> DataFrame:
     return notebooks.where(kernel_name(F.col("metadata.kernelspec")).isin("python", "python2"))
 
 
+def is_python_notebook(kernelspec: Column, version: int | None = None) -> Column:
+    """By the kernel's language, or for a version by its name (python3)."""
+    told = kernelspec["language"] == "python" if version is None else kernelspec["name"] == f"python{version}"
+    return F.coalesce(told, F.lit(False))
+
+
+def make_cell(kind: Column, lines: Column) -> Column:
+    """A cell as it stands in a notebook, from an array of lines."""
+    return F.struct(kind.alias("cell_type"), F.array_join(lines, "\n").alias("source"), F.lit(None).cast("bigint").alias("execution_count"), F.array().cast("array<struct<output_type:string>>").alias("outputs"))
+
+
+def with_code_tags(cells: DataFrame) -> DataFrame:
+    """Cells of notebooks in which some markdown renders to HTML with a code tag; a notebook's answer is found before its cells are."""
+    tagged = cells.where(is_markdown() & F.contains("source", F.lit("`")) | is_markdown() & F.contains("source", F.lit("~~~"))).where(has_code_tag(F.col("source"))).select("nb_index").distinct()
+    return cells.join(tagged, "nb_index", "left_semi")
+
+
+def without_sources(cells: DataFrame, sources: list[str]) -> DataFrame:
+    return cells.where(~F.col("source").isin(*sources)) if sources else cells
+
+
+def repos_with_cells(cells: DataFrame) -> DataFrame:
+    """Cells of each repo that has one at least, and its notebooks."""
+    return cells.groupBy("repo").agg(F.count("*").alias("n_cells"), F.count_distinct("path").alias("n_notebooks"))
+
+
 def in_languages(df: DataFrame, language: Column, wanted: tuple[str, ...] = ("English", "un")) -> DataFrame:
     return df.where(language.isin(*wanted))
 
@@ -86,9 +113,10 @@ def markdown_within(cells: DataFrame, distance: int, name: str = "has_markdown")
     return cells.withColumn(name, F.coalesce(F.max(is_markdown()).over(near), F.lit(False)))
 
 
-def nearest_markdown(cells: DataFrame, distance: int, name: str = "nl") -> DataFrame:
+def nearest_markdown(cells: DataFrame, distance: int, name: str = "nl", value: str = "source") -> DataFrame:
+    """`value` of the nearest markdown above that isn't empty, at most `distance` cells away."""
     near = in_order().rowsBetween(-distance, -1)
-    return cells.withColumn(name, F.last(F.when(is_markdown() & is_valid(), F.col("source")), ignorenulls=True).over(near))
+    return cells.withColumn(name, F.last(F.when(is_markdown() & is_valid(), F.col(value)), ignorenulls=True).over(near))
 
 
 def markdown_distance(cells: DataFrame, distance: int, name: str = "nl_distance") -> DataFrame:
@@ -99,11 +127,12 @@ def markdown_distance(cells: DataFrame, distance: int, name: str = "nl_distance"
 
 
 def test_outcomes(rows: DataFrame, is_test: Column, passed: Column, has_outputs: Column, keys: list[str], order: list[str]) -> DataFrame:
-    """test_below_passed: outcome of the nearest test below, null without one; from_output_nb: whether any test below has outputs."""
+    """test_below_passed: outcome of the nearest test below, null without one; from_output_nb: whether any test below has outputs; any_test_below."""
     below = Window.partitionBy(*keys).orderBy(*order).rowsBetween(1, Window.unboundedFollowing)
     return rows.withColumns({
         "test_below_passed": F.first(F.when(is_test, passed), ignorenulls=True).over(below),
         "from_output_nb": F.coalesce(F.max(is_test & has_outputs).over(below), F.lit(False)),
+        "any_test_below": F.coalesce(F.max(is_test).over(below), F.lit(False)),
     })
 
 
@@ -119,12 +148,14 @@ def exploded_context(cells: DataFrame, targets: DataFrame, length: int) -> DataF
     return targets.join(above, "nb_index").where(distance.between(1, length)).withColumn("distance_target", distance)
 
 
-def with_context(cells: DataFrame, length: int, fields: list[str]) -> DataFrame:
-    """`context`: the valid cells at most `length` above, nearest first, and `num_cells_above`."""
-    held = F.when(is_valid(), F.struct(F.col("cell_index").alias("at"), *fields))
+def with_context(cells: DataFrame, length: int, fields: list[str] | dict[str, str], wanted: Column | None = None) -> DataFrame:
+    """`context`: the valid (and wanted) cells at most `length` above, nearest first, with their distance and `fields` (columns, or columns by name), and `num_cells_above`."""
+    named = fields if isinstance(fields, dict) else {f: f for f in fields}
+    use = is_valid() if wanted is None else is_valid() & wanted
+    held = F.when(use, F.struct(F.col("cell_index").alias("at"), *[F.col(c).alias(f) for f, c in named.items()]))
     frame = in_order().rowsBetween(-length, -1)
     own = cells.withColumn("_above", F.reverse(F.collect_list(held).over(frame)))
-    context = F.transform("_above", lambda c: F.struct((F.col("cell_index") - c["at"]).cast("int").alias("distance_target"), *[c[f].alias(f) for f in fields]))
+    context = F.transform("_above", lambda c: F.struct((F.col("cell_index") - c["at"]).cast("int").alias("distance_target"), *[c[f].alias(f) for f in named]))
     return own.withColumn("context", context).withColumn("num_cells_above", F.col("cell_index")).drop("_above")
 
 

@@ -9,16 +9,15 @@ from pyspark.sql import functions as F
 def first_by(df: DataFrame, key: Column, order: list[str], also: Column | None = None) -> DataFrame:
     """The first row of each key in the given order; null and empty keys are dropped.
 
-    A fixed-size digest of the key finds groups, map-side aggregation keeps their
-    firsts, and a hot key therefore costs one row a task.
+    A fixed-size digest of the key finds groups, and map-side aggregation keeps their
+    first rows: one pass over the input, and a hot key costs one row a task.
     """
     whole = key if also is None else F.concat(key, also)
     kind = df.select(whole.alias("k")).schema["k"].dataType.simpleString()
     filled = F.size(whole) > 0 if kind.startswith("array") else whole != ""
     digest = F.sha2((F.to_json(F.struct(whole.alias("k"))) if kind.startswith("array") else whole).cast("binary"), 256)
     rows = df.where(whole.isNotNull() & filled).select(F.struct("*").alias("row"), digest.alias("key"), F.struct(*order).alias("place"))
-    first = rows.groupBy("key").agg(F.min("place").alias("place"))
-    return rows.join(first, ["key", "place"]).dropDuplicates(["key"]).select("row.*")
+    return rows.groupBy("key").agg(F.min_by("row", "place").alias("row")).select("row.*")
 
 
 def majority(df: DataFrame, group: list[str], value: str, source: str, order: str, least: int = 2) -> DataFrame:
@@ -28,6 +27,11 @@ def majority(df: DataFrame, group: list[str], value: str, source: str, order: st
     return best.select(*group, f"best.{value}", "best.n", "best.n_sources", (-F.col("best.early")).alias("first")).where(F.col("n") >= least)
 
 
+def distinct_values(df: DataFrame, group: list[str], value: str) -> DataFrame:
+    """How many different values each group holds, arrays compared as wholes."""
+    return df.groupBy(*group).agg(F.count_distinct(F.sha2(F.to_json(F.struct(value)).cast("binary"), 256)).alias("n_distinct"))
+
+
 def top_frequencies(df: DataFrame, label: str, k: int = 50) -> DataFrame:
     return df.groupBy(label).agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), label).limit(k)
 
@@ -96,9 +100,10 @@ def hash_rank(*columns: str, seed: str = "42") -> Column:
 def split_without_leaks(df: DataFrame, id_col: str, key: str, test_percent: int = 55, seed: str = "0") -> DataFrame:
     """part: dev or test by a hash of the id; test rows whose key occurs in dev go to dev."""
     bucket = F.conv(F.substring(hash_rank(id_col, seed=seed), 1, 6), 16, 10).cast("long") % 100
-    drawn = df.withColumn("drawn", F.when(bucket < test_percent, "test").otherwise("dev"))
-    dev = drawn.where("drawn = 'dev'").select(F.col(key).alias("dev_key")).distinct()
-    seen = drawn.join(dev, F.col(key).eqNullSafe(F.col("dev_key")), "left")
+    digest = F.coalesce(F.sha2(F.col(key).cast("string").cast("binary"), 256), F.lit("null"))  # what travels instead of the key
+    drawn = df.withColumn("drawn", F.when(bucket < test_percent, "test").otherwise("dev")).withColumn("digest", digest)
+    dev = drawn.where("drawn = 'dev'").select(F.col("digest").alias("dev_key")).distinct()
+    seen = drawn.join(dev, F.col("digest") == F.col("dev_key"), "left").drop("digest")
     return seen.withColumn("part", F.when((F.col("drawn") == "test") & F.col("dev_key").isNull(), "test").otherwise("dev")).drop("drawn", "dev_key")
 
 

@@ -20,6 +20,14 @@ def grading_type(present: Column, has_solution: Column, solution: Column, has_gr
     )
 
 
+def exercise_grading_type(present: Column, solution: Column, grade: Column) -> Column:
+    """The coarser marks of exercise notebooks, where a missing flag decides nothing."""
+    return (
+        F.when(~present, "unknown").when(solution & ~grade, "autograded code").when(solution & grade, "manual graded code")
+        .when(~solution & grade, "autograder tests").otherwise("unknown")
+    )
+
+
 def grading_of(mark: Column) -> Column:
     """grading_type() of a typed mark, whose null fields count as absent."""
     return grading_type(mark.isNotNull(), mark["solution"].isNotNull(), mark["solution"], mark["grade"].isNotNull(), mark["grade"])

@@ -1,4 +1,4 @@
-"""The dataset pipelines: lazy compositions, one plan each, no files between the stages."""
+"""The dataset pipelines.  Code is analysed once a cell; what several branches read then stands in a work table."""
 
 from __future__ import annotations
 
@@ -8,17 +8,18 @@ from pyspark.sql import functions as F
 from ..functions import code as C
 from ..functions import solutions as S
 from ..functions import text as X
-from ..functions.language import detect_language
+from ..functions.language import detect_language, nl_tokens
 from ..operators import cells as K
 from ..operators import dedup as D
 from ..operators import grading as G
+from ..sources.work import WorkTable
 
 KEPT_LOGIC = ("1 function", "pure logic", "boilerplate")
 
 
-def analyzed(cells: DataFrame, declarations: bool = False) -> DataFrame:
+def analyzed(cells: DataFrame) -> DataFrame:
     """Code cells with their analysis in column `code`."""
-    return cells.where(K.is_code()).withColumn("code", C.analyze(F.col("source"), declarations))
+    return cells.where(K.is_code()).withColumn("code", C.analyze(F.col("source")))
 
 
 def of_kept_logic(cells: DataFrame, least: int = 0, most: int = 15) -> DataFrame:
@@ -28,16 +29,26 @@ def of_kept_logic(cells: DataFrame, least: int = 0, most: int = 15) -> DataFrame
 
 
 def train(notebooks: DataFrame, context_len: int = 12, max_tokens: int = 120) -> DataFrame:
-    """Records of code directly below markdown, deduplicated on code and then on text."""
+    """Records of code directly below markdown, deduplicated on code and then on the words of the nearest markdown.
+
+    Every cell is analysed once, before the windows: targets, context and imports all
+    read that.  A context cell is markdown with its words, or code with its analysis,
+    null where it holds magics; cells with autograder tests are no context.
+    """
     cells = K.explode_cells(notebooks)
-    context = K.running_imports(K.nearest_markdown(K.with_context(cells, context_len, ["cell_type", "source"]), context_len))
-    side = context.select("nb_index", "cell_index", "context", "num_cells_above", "imports", "nl")
-    fixed = K.train_cells(cells).withColumn("source", X.strip_magics(F.col("source")))
-    targets = of_kept_logic(analyzed(fixed).where("code.parses"))
+    fixed = F.when(K.is_code(), X.strip_magics(F.col("source"))).otherwise(F.col("source"))
+    told = cells.withColumn("fixed", fixed).withColumn("nl_tokens", nl_tokens(F.when(K.is_markdown() & K.is_valid(), F.col("source"))))
+    told = told.withColumn("code", C.analyze(F.when(K.is_code() & K.is_valid(), F.col("fixed"))))
+    ended = lambda c: F.regexp_replace(c, r"\n+$", "")
+    bare = K.is_code() & (ended("source") == ended("fixed"))
+    told = told.withColumns({"context_nl": F.col("nl_tokens"), "context_code": F.when(bare, F.col("code")), "is_context": G.grading_of(F.col("nbgrader")) != "autograder tests"})
+    fields = {"cell_type": "cell_type", "nl": "context_nl", "nl_original": "source", "code": "context_code"}
+    context = K.running_imports(K.nearest_markdown(K.nearest_markdown(K.with_context(told, context_len, fields, F.col("is_context")), context_len), context_len, "nl_tokens", "context_nl"))
+    targets = of_kept_logic(K.train_cells(context).where("code.parses"))
     sized = targets.where((F.size("code.code_tokens") > 0) & (F.size("code.code_tokens_clean") <= max_tokens))
-    records = sized.join(side, ["nb_index", "cell_index"]).withColumn("nl_tokens", X.words(F.coalesce("nl", F.lit("")))).withColumn("code_key", F.col("code.code_tokens"))
-    once = D.first_by(records, F.col("code_key"), ["nb_index", "cell_index"])
-    return D.first_by(once, F.col("nl_tokens"), ["nb_index", "cell_index"]).drop("code_key")
+    records = sized.withColumn("source", F.col("fixed")).drop("fixed", "context_nl", "context_code", "is_context")
+    once = D.first_by(records, F.col("code.code_tokens"), ["nb_index", "cell_index"])
+    return D.first_by(once, F.col("nl_tokens"), ["nb_index", "cell_index"])
 
 
 def graded(notebooks: DataFrame, max_nl_distance: int = 3, max_tokens: int = 120) -> DataFrame:
@@ -49,7 +60,7 @@ def graded(notebooks: DataFrame, max_nl_distance: int = 3, max_tokens: int = 120
     own = cells.where(F.col("nbgrader").isNotNull() & K.is_code() & (F.col("grading") == "autograded code") & F.col("has_markdown"))
     own = own.withColumn("source", X.print_calls(X.strip_magics(F.col("source"))))
     rows = of_kept_logic(analyzed(own).where(F.col("code.parses") | F.col("is_boilerplate"))).withColumn("question", F.concat_ws("\x01", F.coalesce("nl", F.lit("")), "nl_distance", F.coalesce("nbgrader.checksum", F.lit("dummy-checksum"))))
-    return choose_solution(rows, max_tokens)
+    return choose_solution(WorkTable(rows).df, max_tokens)  # analysed once, read several times
 
 
 def choose_solution(rows: DataFrame, max_tokens: int = 120) -> DataFrame:
@@ -71,13 +82,13 @@ def choose_solution(rows: DataFrame, max_tokens: int = 120) -> DataFrame:
     own = groups.join(found, "question", "left").withColumn("added", F.when(F.col("template").isNotNull(), S.extract_target(F.col("template"), F.col("target.source"))))
     blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
     extracted = F.when(F.coalesce("instructor", F.lit(False)), F.col("span")).otherwise(F.col("added"))
-    own = own.withColumn("extracted", extracted).withColumn("extracted_tokens", C.analyze(F.coalesce("extracted", F.lit("")))["code_tokens"])
-    tokens = C.analyze(F.coalesce("template", F.lit("")))["code_tokens"]
-    own = own.withColumn("template_tokens", F.when(F.col("template").isNotNull(), tokens)).withColumn("template_tokens", F.when(S.is_trivial(F.col("template_tokens")), F.array().cast("array<string>")).otherwise(F.col("template_tokens")))
+    own = own.withColumn("extracted", extracted).withColumn("extracted_tokens", C.plain_tokens(F.col("extracted")))
+    own = own.withColumn("template_tokens", C.plain_tokens(F.col("template"))).withColumn("template_tokens", F.when(S.is_trivial(F.col("template_tokens")), F.array().cast("array<string>")).otherwise(F.col("template_tokens")))
     status = (
         F.when(F.col("n_solutions") == 0, "only boiler")
         .when(F.col("instructor"), F.when(F.coalesce("span_rows", F.lit(0)) >= 2, "success").when(F.col("span_rows") == 1, "only 1 solution").otherwise("no span"))
-        .when(F.col("target").isNull(), "no autograder tests or none passed").when(F.col("template").isNull(), "no boilerplate").when(blank(F.col("added")), "multiple insertion points").otherwise("success")
+        .when(F.col("target").isNull(), "no autograder tests or none passed").when(F.col("template").isNull(), "no boilerplate").when(blank(F.col("added")), "multiple insertion points")
+        .when(F.col("extracted_tokens").isNull() | F.col("template_tokens").isNull(), "not tokenizable autograded").otherwise("success")
     )
     out = own.withColumn("status", status)
     long = F.coalesce(F.size("extracted_tokens"), F.lit(0)) > max_tokens
@@ -94,10 +105,11 @@ def instructor_answers(solutions: DataFrame) -> DataFrame:
 def exercise(notebooks: DataFrame, max_tokens: int = 120, percent: int = 50) -> DataFrame:
     """Problems whose solutions differ from a similar notebook of the same repo, chosen by majority; status says why a group has none."""
     nbs = K.python_notebooks(notebooks)
-    cells = K.explode_cells(nbs.withColumn("metadata", F.col("metadata").withField("nb_index", F.xxhash64("metadata.repo", "metadata.path"))))
+    name = F.to_json(F.struct("metadata.repo", "metadata.path"))  # what tells notebooks apart here
+    cells = WorkTable(K.explode_cells(nbs.withColumn("metadata", F.col("metadata").withField("nb_index", name)))).df
     prose = cells.where(K.is_markdown()).groupBy("nb_index").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("cell_index", "source"))), lambda x: x["source"]), " ").alias("prose"))
     english = K.in_languages(prose.withColumn("language", detect_language(F.col("prose"))), F.col("language")).select("nb_index")
-    cells = cells.join(english, "nb_index")
+    cells = WorkTable(cells.join(english, "nb_index")).df
     items = cells.where("source <> ''").groupBy("repo", "path").agg(F.collect_set("source").alias("items"))
     pairs = D.solution_pairs(items, percent)
     keyed = cells.withColumn("nb", F.struct("repo", "path"))
@@ -105,7 +117,7 @@ def exercise(notebooks: DataFrame, max_tokens: int = 120, percent: int = 50) ->
     changed = D.positional_diff(both, keyed)
     context = K.markdown_distance(K.nearest_markdown(cells, 11111), 11111).select(F.struct("repo", "path").alias("a"), "cell_index", "nl", "nl_distance", "nb_index")
     rows = changed.join(context, ["a", "cell_index"]).select(F.col("a.repo").alias("repo"), F.col("a.path").alias("path"), F.col("b.path").alias("boilerplate_path"), "nb_index", "cell_index", "nl", "nl_distance", F.col("source_a").alias("source"), F.col("source_b").alias("boilerplate"))
-    rows = of_kept_logic(rows.withColumn("code", C.analyze(F.col("source"))).where("code.parses"))
+    rows = WorkTable(of_kept_logic(rows.withColumn("code", C.analyze(F.col("source"))).where("code.parses"))).df
     return vote(rows.withColumn("group", F.concat_ws("\x01", F.coalesce("nl", F.nullif(F.array_join("code.comments", " "), F.lit("")), F.lit("yo")), "nl_distance")), max_tokens)
 
 
@@ -115,15 +127,21 @@ def vote(rows: DataFrame, max_tokens: int = 120) -> DataFrame:
     codes = D.majority(placed, ["group"], "source", "repo", "pos", least=1).withColumnsRenamed({"n": "n_code", "n_sources": "n_repos", "first": "first_code"})
     templates = D.majority(placed, ["group"], "boilerplate", "repo", "pos", least=1).select("group", "boilerplate", F.col("n").alias("n_template"))
     chosen = placed.select("group", F.col("pos").alias("first_code"), "repo", "path", "cell_index", "code", "nl")
-    out = codes.join(templates, "group").join(chosen, ["group", "first_code"]).withColumn("template_tokens", C.analyze(F.col("boilerplate")))
-    tokens = F.filter("template_tokens.code_tokens_clean", lambda t: ~t.isin("NEWLINE", "INDENT") & ~F.startswith(t, F.lit("#")))
+    out = codes.join(templates, "group").join(chosen, ["group", "first_code"]).withColumn("template_tokens", C.plain_tokens(F.col("boilerplate")))
+    tokens = F.filter("template_tokens", lambda t: ~t.isin("NEWLINE", "INDENT"))
     status = (
         F.when((F.col("n_code") < 2) | (F.col("n_template") < 2), "only 1 solution").when(F.col("n_repos") < 2, "only from 1 repo").when(F.coalesce(F.size("code.code_tokens"), F.lit(0)) == 0, "empty target cell tokens")
-        .when((F.trim("boilerplate") != "") & ~F.coalesce(F.col("template_tokens.parses"), F.lit(False)), "boiler tokenization failed").when(F.size(tokens) > 10, "boilerplate longer than 10 toks")
+        .when((F.trim("boilerplate") != "") & F.col("template_tokens").isNull(), "boiler tokenization failed").when(F.size(tokens) > 10, "boilerplate longer than 10 toks")
         .when(F.size("code.code_tokens_clean") > max_tokens + 5, "longer than the token limit").otherwise("success")
     )
     return out.select("group", status.alias("status"), "repo", "path", "cell_index", "nl", F.col("source").alias("target"), "boilerplate", "code", "n_code", "n_repos")
 
 
+def combined(parts: dict[str, DataFrame], fields: list[str], ids: list[str]) -> DataFrame:
+    """The pipelines' outputs (by kind) as one dataset in a fixed pseudo-random order; a field that a part lacks is null there."""
+    have = [d.select(F.lit(kind).alias("kind"), *[c for c in (*ids, *fields) if c in d.columns]) for kind, d in parts.items()]
+    return D.shuffled_union(have, ["kind", *ids])
+
+
 def outcomes(results: DataFrame, most: int = 11) -> DataFrame:
     return D.top_frequencies(results, "status", most)

@@ -15,6 +15,7 @@ from ..functions import text as X
 from ..operators import cells as K
 from ..operators import dedup as D
 from ..operators import grading as G
+from . import generated
 
 KINDS = {"user": "markdown", "assistant": "code", "system": "raw"}
 
@@ -54,6 +55,28 @@ def nearest_test(s: SparkSession, d: str) -> DataFrame:
     return out.select("event_id", F.col("test_below_passed").alias("passed"), F.col("from_output_nb").alias("from_output"))
 
 
+def any_test(s: SparkSession, d: str) -> DataFrame:
+    test = F.col("event_type") == "signup"
+    return K.test_outcomes(table(s, d, "events"), test, test, F.col("value") > 50, ["user_id"], ["ts", "event_id"]).select("event_id", "any_test_below")
+
+
+def imports_so_far(s: SparkSession, d: str) -> DataFrame:
+    """Chats whose code cells import a module named by the turn's length."""
+    source = F.when(K.is_code(), F.concat(F.lit("import a"), F.translate((F.length("source") % 10).cast("string"), "0123456789", "abcdefghij"))).otherwise(F.col("source"))
+    return K.running_imports(chats(s, d).withColumn("source", source)).select("nb_index", "cell_index", F.array_join("imports", ",").alias("imports"))
+
+
+def exercise_grading(s: SparkSession, d: str) -> DataFrame:
+    flag = lambda n: F.when(F.pmod(F.floor(F.col("event_id") / n), F.lit(3)) == 1, True).when(F.pmod(F.floor(F.col("event_id") / n), F.lit(3)) == 2, False)
+    return table(s, d, "events").select("event_id", G.exercise_grading_type(F.col("event_id") % 7 != 0, flag(1), flag(3)).alias("grading"))
+
+
+def code_tags(s: SparkSession, d: str) -> DataFrame:
+    """Chats in which some markdown holds inline code: the first word, where a text's length is divisible by 5."""
+    marked = F.when(K.is_markdown() & (F.length("source") % 5 == 0), F.lit("say `this` then")).otherwise(F.replace(F.replace("source", F.lit("`"), F.lit("'")), F.lit("~"), F.lit("-")))
+    return K.with_code_tags(chats(s, d).withColumn("source", marked)).select("nb_index", "cell_index", "cell_type")
+
+
 def near_dup_pairs(s: SparkSession, d: str) -> DataFrame:
     docs = table(s, d, "documents").select("lang", "doc_id", F.split(F.coalesce("text", F.lit("")), "\n", -1).alias("items"))
     return D.similar_pairs(docs, ["lang"], "doc_id", "items").select("lang", "a", "b", F.col("n_shared").cast("long").alias("n_shared"), F.col("n_union").cast("long").alias("n_union"))
@@ -74,17 +97,19 @@ def benchmark_leaks(s: SparkSession, d: str) -> DataFrame:
     their own that stand whole in any document that holds them; those of one or two
     words are looked for in every document.
     """
-    run = lambda c: F.transform(F.sequence(F.lit(1), F.size(c) - 7), lambda i: F.array_join(F.slice(c, i, 8), " "))
+    run = lambda c: F.transform(F.sequence(F.lit(1), F.size(c) - 7), lambda i: F.xxhash64(F.slice(c, i, 8)))
     items = table(s, d, "benchmark").where("text <> ''").select("item_id", F.col("text").alias("passage"), X.words(F.col("text")).alias("w"))
-    long = items.where(F.size("w") >= 10).select("item_id", "passage", F.array_join(F.slice("w", 2, 8), " ").alias("run"))
-    docs = table(s, d, "documents").where("text <> ''").select("doc_id", "text", X.words(F.col("text")).alias("w"))
-    found = docs.where(F.size("w") >= 8).select("doc_id", "text", F.explode(F.array_distinct(run("w"))).alias("run")).join(long, "run")
-    hits = found.where(F.contains("text", F.col("passage"))).select("doc_id", "item_id")
-    middle = items.where("size(w) between 3 and 9").select("item_id", "passage", F.get("w", F.lit(1)).alias("word"))
-    by_word = docs.select("doc_id", "text", F.explode(F.array_distinct("w")).alias("word")).join(middle, "word").where(F.contains("text", F.col("passage"))).select("doc_id", "item_id")
+    docs = table(s, d, "documents").where("text <> ''").select("doc_id", "text")
+    words = docs.select("doc_id", X.words(F.col("text")).alias("w"))
+    long = items.where(F.size("w") >= 10).select("item_id", F.xxhash64(F.slice("w", 2, 8)).alias("run"))
+    by_run = words.where(F.size("w") >= 8).select("doc_id", F.explode(F.array_distinct(run("w"))).alias("run")).join(long, "run").select("doc_id", "item_id")
+    middle = items.where("size(w) between 3 and 9").select("item_id", F.get("w", F.lit(1)).alias("word"))
+    by_word = words.select("doc_id", F.explode(F.array_distinct("w")).alias("word")).join(middle, "word").select("doc_id", "item_id")
+    likely = by_run.unionByName(by_word).distinct().join(items.select("item_id", "passage"), "item_id").withColumnRenamed("doc_id", "at")
+    hits = docs.join(likely, F.col("doc_id").eqNullSafe(F.col("at"))).where(F.contains("text", F.col("passage"))).select("doc_id", "item_id")
     short = F.broadcast(items.where("size(w) between 1 and 2").select("item_id", "passage"))
     by_text = docs.join(short, F.contains("text", F.col("passage"))).select("doc_id", "item_id")
-    return hits.unionByName(by_word).unionByName(by_text).distinct()
+    return hits.unionByName(by_text).distinct()
 
 
 def benchmark_anti(s: SparkSession, d: str) -> DataFrame:
@@ -155,6 +180,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "record_urls": lambda s, d: table(s, d, "pages").select("page_id", X.record_url("https://example.org/", F.concat(F.lit("a b "), F.col("url"))).alias("link")),
         "join_star": lambda s, d: table(s, d, "lineitem").join(table(s, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(table(s, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).groupBy("c_mktsegment", "l_returnflag").agg(F.count("*").alias("n"), F.sum("l_linenumber").alias("lines")),
         "code_analysis": code_records,
+        "train_pipeline": generated.train,
+        "graded_pipeline": generated.graded,
+        "exercise_pipeline": generated.exercise,
+        "any_test_below": any_test,
+        "repos_with_cells": lambda s, d: K.repos_with_cells(chats(s, d).withColumns({"repo": F.col("nb_index") % 7, "path": F.col("nb_index")})),
+        "distinct_codes": lambda s, d: D.distinct_values(docs(s, d), ["source"], "text"),
+        "running_imports": imports_so_far,
+        "exercise_grading": exercise_grading,
+        "with_code_tags": code_tags,
     }
 
 
@@ -209,5 +243,20 @@ def oracle_sql() -> dict[str, str]:
         "token_limit": f"SELECT doc_id, len({WORDS.format('coalesce(text, chr(32))')})::BIGINT AS n_words FROM documents WHERE len({WORDS.format('coalesce(text, chr(32))')}) BETWEEN 1 AND 120",
         "solution_span": """WITH l AS (SELECT doc_id, string_split('# BEGIN SOLUTION' || chr(10) || coalesce(text, '') || chr(10) || '# END SOLUTION' || chr(10) || 'print()', chr(10)) AS k FROM documents) SELECT doc_id, array_to_string(k[2:list_position(list_transform(k, lambda x: contains(x, 'END SOLUTION')), true) - 1], chr(10)) AS span FROM l""",
         "record_urls": "SELECT page_id, replace('https://example.org/a b ' || url, ' ', '%20') AS link FROM pages",
+        "train_pipeline": rf"""WITH c AS (SELECT conv_id AS nb_index, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS cell_index, CASE role WHEN 'user' THEN 'markdown' WHEN 'assistant' THEN 'code' ELSE 'raw' END AS cell_type, coalesce(text, '') AS t FROM conversations),
+            n AS (SELECT *, CASE WHEN cell_type = 'markdown' AND t <> '' THEN 'about ' || md5(t) || CASE WHEN regexp_matches(t, '[^\x00-\x7F]') THEN ' é' ELSE '' END ELSE t END AS source FROM c),
+            w AS (SELECT *, lag(cell_type) OVER ({BY}) AS above, lag(source) OVER ({BY}) AS above_source, last_value(CASE WHEN cell_type = 'markdown' AND source <> '' THEN source END IGNORE NULLS) OVER ({BY} ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING) AS nl,
+            count(*) FILTER (source <> '') OVER ({BY} ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING) AS n_context, count(*) FILTER (cell_type = 'code' AND source <> '') OVER ({BY}) AS n_imports FROM n),
+            v AS (SELECT *, max(coalesce(cell_type = 'code' AND above = 'markdown' AND regexp_matches(above_source, '[^\x00-\x7F]'), false)) OVER (PARTITION BY nb_index) AS veto FROM w),
+            a AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY nb_index, cell_index) AS nth FROM v WHERE cell_type = 'code' AND above = 'markdown' AND NOT veto AND source <> ''),
+            b AS (SELECT *, row_number() OVER (PARTITION BY nl ORDER BY nb_index, cell_index) AS mth FROM a WHERE nth = 1 AND nl IS NOT NULL)
+            SELECT nb_index, cell_index::BIGINT AS cell_index, nl, n_context::BIGINT AS n_context, n_imports::BIGINT AS n_imports, 'run,show' AS api, 17::BIGINT AS n_tokens FROM b WHERE mth = 1""",
+        "any_test_below": "SELECT event_id, coalesce(max(event_type = 'signup') OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), false) AS any_test_below FROM events",
+        "repos_with_cells": f"SELECT nb_index % 7 AS repo, count(*) AS n_cells, count(DISTINCT nb_index) AS n_notebooks FROM {CHATS} GROUP BY 1",
+        "distinct_codes": "SELECT source, count(DISTINCT text) + max((text IS NULL)::INT) AS n_distinct FROM documents GROUP BY source",
+        "running_imports": f"SELECT nb_index, cell_index, coalesce(string_agg(CASE WHEN cell_type = 'code' THEN 'a' || chr((97 + length(source) % 10)::INT) END, ',') OVER ({BY} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), '') AS imports FROM {CHATS}",
+        "exercise_grading": """WITH f AS (SELECT event_id, event_id % 7 <> 0 AS p, CASE event_id % 3 WHEN 1 THEN true WHEN 2 THEN false END AS s, CASE (event_id // 3) % 3 WHEN 1 THEN true WHEN 2 THEN false END AS g FROM events)
+            SELECT event_id, CASE WHEN NOT p THEN 'unknown' WHEN s AND NOT g THEN 'autograded code' WHEN s AND g THEN 'manual graded code' WHEN NOT s AND g THEN 'autograder tests' ELSE 'unknown' END AS grading FROM f""",
+        "with_code_tags": f"SELECT nb_index, cell_index, cell_type FROM {CHATS} WHERE nb_index IN (SELECT nb_index FROM {CHATS} WHERE cell_type = 'markdown' AND length(source) % 5 = 0)",
         "join_star": "SELECT c_mktsegment, l_returnflag, count(*) AS n, sum(l_linenumber)::BIGINT AS lines FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2",
     }

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -46,5 +49,25 @@ def write_records(df: DataFrame, path: str, single: bool = False) -> None:
     (df.coalesce(1) if single else df).write.mode("overwrite").json(path)
 
 
+@contextmanager
+def split_size(spark: SparkSession, size: str) -> Iterator[None]:
+    """Reads planned and run inside cut files into splits of `size`, such as 120m."""
+    name = "spark.sql.files.maxPartitionBytes"
+    held = spark.conf.get(name)
+    spark.conf.set(name, size)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, held)
+
+
+def dump_notebooks(notebooks: DataFrame, path: str) -> None:
+    """Each notebook as a file of its own in a folder named by its index, for people to look at; a notebook is one JSON document."""
+    meta = F.col("metadata")
+    body = F.struct("cells", F.struct(meta["kernelspec"].alias("kernelspec")).alias("metadata"), F.coalesce("nbformat", F.lit(4)).alias("nbformat"), F.coalesce("nbformat_minor", F.lit(2)).alias("nbformat_minor"))
+    files = notebooks.select(meta["nb_index"].alias("nb_index"), F.to_json(body).alias("value")).repartition("nb_index")
+    files.write.mode("overwrite").option("maxRecordsPerFile", 1).partitionBy("nb_index").text(path)
+
+
 def count_lines(spark: SparkSession, path: str) -> int:
     return spark.read.text(path).count()
