@@ -6,9 +6,6 @@ one struct, so extra columns never clash with the operator's own.
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.work import WorkTable, work_dir  # noqa: F401 - for the operators
+
 #: ASCII white space [\x20\x09-\x0D]; words are runs of other bytes.
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, 9, 10, 11, 12, 13]] = True
@@ -27,31 +26,6 @@ NULL_ID = -(2**63)
 SLICE_BYTES = 4 << 20
 
 
-def work_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a local one only where none is set, as in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        base = held.get() if held.isDefined() else os.path.join(tempfile.gettempdir(), "corpusloom-work")
-    return f"{base.rstrip('/')}/corpusloom-{uuid.uuid4().hex}"
-
-
-class WorkTable:
-    """A table written to the shared folder, which cuts lineage and survives lost executors."""
-
-    def __init__(self, df: DataFrame, partition_by: str | None = None):
-        self.spark = df.sparkSession
-        self.path = work_dir(self.spark)
-        writer = df.write.option("compression", "zstd")
-        (writer.partitionBy(partition_by) if partition_by else writer).parquet(self.path)
-        self.df = self.spark.read.schema(df.schema).parquet(self.path)
-
-    def drop(self) -> None:
-        """Removes the files; call it only once nothing lazy reads them any more."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text) with null text as empty; duplicate and null ids stay as they are."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, gather_runs, offsets_of, slices
+from .common import WorkTable, Words, gather_runs, offsets_of, slices
 
 BITS = 20
 END = np.zeros(256, bool)
@@ -135,7 +135,8 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 6000, most_bytes: i
     known = labels.select(F.col("doc_id").cast("long").alias("id"), F.col(label_col).alias("y")).where("id is not null and y is not null")
     known = known.groupBy("id").agg(F.max(F.when(F.col("y") == 1, 1).otherwise(0)).alias("y")).where(remainder("id") != 0)
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    drawn = own.select("id", F.octet_length("text").alias("n")).join(known, "id").orderBy(F.xxhash64("id", F.lit(7)), "id").limit(most_rows).collect()
+    drawn = own.select("id", F.octet_length("text").alias("n")).join(known, "id").orderBy(F.xxhash64("id", F.lit(7)), "id").limit(most_rows)
+    drawn = sorted(WorkTable(drawn.withColumn("at", F.xxhash64("id", F.lit(7)))).df.collect(), key=lambda r: (r["at"], r["id"]))  # limited by the executors
     total, chosen = 0, {}
     for r in drawn:
         if total + r["n"] <= most_bytes:
