@@ -1,12 +1,14 @@
 """BPE encoding and decoding with reuse of content-defined chunks.
 
 A rolling hash over bytes ends a chunk wherever its low bits are 0, so equal passages
-fall into equal chunks whatever stands before them.  A chunk's core - from its first
-to its last hard boundary (see bpe) - is encoded once for all documents of a task
-that share the chunk.  Where two chunks join, the stretch from the last agreed
-boundary on the left to the first on the right is encoded anew; it grows over chunks
-without such a boundary until both of its ends agree.  The ids are exactly those of
-the whole text.
+fall into equal chunks whatever stands before them.  A chunk's core, from its first to
+its last hard boundary (see bpe), is encoded once by the library for all documents of
+a task that share the chunk.  Where two cores join, what lies between them is encoded
+anew together with the last stretch of the left core and the first of the right one.
+The ids of both stretches must be those that the cores have there; a core that doesn't
+agree is given up and the join grows over it, until all joins agree.  The ids are
+exactly those of the whole text.  Vocabularies with another pre-tokenizer than the
+byte-level one are refused.
 
 Null text counts as empty, which has no ids.  Ids of rows aren't used, so null and
 equal ones are no special case.
@@ -15,6 +17,9 @@ equal ones are no special case.
 from __future__ import annotations
 
 import hashlib
+import itertools
+import json
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -59,68 +64,130 @@ def chunk_cuts(data: np.ndarray, bounds: np.ndarray, bits: int = CHUNK_BITS) ->
 
 
 class ChunkStore:
-    """ids of the cores of chunks, and the encoder behind them."""
+    """ids of the cores of chunks, and the library's tokenizer behind them.
+
+    reused, encoded: cores looked up and cores encoded; repaired: cores given up because
+    a join's ids didn't agree with theirs.
+    """
 
     def __init__(self, path: str, most: int = KEPT_BYTES):
-        self.pieces, self.most = bpe.encoder(path), most
-        self.reused = self.encoded = 0
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        told = json.loads(self.tokenizer.to_str())
+        split = told["pre_tokenizer"] or {}
+        if told["normalizer"] or (split.get("type"), split.get("add_prefix_space"), split.get("use_regex")) != ("ByteLevel", False, True):
+            raise ValueError(f"{path}: chunks are joined for byte-level vocabularies with their own pattern and no normaliser")
+        self.size, self.most = spelling(path)[2], most
+        self.reused = self.encoded = self.repaired = 0
         self.clear()
 
     def clear(self) -> None:
         self.where: dict[bytes, int] = {}
         self.bytes = 0
-        self.ids: list[np.ndarray] = []
+        self.cores: list[tuple[np.ndarray, int, int]] = []  # ids, how many before the second boundary, how many from the last but one on
+
+    def library(self, data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids end to end, first of each) of stretches of bytes, each encoded as a text of its own."""
+        raw = memoryview(np.ascontiguousarray(data))
+        some = [str(raw[a:b], "utf-8", "replace") for a, b in zip(start.tolist(), stop.tolist(), strict=True)]
+        found = [x.ids for x in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+        at = np.concatenate(([0], np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))))
+        return np.fromiter(itertools.chain.from_iterable(found), np.uint32, int(at[-1])), at
+
+    def tokens_in(self, ids: np.ndarray, start: np.ndarray, span: np.ndarray) -> np.ndarray:
+        """How many ids from `start` on spell exactly `span` bytes; -1 if no token ends there."""
+        spelt = np.concatenate(([0], np.cumsum(self.size[ids])))
+        want = spelt[start] + span
+        at = np.minimum(np.searchsorted(spelt, want), len(spelt) - 1)
+        return np.where(spelt[at] == want, at - start, -1)
+
+    def learn(self, names: list[bytes], data: np.ndarray, edges: np.ndarray) -> None:
+        """Encodes cores; edges: first, second, last but one and last boundary of each."""
+        first, second, before, last = edges
+        ids, at = self.library(data, first, last)
+        head = self.tokens_in(ids, at[:-1], second - first)
+        body = self.tokens_in(ids, at[:-1], before - first)
+        for k, x in enumerate(names):
+            own = ids[at[k] : at[k + 1]].copy()
+            self.where[x] = len(self.cores)
+            self.cores.append((own, int(head[k]), len(own) - int(body[k]) if body[k] >= 0 else -1))
+            self.bytes += len(x) + 4 * len(own) + 250
+        self.encoded += len(names)
 
     def encode(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts end to end, first id of each text with the end appended)."""
         if not len(data):
             return np.zeros(0, np.uint32), np.zeros(len(bounds), np.int64)
+        if self.bytes > self.most:
+            self.clear()
         cuts = chunk_cuts(data, bounds)
-        n = len(cuts) - 1
         index, values = bpe.pieces_of(data, cuts)
         hard = np.flatnonzero(bpe.hard_boundaries(data))
         low, high = np.searchsorted(hard, cuts[:-1] + 3), np.searchsorted(hard, cuts[1:])
-        cored = np.flatnonzero(high - low >= 2)  # other chunks are part of what is encoded anew
-        first, last = hard[low[cored]], hard[high[cored] - 1]
+        cored = np.flatnonzero(high - low >= 4)  # other chunks are part of what is encoded anew
+        edges = np.stack((hard[low[cored]], hard[low[cored] + 1], hard[high[cored] - 2], hard[high[cored] - 1])) if len(cored) else np.zeros((4, 0), np.int64)
         one = np.full(len(values), -1)
         one[index[cored]] = np.arange(len(cored))  # a chunk of each kind
         kinds = np.flatnonzero(one >= 0)
         names = values.take(pa.array(kinds)).to_pylist()
-        if self.bytes > self.most:
-            self.clear()
         fresh = [k for k, x in enumerate(names) if x not in self.where]
-        self.reused, self.encoded = self.reused + len(cored) - len(fresh), self.encoded + len(fresh)
-        # what is encoded now: fresh cores, then the stretches between cores
-        own = one[kinds[fresh]] if fresh else np.zeros(0, np.int64)
-        gap_from, gap_to = np.concatenate(([0], last)), np.concatenate((first, [len(data)]))
-        gap_bounds = np.unique(np.concatenate((gap_from, gap_to, bounds)))
-        owner = np.searchsorted(gap_from, gap_bounds[:-1], side="right") - 1
-        in_gap = gap_bounds[:-1] < gap_to[owner]
-        part_from, part_to = gap_bounds[:-1][in_gap], gap_bounds[1:][in_gap]
-        starts, stops = np.concatenate((first[own], part_from)), np.concatenate((last[own], part_to))
-        sizes = stops - starts
-        ids, at = self.pieces.encode(gather_runs(data, starts, sizes), np.concatenate(([0], np.cumsum(sizes))))
-        for k, a, b in zip(fresh, at[:-1].tolist(), at[1:].tolist(), strict=False):
-            self.where[names[k]] = len(self.ids)
-            self.ids.append(ids[a:b].copy())
-            self.bytes += len(names[k]) + 4 * (b - a) + 200
-        # one store of runs: cores by kind, then the stretches
-        cores = [self.ids[self.where[x]] for x in names]
-        kind_size = np.fromiter(map(len, cores), np.int64, len(cores))
-        kind_start = np.cumsum(kind_size) - kind_size
-        tail = at[len(own)] if len(own) else 0
-        store = np.concatenate((*cores, ids[tail:])) if cores else ids
-        shift = int(kind_size.sum()) - tail
+        self.reused += len(cored) - len(fresh)
+        if fresh:
+            self.learn([names[k] for k in fresh], data, edges[:, one[kinds[fresh]]])
+        held = [self.cores[self.where[x]] for x in names]
+        size = np.fromiter((len(x[0]) for x in held), np.int64, len(held))
+        store, start = np.concatenate([x[0] for x in held]) if held else np.zeros(0, np.uint32), np.cumsum(size) - size
         of_kind = np.zeros(len(values), np.int64)
         of_kind[kinds] = np.arange(len(kinds))
         kind = of_kind[index[cored]]
-        place = np.concatenate((first, part_from))
-        run_start = np.concatenate((kind_start[kind], at[len(own) : -1] + shift))
-        run_size = np.concatenate((kind_size[kind], np.diff(at[len(own) :])))
-        order = np.argsort(place, kind="stable")
-        run_start, run_size, place = run_start[order], run_size[order], place[order]
-        out = gather_runs(store, run_start, run_size)
-        return out, np.concatenate(([0], np.cumsum(run_size)))[np.searchsorted(place, bounds)]
+        head, tail = (np.fromiter((x[i] for x in held), np.int64, len(held))[kind] for i in (1, 2))
+        active = np.flatnonzero((head >= 0) & (tail >= 0))
+        while True:
+            # what lies between cores, and a stretch of the core on either side, is encoded anew
+            first, second, before, last = edges[:, active]
+            ends = np.unique(bounds)
+            place = np.sort(np.concatenate((ends[:-1], last)))  # where each join begins
+            after = np.searchsorted(first, place)  # the core that follows it
+            until = ends[np.searchsorted(ends, place, side="right")]
+            own = np.searchsorted(last, place)
+            left, right = own < len(active), after < len(active)
+            left[left], right[right] = last[own[left]] == place[left], first[after[right]] < until[right]
+            begin, end = place.copy(), until.copy()
+            begin[left], end[right] = before[own[left]], second[after[right]]
+            ids, at = self.library(data, begin, end)
+            skip, more = np.zeros(len(place), np.int64), np.zeros(len(place), np.int64)
+            skip[left] = self.tokens_in(ids, at[:-1][left], (last - before)[own[left]])
+            inner = self.tokens_in(ids, at[:-1][right], first[after[right]] - begin[right])
+            more[right] = np.where(inner >= 0, np.diff(at)[right] - inner, -1)
+            bad = np.zeros(len(active), bool)
+            core = kind[active]
+            for joins, cores, n, from_join, from_core in (
+                (left, own, tail, at[:-1], start[core] + size[core] - tail[active]),
+                (right, after, head, at[1:] - more, start[core]),
+            ):
+                c = cores[joins]
+                told = (skip if joins is left else more)[joins]
+                same = told == n[active][c]
+                count = np.where(same, told, 0)
+                unlike = gather_runs(ids, from_join[joins], count) != gather_runs(store, from_core[c], count)
+                same[np.repeat(np.arange(len(c)), count)[unlike]] = False
+                bad[c[~same]] = True
+            if not bad.any():
+                break
+            self.repaired += int(bad.sum())
+            active = active[~bad]  # their joins grow over them
+        run_at = np.concatenate((start[core], at[:-1] + skip))
+        run_size = np.concatenate((size[core], np.diff(at) - skip - more))
+        spot = np.concatenate((first, place))
+        order = np.argsort(spot, kind="stable")
+        run_at[: len(core)] += len(ids)
+        run_at, run_size, spot = run_at[order], run_size[order], spot[order]
+        out = gather_runs(np.concatenate((ids, store)), run_at, run_size)
+        return out, np.concatenate(([0], np.cumsum(run_size)))[np.searchsorted(spot, bounds)]
 
 
 def chunk_store(path: str) -> ChunkStore:

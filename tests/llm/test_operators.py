@@ -157,6 +157,30 @@ def test_chunks_are_shared():
     assert store.encoded < 3 * 2000 * 6 / 512 + 30  # not ten times as many
 
 
+def test_chunk_joins_grow_until_they_agree(monkeypatch):
+    r = random.Random(3)
+
+    def unsafe(data):  # any place where a character starts, one in five
+        out = ((data & 0xC0) != 0x80) & (np.random.default_rng(0).random(len(data)) < 0.2)
+        out[:1] = False
+        return out
+
+    monkeypatch.setattr(bpe, "hard_boundaries", unsafe)
+    store, tok = chunk_bpe.ChunkStore(BYTE), Tokenizer.from_file(BYTE)
+    for _ in range(5):
+        words = ["".join(r.choice("abcdefgh éß'日\n.,") for _ in range(r.randint(1, 9))) for _ in range(300)]
+        held = [" ".join(r.choice(words) for _ in range(r.randint(0, 900))) for _ in range(20)]
+        bounds, data = common.offsets_of(pa.array(held))
+        ids, at = store.encode(data, bounds)
+        assert all(ids[a:b].tolist() == tok.encode(t).ids for t, a, b in zip(held, at, at[1:], strict=False))
+    assert store.repaired > 50
+
+
+def test_chunks_refuse_other_pre_tokenizers():
+    with pytest.raises(ValueError, match="byte-level"):
+        chunk_bpe.ChunkStore(WORD)
+
+
 def test_exact_dedup(spark, docs):
     for block in (4096, 7):
         got = block_naming.dedup(docs, block).collect()
