@@ -3,12 +3,11 @@
 A line's hash is the first 32 bits of its md5.  A chunk ends after line i if
 h[i] + 3 h[i-1] + 9 h[i-2] is divisible by EVERY (lines before the text count as 0),
 so chunk ends move with the lines around them.  Of chunks of two or more lines that
-are equal byte for byte, in whatever documents, the first by (doc_id, place) stays
-and the others go.  Single-line chunks always stay.
+are equal byte for byte, in whatever documents, the first by (doc_id, fingerprint of
+the text, place) stays and the others go.  Single-line chunks always stay.
 
-Null text counts as empty: one empty line.  Null ids sort first.  Rows with equal ids
-never remove a chunk from each other, only from rows with larger ids and from later
-places of the same text.
+Null text counts as empty: one empty line.  Null ids sort first.  Rows alike in id and
+text count as one row and fare alike.
 """
 
 from __future__ import annotations
@@ -66,16 +65,17 @@ def removals(docs: DataFrame, every: int = EVERY) -> DataFrame:
     """(k1, k2, gone: array of (line, n_lines)) of the rows of keyed() that lose chunks."""
     chunks = WorkTable(docs.select("k1", "k2", "text").mapInArrow(lambda batches: emit_chunks(batches, every), CHUNKS)).df
     once = chunks.where(~F.col("again"))
-    groups = once.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("k1").alias("keep"), (F.min("chunk") < F.max("chunk")).alias("differ"))
+    groups = once.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2")).alias("keep"), (F.min("chunk") < F.max("chunk")).alias("differ"))
     repeated = WorkTable(groups.where("n > 1").select("h1", "h2", "keep", "differ")).df
     skinny = chunks.select("k1", "k2", "line", "n_lines", "h1", "h2", "again")
     found = skinny.join(repeated.where(~F.col("differ")), ["h1", "h2"], "left")
-    gone = found.where(F.col("again") | (F.col("k1") > F.col("keep"))).select("k1", "k2", "line", "n_lines")
+    later = F.struct("k1", "k2") > F.col("keep")
+    gone = found.where(F.col("again") | later).select("k1", "k2", "line", "n_lines")
     unlike = repeated.where("differ")
     if unlike.limit(1).count():  # chunks that share a hash but not their bytes
         some = once.join(unlike.select("h1", "h2"), ["h1", "h2"], "left_semi")
-        by_bytes = some.groupBy("chunk").agg(F.min("k1").alias("keep"))
-        gone = gone.unionByName(some.join(by_bytes, "chunk").where("k1 > keep").select("k1", "k2", "line", "n_lines"))
+        by_bytes = some.groupBy("chunk").agg(F.min(F.struct("k1", "k2")).alias("keep"))
+        gone = gone.unionByName(some.join(by_bytes, "chunk").where(later).select("k1", "k2", "line", "n_lines"))
     return gone.groupBy("k1", "k2").agg(F.collect_set(F.struct("line", "n_lines")).alias("gone"))
 
 

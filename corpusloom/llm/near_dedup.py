@@ -25,7 +25,7 @@ from __future__ import annotations
 
 import hashlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -129,9 +129,9 @@ def join_few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*found, strict=True) if found else ([], []))], ["a", "b"])
 
 
-def joined(links: DataFrame) -> DataFrame:
+def joined(table: Callable[[DataFrame], DataFrame], links: DataFrame) -> DataFrame:
     """(a, b): for each node b of the links but the smallest of its component, that smallest one, a."""
-    edges = WorkTable(links.select("a", "b").distinct()).df
+    edges = table(links.select("a", "b").distinct())
     if edges.count() <= FEW_LINKS:
         return edges.repartition(1).mapInArrow(join_few, "a long, b long")
     while True:
@@ -144,46 +144,46 @@ def joined(links: DataFrame) -> DataFrame:
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         lower = down.groupBy("a").agg(F.min("b").alias("m"))
         small = down.join(lower, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("b"), F.col("m").alias("a"))
-        new = WorkTable(small.where("a <> b").select("a", "b").distinct()).df
+        new = table(small.where("a <> b").select("a", "b").distinct())
         sums = lambda d: d.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if sums(new) == sums(edges):
             return edges
         edges = new
 
 
-def linked(signed: DataFrame, docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+def linked(signed: DataFrame, docs: DataFrame, words: int, percent: int, table: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
     """(classes: node, seq; the nodes' roots)."""
     some = signed.where("n > 0").groupBy("seq").agg(F.min(F.struct("k1", "k2")).alias("first"), F.any_value("bands").alias("bands"))
-    classes = WorkTable(some.select(F.monotonically_increasing_id().alias("node"), "seq", "first.k1", "first.k2", "bands")).df
+    classes = table(some.select(F.monotonically_increasing_id().alias("node"), "seq", "first.k1", "first.k2", "bands"))
     held = classes.select("node", F.explode("bands").alias("bucket"))
     shared = held.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1").select("bucket")
-    members = WorkTable(held.join(shared, "bucket")).df
+    members = table(held.join(shared, "bucket"))
     wanted = members.select("node").distinct().join(classes.select("node", "k1", "k2"), "node")
-    text = WorkTable(docs.select("k1", "k2", "text").join(wanted, ["k1", "k2"]).select("node", "text").dropDuplicates(["node"])).df
-    nodes = WorkTable(members.select("node").distinct()).df
+    text = table(docs.select("k1", "k2", "text").join(wanted, ["k1", "k2"]).select("node", "text").dropDuplicates(["node"]))
+    nodes = table(members.select("node").distinct())
     roots = nodes.select("node", F.col("node").alias("root"))
     # first each bucket's smallest class against the others
     heads = members.groupBy("bucket").agg(F.min("node").alias("a"))
     pairs = members.join(heads, "bucket").where("node <> a").select("a", F.col("node").alias("b")).distinct()
     left = pairs.join(text.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
     full = left.join(text.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b").sortWithinPartitions("a")
-    roots = moved(roots, WorkTable(full.mapInArrow(lambda batches: verify(batches, words, percent), "a long, b long")).df)
+    roots = moved(table, roots, table(full.mapInArrow(lambda batches: verify(batches, words, percent), "a long, b long")))
     # then what shares a bucket and isn't joined yet, part against part
     placed = members.join(roots, "node")
     mixed = placed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("m")).where("lo < hi").select("bucket", F.ceil(F.col("m") / PART).alias("parts"))
     open_ = placed.join(mixed, "bucket").withColumn("part", F.pmod(F.xxhash64("node"), "parts")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     open_ = open_.select("bucket", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "node", "root").join(text, "node").select("bucket", "lo", "hi", "node", "root", "text")
     met = open_.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
-    found = WorkTable(met.mapInArrow(lambda batches: verify_parts(batches, words, percent), "a long, b long")).df
-    return classes, moved(roots, found)
+    found = table(met.mapInArrow(lambda batches: verify_parts(batches, words, percent), "a long, b long"))
+    return classes, moved(table, roots, found)
 
 
-def moved(roots: DataFrame, links: DataFrame) -> DataFrame:
+def moved(table: Callable[[DataFrame], DataFrame], roots: DataFrame, links: DataFrame) -> DataFrame:
     """roots once links between their nodes have joined them."""
     named = [roots.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}")) for x in "ab"]
     between = links.join(named[0], "a").join(named[1], "b").select(F.least("root_a", "root_b").alias("a"), F.greatest("root_a", "root_b").alias("b")).where("a <> b")
-    news = joined(between).select(F.col("b").alias("root"), F.col("a").alias("new"))
-    return WorkTable(roots.join(news, "root", "left").select("node", F.coalesce("new", "root").alias("root"))).df
+    news = joined(table, between).select(F.col("b").alias("root"), F.col("a").alias("new"))
+    return table(roots.join(news, "root", "left").select("node", F.coalesce("new", "root").alias("root")))
 
 
 def overlaps(sets: list[set[bytes]], slab: int = 4096) -> np.ndarray:
@@ -247,11 +247,19 @@ def links_of(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """k1, k2, doc_id, n_shingles, component (of a row), component_id (its smallest id) and kept (one row a component)."""
     own = keyed(docs, id_col, text_col)
-    signed = WorkTable(own.select("k1", "k2", "doc_id", "text").mapInArrow(lambda batches: sign(batches, words, bands, rows), SIGNED)).df
-    classes, roots = linked(signed, own, words, percent)
+    used: list[WorkTable] = []  # tables that nothing reads once the rows are placed
+
+    def table(df: DataFrame) -> DataFrame:
+        used.append(WorkTable(df))
+        return used[-1].df
+
+    signed = table(own.select("k1", "k2", "doc_id", "text").mapInArrow(lambda batches: sign(batches, words, bands, rows), SIGNED))
+    classes, roots = linked(signed, own, words, percent, table)
     named = classes.select("seq", "node").join(roots, "node", "left").select("seq", F.coalesce("root", "node").alias("root"))
     rows_ = signed.select(F.monotonically_increasing_id().alias("uid"), "k1", "k2", "doc_id", "n", "seq")
     placed = WorkTable(rows_.join(named, "seq", "left").select("uid", "k1", "k2", "doc_id", "n", F.coalesce("root", -1 - F.col("uid")).alias("root"))).df
+    for done in used:
+        done.drop()
     heads = placed.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.min(F.struct(F.col("doc_id").isNull().alias("late"), F.col("doc_id"), F.col("k2"), F.col("uid"))).alias("head"))
     return placed.join(heads, "root").select("k1", "k2", "doc_id", F.col("n").alias("n_shingles"), "component_id", (F.col("uid") == F.col("head.uid")).alias("kept"))
 

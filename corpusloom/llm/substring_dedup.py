@@ -244,18 +244,20 @@ def masks_of(suffixes: DataFrame, window: int, gram: int, group: int) -> DataFra
 def marked(docs: DataFrame, window: int, gram: int, group: int) -> DataFrame:
     """(k1, k2, marks: array of (at, mask)) of the rows of keyed() with a repeated window."""
     own = docs.select("k1", "k2", "text")
-    anchors = WorkTable(own.mapInArrow(lambda batches: find_anchors(batches, window, gram), ANCHORS)).df
-    twice = WorkTable(anchors.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")).df
-    repeated = WorkTable(anchors.join(twice, "h").select(anchors.columns)).df
+    anchors = WorkTable(own.mapInArrow(lambda batches: find_anchors(batches, window, gram), ANCHORS))
+    twice = WorkTable(anchors.df.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"))
+    repeated = WorkTable(anchors.df.join(twice.df, "h").select(anchors.df.columns)).df
     weights = repeated.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "at")).alias("one"), F.min("valid").alias("valid"))
-    suffixes = WorkTable(weights).df
-    several = WorkTable(suffixes.groupBy("h").agg(F.count("*").alias("m")).where("m > 1").select("h")).df
-    alone = suffixes.join(several, "h", "left_anti").select("h", "c", F.col("valid").cast("long").alias("mask"))  # all of weight 2 or more
-    some = suffixes.join(several, "h", "left_semi")
+    suffixes = WorkTable(weights)
+    several = WorkTable(suffixes.df.groupBy("h").agg(F.count("*").alias("m")).where("m > 1").select("h"))
+    alone = suffixes.df.join(several.df, "h", "left_anti").select("h", "c", F.col("valid").cast("long").alias("mask"))  # all of weight 2 or more
+    some = suffixes.df.join(several.df, "h", "left_semi")
     wanted = some.groupBy("one.k1", "one.k2").agg(F.collect_list(F.struct("one.at", "h", "c", "n")).alias("wanted"))
     fetched = own.dropDuplicates(["k1", "k2"]).join(wanted, ["k1", "k2"]).select("text", "wanted")
-    with_words = WorkTable(fetched.mapInArrow(lambda batches: contexts(batches, window, gram), SUFFIXES)).df
-    masks = WorkTable(masks_of(with_words, window, gram, group).unionByName(alone)).df
+    with_words = WorkTable(fetched.mapInArrow(lambda batches: contexts(batches, window, gram), SUFFIXES))
+    masks = WorkTable(masks_of(with_words.df, window, gram, group).unionByName(alone)).df
+    for done in (anchors, twice, suffixes, several, with_words):
+        done.drop()
     return repeated.select("k1", "k2", "at", "h", "c").join(masks, ["h", "c"]).groupBy("k1", "k2").agg(F.collect_set(F.struct("at", "mask")).alias("marks"))
 
 

@@ -181,6 +181,32 @@ def test_chunks_refuse_other_pre_tokenizers():
         chunk_bpe.ChunkStore(WORD)
 
 
+def test_lines_of_rows_without_ids_and_of_repeated_rows(spark):
+    block = "\n".join(f"line {i}" for i in range(40))
+    table = [(None, block), (None, f"{block}\nmore"), (5, block), (5, block), (5, f"{block}\nother"), (6, None)]
+    out = line_dedup.judged(spark.createDataFrame(table, "doc_id long, text string").repartition(3)).collect()
+    gone = Counter((r["doc_id"], r["n_lines"]) for r in out if r["n_removed_lines"])
+    kept = [r for r in out if r["n_lines"] > 1 and not r["n_removed_lines"]]
+    assert len(kept) == 1 and kept[0]["doc_id"] is None and sum(gone.values()) == 4  # the first of the null ids stays whole
+    assert len({r["kept"] for r in out if r["doc_id"] == 5 and r["n_lines"] == 40}) == 1
+
+
+def test_texts_longer_than_a_slice(spark):
+    r = random.Random(8)
+    passage = " ".join(f"p{r.randrange(10**6)}" for _ in range(60))
+    long = " ".join(f"w{r.randrange(10**7)}" for _ in range(600_000))  # over SLICE_BYTES
+    assert len(long) > common.SLICE_BYTES
+    table = [(1, f"{long} {passage}"), (2, f"a {passage} b"), (3, long), (4, "")]
+    docs = spark.createDataFrame(table, "doc_id long, text string").repartition(2)
+    got = {x["doc_id"]: x for x in substring_dedup.op8(docs).collect()}
+    assert {k: v["n_removed"] for k, v in got.items()} == {1: 600_060, 2: 60, 3: 600_000, 4: 0}
+    near = {x["doc_id"]: x["component_id"] for x in near_dedup.op10(docs).collect()}
+    assert near == {1: 1, 2: 2, 3: 1, 4: 4}
+    tok = Tokenizer.from_file(BYTE)
+    by = {x["doc_id"]: x["n_tokens"] for x in chunk_bpe.digests(docs, BYTE).collect()}
+    assert by[3] == len(tok.encode(long, add_special_tokens=False).ids)
+
+
 def test_exact_dedup(spark, docs):
     for block in (4096, 7):
         got = block_naming.dedup(docs, block).collect()
