@@ -422,6 +422,32 @@ def test_gru(spark):
     assert sum(x["score"] for x in held) > 0.75 * sum(x["base_score"] for x in held)  # both below 0
 
 
+def test_gru_scores_against_word_by_word_sums(spark, monkeypatch):
+    monkeypatch.setattr(gru_lm, "FREQUENT", 10)
+    r = random.Random(12)
+    words = [f"v{i}" for i in range(9000)]
+    table = [(i, " ".join(words[min(int(r.paretovariate(0.4)), 9000) - 1] for _ in range(r.randint(0, 90)))) for i in range(900)] + [(900, None), (None, "V1 new")]
+    docs = spark.createDataFrame(table, "doc_id long, text string").coalesce(1)
+    counts, lexicon, net = gru_lm.fit(docs)
+    count = {x["word"]: x["c"] for x in counts.collect()}
+    assert len(count) > len(lexicon.words) > 100  # so that some words meet their counts in the join
+    place = {w.decode(): int(lexicon.token[i]) for i, w in enumerate(lexicon.words)}
+    got = sorted(((x["doc_id"] is None, x["doc_id"]), x["score"]) for x in gru_lm.score(docs).collect())
+    want = []
+    for d, text in table:
+        own = WORDS.findall((text or "").lower())
+        state, previous, total = np.zeros((1, net.hidden), np.float32), gru_lm.END, 0.0
+        for w, t in [*((w, place.get(w, gru_lm.OTHER)) for w in own), (None, gru_lm.END)]:
+            state = net.step(net.x[[previous]] + net.b, state)[0]
+            total += np.log10((1 - gru_lm.UNIGRAM) * np.exp(float(net.outputs(state, np.array([t]))[0])) + gru_lm.UNIGRAM * lexicon.share[t])
+            if t == gru_lm.OTHER:
+                total += np.log10((count.get(w, 0) + 0.5) / (lexicon.outside + 0.5 * (lexicon.outside_words + 1)))
+            previous = t
+        want.append(((d is None, d), total))
+    for (a, x), (b, y) in zip(got, sorted(want), strict=True):
+        assert a == b and abs(x - y) < 1e-3 * max(1, abs(y))
+
+
 def test_gru_trains_on_rows_of_every_id_and_size(spark):
     docs = spark.createDataFrame([(None, "a b c " * 20)] * 3 + [(0, "w " * (3 << 20))], "doc_id long, text string")  # 0 isn't held out
     _, lexicon, net = gru_lm.fit(docs)
