@@ -38,7 +38,7 @@ class Model:
     A guess and the length of its run of hits (0 to 7) share one number: guess * 8 + run.
     """
 
-    def __init__(self, alphabet: int, lanes: int):
+    def __init__(self, alphabet: int, lanes: int, back: bool = False):
         if not 0 < alphabet <= 1 << (COUNT_BITS - 2):
             raise ValueError(f"an alphabet of {alphabet} ids; at most {1 << (COUNT_BITS - 2)} can be coded")
         self.alphabet = alphabet
@@ -52,6 +52,8 @@ class Model:
         self.slot = np.zeros(lanes, np.int32)
         self.step = 0
         self.edges = ((np.arange(alphabet + 1) << COUNT_BITS) // alphabet).astype(np.int32)
+        self.back = back
+        self.invert()
         self.reweigh()
 
     def recount(self) -> None:
@@ -61,6 +63,12 @@ class Model:
         self.edges = np.zeros(self.alphabet + 1, np.int32)
         np.cumsum(share, out=self.edges[1:])
         self.edges[-1] = 1 << COUNT_BITS
+        self.invert()
+
+    def invert(self) -> None:
+        """For a decoder, the id at each place between the first edge and the last."""
+        if self.back:
+            self.at = np.repeat(np.arange(self.alphabet, dtype=np.int32), np.diff(self.edges))
 
     def reweigh(self) -> None:
         """Widths of the order-2 region and of both upper regions, in 256ths, by mixing context."""
@@ -185,7 +193,7 @@ def decode(block: bytes) -> np.ndarray:
         raise ValueError("a block of ids was cut short")
     words = np.concatenate((words, np.zeros(2 * steps + 8, np.uint64)))
     at = np.cumsum(put) - put
-    model = Model(alphabet, lanes)
+    model = Model(alphabet, lanes, back=True)
     low, wide = np.zeros(lanes, np.uint64), np.full(lanes, 2**64 - 1, np.uint64)
     code = (words[at] << HALF) | words[at + 1]
     at += 2
@@ -201,7 +209,7 @@ def decode(block: bytes) -> np.ndarray:
         s = np.where(in2, p2, p1)
         rest = np.flatnonzero(~low_part)
         some = both[rest]
-        s[rest] = np.searchsorted(model.edges, (value[rest] - (some << COUNT_BITS)) // (256 - some), side="right") - 1
+        s[rest] = model.at[np.minimum((value[rest] - (some << COUNT_BITS)) // (256 - some), len(model.at) - 1)]
         s = np.minimum(s, alphabet - 1)
         begin, size = interval(model, s, in2, low_part & ~in2, two, both)
         table[t] = s
