@@ -98,6 +98,14 @@ def noisy_or(logits: np.ndarray, doc: np.ndarray, docs: int) -> np.ndarray:
     return -np.expm1(-np.bincount(doc, np.logaddexp(0, logits), docs))
 
 
+def sentence_slopes(bag: Bags, label: np.ndarray, weight: np.ndarray, bias: float) -> np.ndarray:
+    """Slope of the documents' log loss by each sentence's logit, through the noisy-or."""
+    z = bag.logits(weight, bias)
+    p = np.clip(noisy_or(z, bag.doc, bag.docs), 1e-9, 1 - 1e-9)
+    by_doc = np.where(label > 0, -(1 - p) / p, 1.0)
+    return by_doc[bag.doc] * np.exp(-np.logaddexp(0, -z))
+
+
 def train(text: list[str], toxic: np.ndarray, bits: int = BITS, rounds: int = 50, rate: float = 0.15, decay: float = 1e-6, least: int = 8) -> tuple[np.ndarray, float]:
     """(weights, bias) of least log loss through the noisy-or, by Adam on all rows; weights are 0 or more, as no word can excuse another; features of fewer than `least` documents stay out."""
     y = toxic.astype(float)
@@ -111,10 +119,7 @@ def train(text: list[str], toxic: np.ndarray, bits: int = BITS, rounds: int = 50
     for step in range(1, rounds + 1):
         slope, on_bias = decay * weight, 0.0
         for bag, label in parts:
-            z = bag.logits(weight, bias)
-            p = np.clip(noisy_or(z, bag.doc, bag.docs), 1e-9, 1 - 1e-9)
-            by_doc = np.where(label > 0, -(1 - p) / p, 1.0)
-            by_sentence = by_doc[bag.doc] * np.exp(-np.logaddexp(0, -z)) / len(y)
+            by_sentence = sentence_slopes(bag, label, weight, bias) / len(y)
             slope = slope + bag.back(by_sentence, len(weight)) * known
             on_bias += by_sentence.sum()
         m1, m2 = 0.9 * m1 + 0.1 * slope, 0.99 * m2 + 0.01 * slope**2
