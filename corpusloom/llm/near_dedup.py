@@ -11,9 +11,11 @@ Documents with the same sequence of words, told by its sha256, form a class, and
 classes go on; those that have one set in different orders are linked like others.  In each bucket the
 smallest class is first compared with the others; a bucket whose classes are then in
 one component is done, so a bucket of copies of one text costs one comparison a class.
-The classes of other buckets are cut into parts of about PART; every two parts meet in
-a task of their own, which tests their classes against each other and gives as many
-links as join them.  Nothing is capped: a link can only be missed by the bands.  Each
+The classes of other buckets are cut into parts of about PART, those of the bucket's
+largest component apart from the rest; every two parts, but two of that component, meet
+in a task of their own, which tests their classes against each other and gives as many
+links as join them.  So a bucket of many copies and a few strays costs a test of each
+stray with each copy.  Nothing is capped: a link can only be missed by the bands.  Each
 link between classes is confirmed on the full sets of the texts themselves.
 
 Null and empty texts have the empty set and link with nothing.  Fewer than `words`
@@ -170,8 +172,14 @@ def linked(signed: DataFrame, docs: DataFrame, words: int, percent: int, table:
     roots = moved(table, roots, table(full.mapInArrow(lambda batches: verify(batches, words, percent), "a long, b long")))
     # then what shares a bucket and isn't joined yet, part against part
     placed = members.join(roots, "node")
-    mixed = placed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("m")).where("lo < hi").select("bucket", F.ceil(F.col("m") / PART).alias("parts"))
-    open_ = placed.join(mixed, "bucket").withColumn("part", F.pmod(F.xxhash64("node"), "parts")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    sizes = table(placed.groupBy("bucket", "root").agg(F.count("*").alias("m")))
+    mixed = sizes.groupBy("bucket").agg(F.max(F.struct("m", "root")).alias("most"), F.sum("m").alias("all"), F.count("*").alias("roots")).where("roots > 1")
+    dealt = mixed.select("bucket", F.col("most.root").alias("main"), F.ceil((F.col("all") - F.col("most.m")) / PART).alias("rest"), F.ceil(F.col("most.m") / PART).alias("mains"))
+    # parts of the rest, 0 to rest - 1, meet all parts; those of the largest component, from rest on, only the rest's
+    inner, zero = F.col("root") == F.col("main"), F.lit(0).cast("long")
+    part = F.when(inner, F.col("rest") + F.pmod(F.xxhash64("node"), "mains")).otherwise(F.pmod(F.xxhash64("node"), "rest"))
+    others = F.when(inner, F.sequence(zero, F.col("rest") - 1)).otherwise(F.sequence(zero, F.col("rest") + F.col("mains") - 1))
+    open_ = placed.join(dealt, "bucket").withColumn("part", part).withColumn("other", F.explode(others))
     open_ = open_.select("bucket", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "node", "root").join(text, "node").select("bucket", "lo", "hi", "node", "root", "text")
     met = open_.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
     found = table(met.mapInArrow(lambda batches: verify_parts(batches, words, percent), "a long, b long"))
