@@ -90,7 +90,7 @@ def distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum((x**2).sum(axis=1)[:, None] + (pivots**2).sum(axis=1)[None] - 2 * x @ pivots.T, 0))
 
 
-def best(queries: np.ndarray, own: np.ndarray, query_table: np.ndarray, ids: np.ndarray, uids: np.ndarray, x: np.ndarray, table: np.ndarray, most: float, k: int, first: int = 128) -> list[tuple[int, np.ndarray, np.ndarray, int]]:
+def best(queries: np.ndarray, own: np.ndarray, query_table: np.ndarray, ids: np.ndarray, uids: np.ndarray, x: np.ndarray, table: np.ndarray, most: float, k: int, first: int = 256) -> list[tuple[int, np.ndarray, np.ndarray, int]]:
     """[(query, places, scores, how many were scored)]: the k best candidates of each query, the query's own row left out.
 
     x: int64.  Scores beyond 2^52, where bounds in floating point don't hold, are all computed.
@@ -100,6 +100,8 @@ def best(queries: np.ndarray, own: np.ndarray, query_table: np.ndarray, ids: np.
     y = x.astype(np.float64) if exact else x
     out = []
     slack = 1e-7 * (most + 1)
+    table, query_table = np.ascontiguousarray(table.T, np.float32), query_table.astype(np.float32)  # pivots side by side
+    gaps, rounding = np.empty_like(table), 1e-6 * (1 + max(float(table.max(initial=0)), float(query_table.max(initial=0))))
     for i, q in enumerate(queries):
         mine = q.astype(np.float64) if exact else q
         score = lambda at: (y[at] @ mine).astype(np.int64)  # noqa: B023, E731
@@ -107,8 +109,10 @@ def best(queries: np.ndarray, own: np.ndarray, query_table: np.ndarray, ids: np.
             at = np.arange(len(x))
             got = score(at)
         else:
-            low = np.abs(table - query_table[i]).max(axis=1)
-            bound = (float(mine @ mine) + most - np.maximum(low - 1e-6 * (1 + low), 0) ** 2) / 2 + slack
+            np.subtract(table, query_table[i][:, None], out=gaps)
+            np.abs(gaps, out=gaps)
+            low = gaps.max(axis=0).astype(np.float64)
+            bound = (float(mine @ mine) + most - np.maximum(low - rounding, 0) ** 2) / 2 + slack
             head = np.argpartition(-bound, min(first, len(x) - 1))[:first]
             at, got, rest = head, score(head), np.ones(len(x), bool)
             rest[head] = False
