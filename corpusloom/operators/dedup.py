@@ -36,28 +36,42 @@ def top_frequencies(df: DataFrame, label: str, k: int = 50) -> DataFrame:
     return df.groupBy(label).agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), label).limit(k)
 
 
-def similar_pairs(df: DataFrame, within: list[str], id_col: str, items: str, percent: int = 50) -> DataFrame:
-    """(a, b, n_shared, n_union) with 100 |A & B| >= percent |A | B| inside a group: exact, by prefix filtering.
-
-    Items are ordered from rare to frequent; similar sets share one of the first
-    n - ceil(percent n / 100) + 1, so only those are joined, and only sets of
-    comparable sizes are compared.
+def similar_classes(df: DataFrame, within: list[str], id_col: str, items: str, percent: int = 50) -> tuple[DataFrame, DataFrame]:
+    """(members: a row of each id with its class; pairs of classes with 100 |A & B| >= percent |A | B| inside a group): exact, by prefix filtering.
+
+    Rows of the same set of items are a class, named by its smallest id, so copies cost
+    no pairs.  Items are ordered from rare to frequent; similar sets share one of the
+    first n - ceil(percent n / 100) + 1, so only those are joined, and only sets of
+    comparable sizes are compared.  Null and empty items don't count; sets without items
+    have no class.
     """
-    sets = df.select(*within, F.col(id_col).alias("id"), F.array_distinct(F.filter(items, lambda x: x.isNotNull() & (x != ""))).alias("items")).where(F.size("items") > 0)
-    flat = sets.select(*within, "id", F.explode("items").alias("item"), F.size("items").alias("n"))
+    kept = F.array_sort(F.array_distinct(F.filter(items, lambda x: x.isNotNull() & (x != ""))))
+    rows = df.select(*within, F.col(id_col).alias("id"), kept.alias("items")).where(F.size("items") > 0).withColumn("set", F.sha2(F.to_json(F.struct("items")).cast("binary"), 256))
+    sets = rows.groupBy(*within, "set").agg(F.min("id").alias("class"), F.any_value("items").alias("items"))
+    members = rows.select(*within, "set", "id").join(sets.select(*within, "set", "class", F.size("items").alias("n")), [*within, "set"]).drop("set")
+    flat = sets.select(*within, "class", F.explode("items").alias("item"), F.size("items").alias("n"))
     counts = flat.groupBy(*within, "item").agg(F.count("*").alias("df"))
-    order = Window.partitionBy(*within, "id").orderBy("df", "item")
-    placed = flat.join(counts.where("df > 1"), [*within, "item"]).withColumn("at", F.row_number().over(order))
+    own = Window.partitionBy(*within, "class")
+    placed = flat.join(counts.where("df > 1"), [*within, "item"]).withColumn("at", F.row_number().over(own.orderBy("df", "item")))
     # items that only one set holds never join; they come first in the order
-    lone = F.col("n") - F.count("*").over(Window.partitionBy(*within, "id"))
+    lone = F.col("n") - F.count("*").over(own)
     head = placed.withColumn("lone", lone).where(F.col("at") + F.col("lone") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
-    a, b = (head.select(*within, "item", F.col("id").alias(x), F.col("n").alias(f"n_{x}")) for x in "ab")
+    a, b = (head.select(*within, "item", F.col("class").alias(x), F.col("n").alias(f"n_{x}")) for x in "ab")
     sized = (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (F.col("a") < F.col("b"))
     pairs = a.join(b, [*within, "item"]).where(sized).select(*within, "a", "b").distinct()
-    left, right = (sets.select(*within, F.col("id").alias(x), F.col("items").alias(f"items_{x}")) for x in "ab")
+    left, right = (sets.select(*within, F.col("class").alias(x), F.col("items").alias(f"items_{x}")) for x in "ab")
     both = pairs.join(left, [*within, "a"]).join(right, [*within, "b"])
     both = both.withColumn("n_shared", F.size(F.array_intersect("items_a", "items_b"))).withColumn("n_union", F.size("items_a") + F.size("items_b") - F.col("n_shared"))
-    return both.where(100 * F.col("n_shared") >= percent * F.col("n_union")).select(*within, "a", "b", "n_shared", "n_union")
+    return members, both.where(100 * F.col("n_shared") >= percent * F.col("n_union")).select(*within, "a", "b", "n_shared", "n_union")
+
+
+def similar_pairs(df: DataFrame, within: list[str], id_col: str, items: str, percent: int = 50) -> DataFrame:
+    """(a, b, n_shared, n_union) of all pairs of ids a < b whose sets are similar: similar_classes() with its classes written out."""
+    members, linked = similar_classes(df, within, id_col, items, percent)
+    own = members.select(*within, F.col("class").alias("a"), F.col("class").alias("b"), F.col("n").alias("n_shared"), F.col("n").alias("n_union")).distinct()
+    left, right = (members.select(*within, F.col("class").alias(x), F.col("id").alias(f"id_{x}")) for x in "ab")
+    out = linked.unionByName(own).join(left, [*within, "a"]).join(right, [*within, "b"]).where((F.col("a") != F.col("b")) | (F.col("id_a") < F.col("id_b")))
+    return out.select(*within, F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"), "n_shared", "n_union")
 
 
 def minhash(items: Column, permutations: int = 128) -> Column:

@@ -82,6 +82,15 @@ def near_dup_pairs(s: SparkSession, d: str) -> DataFrame:
     return D.similar_pairs(docs, ["lang"], "doc_id", "items").select("lang", "a", "b", F.col("n_shared").cast("long").alias("n_shared"), F.col("n_union").cast("long").alias("n_union"))
 
 
+def near_dup_classes(s: SparkSession, d: str) -> DataFrame:
+    """Each document's class of equal line sets, and how many other classes that one is similar to."""
+    docs = table(s, d, "documents").select("lang", "doc_id", F.split(F.coalesce("text", F.lit("")), "\n", -1).alias("items"))
+    members, pairs = D.similar_classes(docs, ["lang"], "doc_id", "items")
+    ends = pairs.select("lang", F.explode(F.array("a", "b")).alias("class")).groupBy("lang", "class").agg(F.count("*").alias("n_links"))
+    out = members.join(ends, ["lang", "class"], "left")
+    return out.select("lang", F.col("id").alias("doc_id"), F.col("class").alias("class_id"), F.col("n").cast("long").alias("n_lines"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
 def positional(s: SparkSession, d: str) -> DataFrame:
     """Conversation n against n + 1, where n is even."""
     c = chats(s, d).withColumnRenamed("nb_index", "nb")
@@ -165,6 +174,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "chained_dedup": lambda s, d: D.first_by(D.first_by(docs(s, d), F.col("text"), ["doc_id"]).withColumn("line", first_line()), F.col("line"), ["doc_id"]).select("doc_id", "line"),
         "majority_by_group": lambda s, d: D.majority(docs(s, d).withColumn("line", first_line()), ["line"], "text", "source", "doc_id").select("line", F.md5(F.col("text").cast("binary")).alias("text_md5"), "n", "n_sources", "first"),
         "near_dup_pairs": near_dup_pairs,
+        "near_dup_classes": near_dup_classes,
         "positional_diff": positional,
         "split_leak_guard": lambda s, d: D.split_without_leaks(docs(s, d), "doc_id", "text").select("doc_id", "part"),
         "benchmark_leaks": benchmark_leaks,
@@ -225,6 +235,10 @@ def oracle_sql() -> dict[str, str]:
         "majority_by_group": f"WITH c AS (SELECT {LINE} AS line, text, count(*) AS n, count(DISTINCT source) AS n_sources, min(doc_id) AS first FROM documents GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY line ORDER BY n DESC, first) AS nth FROM c) SELECT line, md5(text) AS text_md5, n, n_sources, first FROM r WHERE nth = 1 AND n >= 2",
         "near_dup_pairs": """WITH s AS (SELECT lang, doc_id, list_distinct(list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: x <> '')) AS items FROM documents), f AS (SELECT lang, doc_id, len(items) AS n, unnest(items) AS item FROM s),
             p AS (SELECT a.lang, a.doc_id AS a, b.doc_id AS b, count(*) AS n_shared, any_value(a.n) + any_value(b.n) - count(*) AS n_union FROM f a JOIN f b ON a.lang = b.lang AND a.item = b.item AND a.doc_id < b.doc_id GROUP BY 1, 2, 3) SELECT lang, a, b, n_shared::BIGINT AS n_shared, n_union::BIGINT AS n_union FROM p WHERE 100 * n_shared >= 50 * n_union""",
+        "near_dup_classes": """WITH s AS (SELECT lang, doc_id, list_sort(list_distinct(list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: x <> ''))) AS items FROM documents),
+            k AS (SELECT lang, doc_id, items, min(doc_id) OVER (PARTITION BY lang, items) AS class_id FROM s WHERE len(items) > 0), f AS (SELECT lang, class_id, len(items) AS n, unnest(items) AS item FROM k WHERE doc_id = class_id),
+            p AS (SELECT a.lang, a.class_id AS a, b.class_id AS b FROM f a JOIN f b ON a.lang = b.lang AND a.item = b.item AND a.class_id <> b.class_id GROUP BY 1, 2, 3 HAVING 100 * count(*) >= 50 * (any_value(a.n) + any_value(b.n) - count(*))),
+            l AS (SELECT lang, a, count(*) AS n_links FROM p GROUP BY 1, 2) SELECT k.lang, doc_id, class_id, len(items)::BIGINT AS n_lines, coalesce(n_links, 0)::BIGINT AS n_links FROM k LEFT JOIN l ON k.lang = l.lang AND k.class_id = l.a""",
         "positional_diff": f"""WITH c AS (SELECT * FROM {CHATS}), n AS (SELECT nb_index, count(*) AS size FROM c GROUP BY 1) SELECT x.nb_index AS a, y.nb_index AS b, x.cell_index, x.source AS source_a, y.source AS source_b FROM c x JOIN c y ON y.nb_index = x.nb_index + 1 AND x.cell_index = y.cell_index
             JOIN n p ON p.nb_index = x.nb_index JOIN n q ON q.nb_index = y.nb_index AND p.size = q.size WHERE x.nb_index % 2 = 0 AND x.cell_type = 'code' AND x.source <> y.source""",
         "split_leak_guard": "WITH d AS (SELECT doc_id, text, CASE WHEN ('0x' || substr(md5('0:' || doc_id), 1, 6))::BIGINT % 100 < 55 THEN 'test' ELSE 'dev' END AS drawn FROM documents) SELECT doc_id, CASE WHEN drawn = 'test' AND NOT EXISTS (SELECT 1 FROM d e WHERE e.drawn = 'dev' AND e.text IS NOT DISTINCT FROM d.text) THEN 'test' ELSE 'dev' END AS part FROM d",

@@ -101,3 +101,13 @@ def test_work_folder(spark):
     table = work.WorkTable(spark.range(3))
     assert table.df.count() == 3
     table.drop()
+
+
+def test_copies_are_one_class(spark):
+    rows = [("g", i, ["x", "y", "z"]) for i in range(6)] + [("g", 10, ["z", "y", "x", "w"]), ("g", 11, ["q", None, ""]), ("h", 12, ["x", "y", "z"]), ("h", 13, None)]
+    df = spark.createDataFrame(rows, "k string, id long, items array<string>").repartition(3)
+    members, pairs = D.similar_classes(df, ["k"], "id", "items")
+    assert {tuple(r) for r in members.select("k", "id", "class", "n").collect()} == {*(("g", i, 0, 3) for i in range(6)), ("g", 10, 10, 4), ("g", 11, 11, 1), ("h", 12, 12, 3)}
+    assert [tuple(r) for r in pairs.collect()] == [("g", 0, 10, 3, 4)]
+    want = {("g", i, j, 3, 3) for i in range(6) for j in range(i + 1, 6)} | {("g", i, 10, 3, 4) for i in range(6)}
+    assert {tuple(r) for r in D.similar_pairs(df, ["k"], "id", "items").collect()} == want
