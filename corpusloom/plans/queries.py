@@ -92,10 +92,10 @@ def near_dup_classes(s: SparkSession, d: str) -> DataFrame:
 
 
 def positional(s: SparkSession, d: str) -> DataFrame:
-    """Conversation n against n + 1, where n is even."""
+    """Every conversation n against n + 1."""
     c = chats(s, d).withColumnRenamed("nb_index", "nb")
     ids = c.select("nb").distinct()
-    pairs = ids.where("nb % 2 = 0").select(F.col("nb").alias("a"), (F.col("nb") + 1).alias("b"))
+    pairs = ids.select(F.col("nb").alias("a"), (F.col("nb") + 1).alias("b"))
     return D.positional_diff(pairs, c)
 
 
@@ -207,7 +207,10 @@ BY = "PARTITION BY nb_index ORDER BY cell_index"
 WORDS = r"list_filter(string_split_regex({}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 LINE = "split_part(coalesce(text, ''), chr(10), 1)"
 FIRST = "SELECT *, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS nth FROM documents WHERE text <> ''"
-LEAKS = "SELECT DISTINCT doc_id, item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text) WHERE len(string_split_regex(trim(b.text), '\\s+')) > 2"
+LEAKS = "SELECT DISTINCT doc_id, item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text) WHERE b.text <> '' AND d.text <> '' AND len(regexp_extract_all(b.text, '[^\\x20\\x09-\\x0D]+')) > 0"
+
+
+TEMPLATE = "('# YOUR CODE HERE' || chr(10) || 'raise NotImplementedError()')"
 
 
 def oracle_sql() -> dict[str, str]:
@@ -240,7 +243,7 @@ def oracle_sql() -> dict[str, str]:
             p AS (SELECT a.lang, a.class_id AS a, b.class_id AS b FROM f a JOIN f b ON a.lang = b.lang AND a.item = b.item AND a.class_id <> b.class_id GROUP BY 1, 2, 3 HAVING 100 * count(*) >= 50 * (any_value(a.n) + any_value(b.n) - count(*))),
             l AS (SELECT lang, a, count(*) AS n_links FROM p GROUP BY 1, 2) SELECT k.lang, doc_id, class_id, len(items)::BIGINT AS n_lines, coalesce(n_links, 0)::BIGINT AS n_links FROM k LEFT JOIN l ON k.lang = l.lang AND k.class_id = l.a""",
         "positional_diff": f"""WITH c AS (SELECT * FROM {CHATS}), n AS (SELECT nb_index, count(*) AS size FROM c GROUP BY 1) SELECT x.nb_index AS a, y.nb_index AS b, x.cell_index, x.source AS source_a, y.source AS source_b FROM c x JOIN c y ON y.nb_index = x.nb_index + 1 AND x.cell_index = y.cell_index
-            JOIN n p ON p.nb_index = x.nb_index JOIN n q ON q.nb_index = y.nb_index AND p.size = q.size WHERE x.nb_index % 2 = 0 AND x.cell_type = 'code' AND x.source <> y.source""",
+            JOIN n p ON p.nb_index = x.nb_index JOIN n q ON q.nb_index = y.nb_index AND p.size = q.size WHERE x.cell_type = 'code' AND x.source <> y.source""",
         "split_leak_guard": "WITH d AS (SELECT doc_id, text, CASE WHEN ('0x' || substr(md5('0:' || doc_id), 1, 6))::BIGINT % 100 < 55 THEN 'test' ELSE 'dev' END AS drawn FROM documents) SELECT doc_id, CASE WHEN drawn = 'test' AND NOT EXISTS (SELECT 1 FROM d e WHERE e.drawn = 'dev' AND e.text IS NOT DISTINCT FROM d.text) THEN 'test' ELSE 'dev' END AS part FROM d",
         "benchmark_leaks": LEAKS,
         "benchmark_anti_join": f"SELECT doc_id, lang, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM ({LEAKS}))",
@@ -257,6 +260,28 @@ def oracle_sql() -> dict[str, str]:
         "token_limit": f"SELECT doc_id, len({WORDS.format('coalesce(text, chr(32))')})::BIGINT AS n_words FROM documents WHERE len({WORDS.format('coalesce(text, chr(32))')}) BETWEEN 1 AND 120",
         "solution_span": """WITH l AS (SELECT doc_id, string_split('# BEGIN SOLUTION' || chr(10) || coalesce(text, '') || chr(10) || '# END SOLUTION' || chr(10) || 'print()', chr(10)) AS k FROM documents) SELECT doc_id, array_to_string(k[2:list_position(list_transform(k, lambda x: contains(x, 'END SOLUTION')), true) - 1], chr(10)) AS span FROM l""",
         "record_urls": "SELECT page_id, replace('https://example.org/a b ' || url, ' ', '%20') AS link FROM pages",
+        "code_analysis": """SELECT p_partkey, 'read_csv' AS api, array_to_string(list_filter(string_split_regex('# ' || p_name, '[\x20\x09-\x0D]+'), lambda x: x <> ''), ' ') || ' COMMENTSEP' AS comments,
+            'import pandas as pd NEWLINE NEWLINE def f ( a ) : NEWLINE INDENT return pd . read_csv ( ''jupyter_string'' , a )' AS clean FROM part""",
+        "graded_pipeline": f"""WITH t AS (SELECT conv_id, turn, role, coalesce(text, '') AS text, length(coalesce(text, '')) AS n FROM conversations),
+            c AS (SELECT *, CASE role WHEN 'user' THEN 'markdown' WHEN 'assistant' THEN CASE k WHEN 0 THEN 'code' ELSE 'test' END ELSE 'raw' END AS kind FROM t, range(2) r(k) WHERE k = 0 OR role = 'assistant'),
+            p AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, k) - 1 AS i FROM c),
+            w AS (SELECT *, last_value(CASE WHEN kind = 'markdown' THEN 'task ' || (n % 50) END IGNORE NULLS) OVER near AS nl, i - last_value(CASE WHEN kind = 'markdown' THEN i END IGNORE NULLS) OVER near AS distance FROM p WINDOW near AS (PARTITION BY conv_id ORDER BY i ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING)),
+            q AS (SELECT *, nl || chr(1) || distance || chr(1) || md5({TEMPLATE} || 'codeFalseTrueFalseq' || (n % 50)) AS question, conv_id % 3 = 0 AS boiler, conv_id % 5 <> 1 AND turn % 4 <> 0 AS passed FROM w WHERE kind = 'code' AND nl IS NOT NULL),
+            g AS (SELECT question, count(*) FILTER (NOT boiler) AS n_solutions, max(boiler) AS has_template, first(n % 7 ORDER BY conv_id, i) FILTER (NOT boiler AND passed) AS answer FROM q GROUP BY question),
+            o AS (SELECT *, has_template OR (answer IS NOT NULL AND (SELECT max(boiler) FROM q)) AS released FROM g)
+            SELECT question, CASE WHEN n_solutions = 0 THEN 'only boiler' WHEN answer IS NULL THEN 'no autograder tests or none passed' WHEN NOT released THEN 'no boilerplate' ELSE 'success' END AS status, CASE WHEN released THEN {TEMPLATE} END AS template,
+            CASE WHEN released AND answer IS NOT NULL THEN 'answer = compute(' || answer || ')' END AS extracted, CASE WHEN released AND answer IS NOT NULL THEN 'answer = compute ( ' || answer || ' )' END AS extracted_tokens, CASE WHEN released THEN '' END AS template_tokens, n_solutions FROM o""",
+        "exercise_pipeline": """WITH t AS (SELECT conv_id, turn, role, coalesce(text, '') AS text, length(coalesce(text, '')) AS n FROM conversations),
+            c AS (SELECT conv_id, turn, k, CASE role WHEN 'user' THEN 'markdown' WHEN 'assistant' THEN 'code' ELSE 'raw' END AS kind,
+            CASE role WHEN 'user' THEN 'this is the task for ' || (n % 20) || CASE k WHEN 1 THEN ' and that is all of it' ELSE '' END WHEN 'assistant' THEN 'best = search(' || (n % 3) || ')' ELSE text END AS source FROM t, range(2) r(k) WHERE k = 0 OR role = 'user'),
+            p AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, k) - 1 AS i FROM c),
+            s AS (SELECT conv_id, count(DISTINCT source) FILTER (kind <> 'code' AND source <> '') AS shared, count(DISTINCT source) FILTER (kind = 'code') AS answers FROM p GROUP BY conv_id HAVING count(*) FILTER (kind = 'markdown') > 0),
+            w AS (SELECT *, last_value(CASE WHEN kind = 'markdown' THEN source END IGNORE NULLS) OVER above AS nl, i - last_value(CASE WHEN kind = 'markdown' THEN i END IGNORE NULLS) OVER above AS distance FROM p WINDOW above AS (PARTITION BY conv_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+            r AS (SELECT coalesce(nl, 'yo') || chr(1) || coalesce(distance, 0) AS grp, 'r' || conv_id AS repo, i, source FROM w JOIN s USING (conv_id) WHERE kind = 'code' AND 100 * shared >= 50 * (shared + answers)),
+            o AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY repo, i) AS pos, count(*) OVER (PARTITION BY grp) AS n_all FROM r),
+            v AS (SELECT grp, source, count(*) AS n_code, count(DISTINCT repo) AS n_repos, min(pos) AS first, any_value(n_all) AS n_all FROM o GROUP BY grp, source),
+            b AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY n_code DESC, first) AS nth FROM v)
+            SELECT grp AS "group", CASE WHEN n_code < 2 OR n_all < 2 THEN 'only 1 solution' WHEN n_repos < 2 THEN 'only from 1 repo' ELSE 'success' END AS status, source AS target, '' AS boilerplate, n_code, n_repos FROM b WHERE nth = 1""",
         "train_pipeline": rf"""WITH c AS (SELECT conv_id AS nb_index, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS cell_index, CASE role WHEN 'user' THEN 'markdown' WHEN 'assistant' THEN 'code' ELSE 'raw' END AS cell_type, coalesce(text, '') AS t FROM conversations),
             n AS (SELECT *, CASE WHEN cell_type = 'markdown' AND t <> '' THEN 'about ' || md5(t) || CASE WHEN regexp_matches(t, '[^\x00-\x7F]') THEN ' é' ELSE '' END ELSE t END AS source FROM c),
             w AS (SELECT *, lag(cell_type) OVER ({BY}) AS above, lag(source) OVER ({BY}) AS above_source, last_value(CASE WHEN cell_type = 'markdown' AND source <> '' THEN source END IGNORE NULLS) OVER ({BY} ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING) AS nl,
