@@ -13,6 +13,7 @@ space becomes a blank.
 
 from __future__ import annotations
 
+import itertools
 import json
 import os
 
@@ -105,8 +106,10 @@ class PieceEncoder:
         if len(self.where) + len(values) > self.most and self.where:
             self.clear()
         where = self.where
-        new = [x for x in values if x not in where]
-        if new:
+        entry = np.fromiter(map(where.get, values, itertools.repeat(-1)), np.int64, len(values))
+        fresh = np.flatnonzero(entry < 0)
+        if len(fresh):
+            new = [values[i] for i in fresh.tolist()]
             flat, sizes = self.encode_new(new)
             first, n = len(where), len(new)
             while self.used + len(flat) > len(self.store):
@@ -118,7 +121,8 @@ class PieceEncoder:
             self.length[first : first + n] = sizes
             self.used += len(flat)
             where.update(zip(new, range(first, first + n), strict=True))
-        return np.fromiter(map(where.__getitem__, values), np.int64, len(values))
+            entry[fresh] = np.arange(first, first + n)
+        return entry
 
     def encode_new(self, pieces: list[bytes], together: int = 128) -> tuple[np.ndarray, np.ndarray]:
         """(ids end to end, how many each piece has); pieces with hard boundaries between them are encoded many at a time."""
