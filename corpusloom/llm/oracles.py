@@ -55,6 +55,19 @@ c AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
 SELECT c.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, c.doc_id = component_id AS kept FROM c LEFT JOIN n USING (doc_id)
 """
 
+MIX = rf"""
+WITH d AS (SELECT doc_id, coalesce('0' || source, '1') AS key, len(regexp_extract_all(coalesce(text, ''), {WORD}))::BIGINT AS size, md5('42:' || coalesce(doc_id::VARCHAR, '')) AS draw FROM documents),
+s AS (SELECT key, sum(size)::BIGINT AS size FROM d GROUP BY key),
+w AS (SELECT *, [3, 1, 2][((row_number() OVER (ORDER BY key) - 1) % 3 + 1)::INT]::BIGINT AS weight, 2 * size AS room FROM s),
+f AS (SELECT *, row_number() OVER r AS place, coalesce(sum(room) OVER (r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS room_before, coalesce(sum(weight) OVER (r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS weight_before,
+  1.5::DOUBLE * sum(size) OVER ()::BIGINT AS wanted, sum(weight) OVER ()::BIGINT AS weighed FROM w WINDOW r AS (ORDER BY room::DOUBLE / weight::DOUBLE, key)),
+e AS (SELECT min(place) AS place, arg_min(wanted - room_before, place) AS words, arg_min((weighed - weight_before)::DOUBLE, place) AS weights FROM f WHERE room::DOUBLE * (weighed - weight_before) >= weight * (wanted - room_before)),
+t AS (SELECT f.key, f.size AS source_size, CASE WHEN e.place IS NULL OR f.place < e.place THEN room::DOUBLE ELSE weight * e.words / e.weights END AS target FROM f, e),
+p AS (SELECT *, (sum(size) OVER (PARTITION BY key ORDER BY draw, doc_id NULLS FIRST, size ROWS UNBOUNDED PRECEDING) - size)::BIGINT AS start FROM d)
+SELECT doc_id, size, source_size, target,
+  (greatest(0, least(floor(target)::BIGINT - start, size)) + greatest(0, least(floor(target)::BIGINT - source_size - start, size)))::BIGINT AS taken FROM p JOIN t USING (key)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": LINE_DEDUP, "op4_exact_dedup": EXACT_DEDUP, "op6_topk_search": TOPK, "op8_substring_dedup": SUBSTRING_DEDUP, "op10_near_dedup": NEAR_DEDUP}
+    return {"op1_line_dedup": LINE_DEDUP, "op4_exact_dedup": EXACT_DEDUP, "op6_topk_search": TOPK, "op8_substring_dedup": SUBSTRING_DEDUP, "op10_near_dedup": NEAR_DEDUP, "op11_source_mix": MIX}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import block_naming, chunk_bpe, cutting_stock, gru_lm, line_dedup, near_dedup, substring_dedup, token_files, topk_search, toxicity
+from . import block_naming, chunk_bpe, cutting_stock, gru_lm, line_dedup, near_dedup, source_mix, substring_dedup, token_files, topk_search, toxicity
 
 WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json"
 
@@ -35,5 +35,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_substring_dedup": lambda s, d: substring_dedup.op8(table(s, d, "documents")),
         "op9_gru_lm": lambda s, d: gru_lm.op9(table(s, d, "documents")),
         "op10_near_dedup": lambda s, d: near_dedup.op10(table(s, d, "documents")),
+        "op11_source_mix": lambda s, d: source_mix.op11(table(s, d, "documents")),
         "pipeline": pipeline,
     }
