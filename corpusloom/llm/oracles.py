@@ -68,6 +68,23 @@ SELECT doc_id, size, source_size, target,
   (greatest(0, least(floor(target)::BIGINT - start, size)) + greatest(0, least(floor(target)::BIGINT - source_size - start, size)))::BIGINT AS taken FROM p JOIN t USING (key)
 """
 
+VECTORS = """
+WITH v AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS uid, vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS MATERIALIZED (SELECT uid, part, x[part * len(x) // 4 + 1 : (part + 1) * len(x) // 4] AS x FROM v, range(4) r(part)),
+b0 AS MATERIALIZED (SELECT part, uid AS entry, x FROM p WHERE uid < 256),
+"""
+ASSIGNED = "a{k} AS MATERIALIZED (SELECT uid, part, min(256 * (list_dot_product(p.x, p.x) - 2 * list_dot_product(p.x, b.x) + list_dot_product(b.x, b.x))::BIGINT + b.entry) AS best, any_value(p.x) AS x FROM p JOIN b{k} b USING (part) GROUP BY uid, part),"
+MOVED = """
+s{k} AS (SELECT part, best % 256 AS entry, i, floor(sum(x[i]) / count(*)) AS y FROM a{k}, range(1, 65) r(i) WHERE i <= len(x) GROUP BY 1, 2, 3),
+b{n} AS MATERIALIZED (SELECT part, entry, coalesce(y, x) AS x FROM b{k} LEFT JOIN (SELECT part, entry, list(y ORDER BY i) AS y FROM s{k} GROUP BY 1, 2) USING (part, entry)),
+"""
+VECTOR_CODES = VECTORS + "".join(ASSIGNED.format(k=k) + MOVED.format(k=k, n=k + 1) for k in range(4)) + ASSIGNED.format(k=4) + """
+c AS (SELECT uid, string_agg(printf('%02x', best % 256), '' ORDER BY part) AS code, sum(best // 256)::BIGINT AS error FROM a4 GROUP BY uid),
+h AS (SELECT sha256(string_agg(x[i]::BIGINT::VARCHAR, ',' ORDER BY part, entry, i)) AS h FROM b4, range(1, 65) r(i) WHERE i <= len(x))
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, (SELECT h FROM h) AS codebooks_sha256 FROM c JOIN v USING (uid)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": LINE_DEDUP, "op4_exact_dedup": EXACT_DEDUP, "op6_topk_search": TOPK, "op8_substring_dedup": SUBSTRING_DEDUP, "op10_near_dedup": NEAR_DEDUP, "op11_source_mix": MIX}
+    return {"op1_line_dedup": LINE_DEDUP, "op4_exact_dedup": EXACT_DEDUP, "op6_topk_search": TOPK, "op8_substring_dedup": SUBSTRING_DEDUP, "op10_near_dedup": NEAR_DEDUP, "op11_source_mix": MIX, "op13_vector_codes": VECTOR_CODES}
