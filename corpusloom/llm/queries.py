@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import block_naming, chunk_bpe, cutting_stock, gru_lm, line_dedup, near_dedup, source_mix, substring_dedup, token_files, topk_search, toxicity, vector_codes
+from . import block_naming, chunk_bpe, cutting_stock, gru_lm, line_dedup, merge_on_read, near_dedup, source_mix, substring_dedup, token_files, topk_search, toxicity, vector_codes
 
 WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json"
 
@@ -36,6 +36,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_gru_lm": lambda s, d: gru_lm.op9(table(s, d, "documents")),
         "op10_near_dedup": lambda s, d: near_dedup.op10(table(s, d, "documents")),
         "op11_source_mix": lambda s, d: source_mix.op11(table(s, d, "documents")),
+        "op12_merge_on_read": lambda s, d: merge_on_read.op12(table(s, d, "clients"), table(s, d, "client_changes")),
         "op13_vector_codes": lambda s, d: vector_codes.op13(table(s, d, "embeddings")),
         "pipeline": pipeline,
     }
