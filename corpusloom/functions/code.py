@@ -279,6 +279,18 @@ def plain_tokens(code: Column) -> Column:
     return F.pandas_udf(run, "array<string>").asNondeterministic()(code)
 
 
+def typed_tokens(code: Column) -> Column:
+    """The token stream of analyze() as one array of (text, kind), so that a stretch of it keeps its kinds."""
+    return F.transform(F.arrays_zip(code["code_tokens"].alias("text"), code["token_types"].alias("kind")), lambda t: F.struct(t["text"].alias("text"), t["kind"].alias("kind")))
+
+
+def laid_out(tokens: Column) -> Column:
+    """clean() of a stretch of typed_tokens(), comments dropped and strings alike; empty where nothing is left."""
+    kept = F.filter(tokens, lambda t: ~t["kind"].isin("DEDENT", "COMMENT"))
+    spelt = F.transform(kept, lambda t: F.when(t["kind"] == "INDENT", "INDENT").when(t["kind"] == "STRING", f"'{STRING}'").when(t["kind"].isin("NEWLINE", "NL") | t["text"].isin("\n", "\r\n"), "NEWLINE").otherwise(t["text"]))
+    return F.when(F.get(spelt, F.size(spelt) - 1) == "NEWLINE", F.slice(spelt, 1, F.greatest(F.size(spelt) - 1, F.lit(0)))).otherwise(spelt)
+
+
 def logic_type(boilerplate: Column, api_sequence: Column, tokens: Column, least: int = 0, most: int = 15) -> Column:
     """What kind of code a cell is; the length of its API sequence is judged before its definitions."""
     n = F.size(F.filter(api_sequence, lambda x: x != NO_CALLS))

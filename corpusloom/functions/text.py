@@ -53,11 +53,22 @@ def cell_checksum(source: Column, cell_type: Column, grade: Column, solution: Co
     return F.md5(F.concat(source, cell_type, python_bool(g), python_bool(s), python_bool(held), F.coalesce(grade_id, F.lit("")), marks).cast("binary"))
 
 
+def solution_marks(tokens: Column) -> tuple[Column, Column]:
+    """Places, from 1, of the first token that holds BEGIN SOLUTION and of the first that holds END SOLUTION; 0 without one."""
+    place = lambda mark: F.coalesce(F.array_position(F.transform(tokens, lambda x: F.contains(x, F.lit(mark))), True), F.lit(0)).cast("int")
+    return place("BEGIN SOLUTION"), place("END SOLUTION")
+
+
 def solution_span(tokens: Column) -> Column:
     """Tokens between the first that holds BEGIN SOLUTION and the first that holds END SOLUTION; null without both in order."""
-    begin = F.array_position(F.transform(tokens, lambda x: F.contains(x, F.lit("BEGIN SOLUTION"))), True)
-    end = F.array_position(F.transform(tokens, lambda x: F.contains(x, F.lit("END SOLUTION"))), True)
-    return F.when((begin > 0) & (end > begin), F.slice(tokens, (begin + 1).cast("int"), (end - begin - 1).cast("int")))
+    begin, end = solution_marks(tokens)
+    return F.when((begin > 0) & (end > begin), F.slice(tokens, begin + 1, end - begin - 1))
+
+
+def around_solution(tokens: Column) -> Column:
+    """What solution_span() leaves, the marks included."""
+    begin, end = solution_marks(tokens)
+    return F.when((begin > 0) & (end > begin), F.concat(F.slice(tokens, F.lit(1), begin), F.slice(tokens, end, F.size(tokens) - end + 1)))
 
 
 def html_tokens(html: Column) -> Column:

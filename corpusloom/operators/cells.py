@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text as X
 from ..functions.language import has_code_tag
@@ -159,8 +160,45 @@ def with_context(cells: DataFrame, length: int, fields: list[str] | dict[str, st
     return own.withColumn("context", context).withColumn("num_cells_above", F.col("cell_index")).drop("_above")
 
 
+def last_markdown(cells: DataFrame, name: str = "above") -> DataFrame:
+    """`name`: struct (cell_index, source) of the nearest markdown above that isn't empty, however far, in one pass over a notebook."""
+    above = in_order().rowsBetween(Window.unboundedPreceding, -1)
+    return cells.withColumn(name, F.last(F.when(is_markdown() & is_valid(), F.struct("cell_index", "source")), ignorenulls=True).over(above))
+
+
+def notebook_context(cells: DataFrame, fields: dict[str, str], wanted: Column | None = None) -> DataFrame:
+    """(nb_index, cells): one array a notebook of its valid (and wanted) cells in order, with their place `at` and `fields` (columns by name)."""
+    use = cells.where(is_valid() if wanted is None else is_valid() & wanted)
+    one = F.struct(F.col("cell_index").alias("at"), *[F.col(c).alias(f) for f, c in fields.items()])
+    return use.groupBy("nb_index").agg(F.sort_array(F.collect_list(one)).alias("cells"))
+
+
+def sliced_context(targets: DataFrame, contexts: DataFrame, length: int) -> DataFrame:
+    """with_context() for few targets and long contexts: what lies at most `length` above a target in notebook_context(), nearest first; a notebook's cells are held once."""
+    first = F.col("cell_index") - length
+    taken = F.reverse(F.filter("_cells", lambda c: (c["at"] < F.col("cell_index")) & (c["at"] >= first)))
+    fields = contexts.schema["cells"].dataType.elementType.names[1:]
+    context = F.transform(taken, lambda c: F.struct((F.col("cell_index") - c["at"]).cast("int").alias("distance_target"), *[c[f].alias(f) for f in fields]))
+    both = targets.join(contexts.select("nb_index", F.col("cells").alias("_cells")), "nb_index", "left")
+    kind = T.ArrayType(T.StructType([T.StructField("distance_target", T.IntegerType()), *contexts.schema["cells"].dataType.elementType.fields[1:]]))
+    return both.withColumn("context", F.coalesce(context, F.array().cast(kind))).withColumn("num_cells_above", F.col("cell_index")).drop("_cells")
+
+
+def import_places(cells: DataFrame, name: str = "n_imports") -> DataFrame:
+    """`name`: how many import tokens the code cells from the first to this one hold, a running sum."""
+    found = F.size(X.import_tokens(F.when(is_code(), F.col("source"))))
+    upto = in_order().rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return cells.withColumn(name, F.sum(F.greatest(found, F.lit(0))).over(upto).cast("int"))
+
+
+def sliced_imports(counted: DataFrame, cells: DataFrame, name: str = "imports", count: str = "n_imports") -> DataFrame:
+    """Import tokens of all code cells from the first to this one, repeats kept: the first so many (import_places()) of the one array that holds a notebook's."""
+    own = cells.where(is_code()).select("nb_index", F.struct("cell_index", X.import_tokens(F.col("source")).alias("found")).alias("x")).where(F.size("x.found") > 0)
+    whole = own.groupBy("nb_index").agg(F.flatten(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["found"])).alias("_imports"))
+    some = F.slice("_imports", F.lit(1), F.col(count))
+    return counted.join(whole, "nb_index", "left").withColumn(name, F.coalesce(some, F.array().cast("array<string>"))).drop("_imports", count)
+
+
 def running_imports(cells: DataFrame, name: str = "imports") -> DataFrame:
     """Import tokens of all code cells from the first to this one, repeats kept."""
-    found = F.when(is_code(), X.import_tokens(F.col("source")))
-    upto = in_order().rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return cells.withColumn(name, F.flatten(F.collect_list(found).over(upto)))
+    return sliced_imports(import_places(cells), cells, name)

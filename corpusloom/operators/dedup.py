@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.work import WorkTable
+
 
 def first_by(df: DataFrame, key: Column, order: list[str], also: Column | None = None) -> DataFrame:
     """The first row of each key in the given order; null and empty keys are dropped.
@@ -121,6 +123,52 @@ def split_without_leaks(df: DataFrame, id_col: str, key: str, test_percent: int
     return seen.withColumn("part", F.when((F.col("drawn") == "test") & F.col("dev_key").isNull(), "test").otherwise("dev")).drop("drawn", "dev_key")
 
 
+#: Bits of a hash that one pass of kth_smallest() tells apart.
+DIGIT = 12
+
+
+def kth_smallest(hashes: DataFrame, k: int, column: str = "h", bits: int = 60) -> int:
+    """The k-th smallest (from 1) of non-negative numbers below 2^bits, found by counting.
+
+    Each pass counts the numbers by their next 12 bits among those that share what is
+    known of the k-th one; the driver gets at most 4,096 counts a pass.
+    """
+    known, left = 0, bits
+    while left:
+        left -= DIGIT
+        share = hashes.where(F.shiftright(column, left + DIGIT) == known).groupBy(F.shiftright(column, left).alias("digit")).count().orderBy("digit").collect()
+        for row in share:
+            if k <= row["count"]:
+                known = row["digit"]
+                break
+            k -= row["count"]
+        else:
+            raise ValueError("fewer numbers than k")
+        if row["count"] == 1:  # no need to tell it from others
+            return hashes.where(F.shiftright(column, left) == known).first()[column]
+    return known
+
+
+def split_exactly(df: DataFrame, ids: list[str], key: str, test_percent: int = 55, seed: str = "0") -> DataFrame:
+    """part: dev or test, test_percent of all rows, rounded up, drawn for test by a hash of their ids; those whose key occurs among the others then go to dev.
+
+    The cut is the hash of the last row to be drawn, so the number is exact where the ids
+    tell rows apart; rows that share the hash at the cut are drawn together.  Keys may be
+    arrays; they travel as digests; null keys are alike.
+    """
+    drawn = df.withColumn("_h", F.conv(F.substring(hash_rank(*ids, seed=seed), 1, 15), 16, 10).cast("long"))
+    hashes = WorkTable(drawn.select(F.col("_h").alias("h")))
+    n = hashes.df.count()
+    wanted = -(-n * test_percent // 100)
+    cut = kth_smallest(hashes.df, wanted) if wanted else -1
+    hashes.drop()
+    digest = F.sha2(F.to_json(F.struct(F.col(key).alias("k"))).cast("binary"), 256)
+    told = drawn.withColumn("_test", F.col("_h") <= cut).withColumn("_key", digest)
+    held = told.where(~F.col("_test")).select(F.col("_key").alias("_held")).distinct()
+    seen = told.join(held, F.col("_key") == F.col("_held"), "left")
+    return seen.withColumn("part", F.when(F.col("_test") & F.col("_held").isNull(), "test").otherwise("dev")).drop("_h", "_test", "_key", "_held")
+
+
 def shuffled_union(parts: list[DataFrame], id_cols: list[str], seed: str = "42") -> DataFrame:
     """UNION ALL in a fixed pseudo-random order."""
     out = parts[0]

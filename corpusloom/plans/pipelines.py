@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import code as C
@@ -43,66 +43,118 @@ def train(notebooks: DataFrame, context_len: int = 12, max_tokens: int = 120) ->
     bare = K.is_code() & (ended("source") == ended("fixed"))
     told = told.withColumns({"context_nl": F.col("nl_tokens"), "context_code": F.when(bare, F.col("code")), "is_context": G.grading_of(F.col("nbgrader")) != "autograder tests"})
     fields = {"cell_type": "cell_type", "nl": "context_nl", "nl_original": "source", "code": "context_code"}
-    context = K.running_imports(K.nearest_markdown(K.nearest_markdown(K.with_context(told, context_len, fields, F.col("is_context")), context_len), context_len, "nl_tokens", "context_nl"))
+    context = K.import_places(K.nearest_markdown(K.nearest_markdown(K.with_context(told, context_len, fields, F.col("is_context")), context_len), context_len, "nl_tokens", "context_nl"))
     targets = of_kept_logic(K.train_cells(context).where("code.parses"))
     sized = targets.where((F.size("code.code_tokens") > 0) & (F.size("code.code_tokens_clean") <= max_tokens))
     records = sized.withColumn("source", F.col("fixed")).drop("fixed", "context_nl", "context_code", "is_context")
     once = D.first_by(records, F.col("code.code_tokens"), ["nb_index", "cell_index"])
-    return D.first_by(once, F.col("nl_tokens"), ["nb_index", "cell_index"])
+    return K.sliced_imports(D.first_by(once, F.col("nl_tokens"), ["nb_index", "cell_index"]), cells)
 
 
-def graded(notebooks: DataFrame, max_nl_distance: int = 3, max_tokens: int = 120) -> DataFrame:
-    """One recovered solution for each graded question, or the reason why there is none (column status)."""
-    cells = G.mark_cells(K.explode_cells(notebooks))
+#: Fields of a context cell: markdown has its words and text, other cells their analysis.
+CONTEXT = {"cell_type": "cell_type", "nl": "nl", "nl_original": "nl_original", "code": "code"}
+
+
+def with_records(chosen: DataFrame, cells: DataFrame, context_len: int) -> DataFrame:
+    """Rows (nb_index, cell_index, ...) with context, num_cells_above and imports of their notebooks; only the cells of these notebooks are analysed."""
+    own = cells.join(chosen.select("nb_index").distinct(), "nb_index", "left_semi")
+    counts = K.import_places(own).select("nb_index", "cell_index", "n_imports")
+    prose = F.when(K.is_markdown(), F.col("source"))
+    told = own.withColumns({"nl": nl_tokens(prose), "nl_original": prose, "code": C.analyze(F.when(~K.is_markdown() & K.is_valid(), F.col("source")))})
+    contexts = K.notebook_context(told, CONTEXT, K.is_markdown() | (G.grading_of(F.col("nbgrader")) != "autograder tests"))
+    return K.sliced_imports(K.sliced_context(chosen, contexts, context_len).join(counts, ["nb_index", "cell_index"]), own)
+
+
+def graded(notebooks: DataFrame, max_nl_distance: int = 3, max_tokens: int = 120, context_len: int = 1200) -> DataFrame:
+    """One recovered solution for each graded question, or the reason why there is none (column status).
+
+    A question is told by the words of the nearest markdown that isn't empty, at most
+    context_len above, its distance, and the checksum; markdown, be it empty, must lie
+    at most max_nl_distance above.
+    """
+    cells = WorkTable(G.mark_cells(K.explode_cells(notebooks))).df
     test = F.col("grading") == "autograder tests"
-    cells = K.test_outcomes(cells, test, K.cell_passed(F.col("execution_count"), F.col("outputs")), F.size("outputs") > 0, ["nb_index"], ["cell_index"])
-    cells = K.markdown_distance(K.nearest_markdown(K.markdown_within(cells, max_nl_distance), max_nl_distance), max_nl_distance)
-    own = cells.where(F.col("nbgrader").isNotNull() & K.is_code() & (F.col("grading") == "autograded code") & F.col("has_markdown"))
-    own = own.withColumn("source", X.print_calls(X.strip_magics(F.col("source"))))
-    rows = of_kept_logic(analyzed(own).where(F.col("code.parses") | F.col("is_boilerplate"))).withColumn("question", F.concat_ws("\x01", F.coalesce("nl", F.lit("")), "nl_distance", F.coalesce("nbgrader.checksum", F.lit("dummy-checksum"))))
-    return choose_solution(WorkTable(rows).df, max_tokens)  # analysed once, read several times
+    seen = K.test_outcomes(cells, test, K.cell_passed(F.col("execution_count"), F.col("outputs")), F.size("outputs") > 0, ["nb_index"], ["cell_index"])
+    seen = K.last_markdown(K.markdown_within(seen, max_nl_distance))
+    own = seen.where(F.col("nbgrader").isNotNull() & K.is_code() & (F.col("grading") == "autograded code") & F.col("has_markdown"))
+    own = near_text(own.withColumn("source", X.print_calls(X.strip_magics(F.col("source")))), context_len)
+    checksum = F.coalesce("nbgrader.checksum", F.lit("dummy-checksum"))
+    rows = of_kept_logic(analyzed(own).where(F.col("code.parses") | F.col("is_boilerplate"))).where(F.size("code.code_tokens") > 0)
+    rows = WorkTable(rows.withColumn("question", F.concat_ws("\x01", F.array_join(F.coalesce("nl_tokens", F.array().cast("array<string>")), " "), "nl_distance", checksum)))
+    chosen = WorkTable(choose_solution(rows.df, max_tokens)).df  # analysed once, read several times
+    picked = chosen.where("status = 'success'").select("question", "target.nb_index", "target.cell_index")
+    records = with_records(picked, cells, context_len).select("question", "context", "num_cells_above", "imports")
+    return chosen.join(records, "question", "left")
+
+
+def near_text(rows: DataFrame, context_len: int) -> DataFrame:
+    """Text, words and distance of the markdown of last_markdown(), where it is at most context_len away; distance 0 without one."""
+    far = F.col("cell_index") - F.col("above.cell_index")
+    near = F.coalesce(far <= context_len, F.lit(False))
+    told = rows.withColumns({"nl": F.when(near, F.col("above.source")), "nl_distance": F.when(near, far).otherwise(0)}).drop("above")
+    return told.withColumn("nl_tokens", nl_tokens(F.col("nl")))
 
 
 def choose_solution(rows: DataFrame, max_tokens: int = 120) -> DataFrame:
-    """A target for each question: the last passed row with outputs, else the first passed; its template, from the question's rows or else by checksum from all; what was added to it."""
+    """A target for each question, its template and what was added to it.
+
+    If a solution holds the marks of an instructor's answer, the question's target is
+    the code that most rows share of those with something between the marks; that is what
+    is extracted, in the tokens of the whole cell, and the other tokens are the template.
+    Else it is the last passed row with outputs, else the first passed; its template is
+    that of the question's own rows or else found by checksum among all, and what is
+    extracted are the lines added to it.
+    """
     position = Window.partitionBy("question").orderBy("nb_index", "cell_index")
     placed = rows.withColumn("pos", F.row_number().over(position))
     rank = F.struct((~F.col("from_output_nb")).alias("late"), F.when(F.col("from_output_nb"), -F.col("pos")).otherwise(F.col("pos")).alias("pos"))
     solution, passed = ~F.col("is_boilerplate"), ~F.col("is_boilerplate") & F.coalesce("test_below_passed", F.lit(False))
-    target = F.struct("source", "nb_index", "cell_index", "path", "repo", "code", F.col("nl").alias("nl"))
     groups = placed.groupBy("question").agg(
-        F.count_if(solution).alias("n_solutions"), F.max(solution & F.col("is_instructor_answer")).alias("instructor"), F.min_by(F.when(passed, target), F.when(passed, rank)).alias("target"),
+        F.count_if(solution).alias("n_solutions"), F.coalesce(F.max(solution & F.col("is_instructor_answer")), F.lit(False)).alias("instructor"), F.min_by(F.when(passed, target_of()), F.when(passed, rank)).alias("student"),
         F.min_by(F.when(passed, F.struct("nbgrader", "cell_type")), F.when(passed, rank)).alias("mark"),
         F.min_by(F.when(~solution, F.col("source")), F.when(~solution, F.col("pos"))).alias("template"),
     )
-    lacking = groups.where(F.col("template").isNull() & F.col("mark").isNotNull()).select("question", "mark.nbgrader", "mark.cell_type")
-    released = G.boilerplates_by_checksum(lacking, rows).groupBy("question").agg(F.min("released").alias("released"))
+    lacking = groups.where(F.col("template").isNull() & F.col("mark").isNotNull() & ~F.col("instructor")).select("question", "mark.nbgrader", "mark.cell_type")
+    released = G.boilerplates_by_checksum(lacking, rows).select("question", "released")
     groups = groups.join(released, "question", "left").withColumn("template", F.coalesce("template", "released"))
-    found = instructor_answers(placed.where(solution))
-    own = groups.join(found, "question", "left").withColumn("added", F.when(F.col("template").isNotNull(), S.extract_target(F.col("template"), F.col("target.source"))))
+    own = groups.join(instructor_answers(placed.where(solution)), "question", "left").withColumn("target", F.when(F.col("instructor"), F.col("answer")).otherwise(F.col("student")))
+    own = own.withColumn("added", F.when(F.col("template").isNotNull() & ~F.col("instructor"), S.extract_target(F.col("template"), F.col("target.source"))))
     blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
-    extracted = F.when(F.coalesce("instructor", F.lit(False)), F.col("span")).otherwise(F.col("added"))
-    own = own.withColumn("extracted", extracted).withColumn("extracted_tokens", C.plain_tokens(F.col("extracted")))
-    own = own.withColumn("template_tokens", C.plain_tokens(F.col("template"))).withColumn("template_tokens", F.when(S.is_trivial(F.col("template_tokens")), F.array().cast("array<string>")).otherwise(F.col("template_tokens")))
-    status = (
+    typed = C.typed_tokens(F.col("target.code"))
+    texts = F.transform(typed, lambda t: t["text"])
+    begin, end = X.solution_marks(texts)
+    inside = F.slice(typed, begin + 1, F.greatest(end - begin - 1, F.lit(0)))
+    outside = F.concat(F.slice(typed, F.lit(1), begin), F.slice(typed, F.greatest(end, F.lit(1)), F.size(typed) - end + 1))
+    marked = F.col("instructor") & F.col("target").isNotNull()
+    own = own.withColumns({"extracted": F.when(F.col("instructor"), F.col("span")).otherwise(F.col("added")), "added_tokens": C.plain_tokens(F.col("added")), "plain_template": C.plain_tokens(F.when(~F.col("instructor"), F.col("template")))})
+    trivial = F.when(S.is_trivial(F.col("plain_template")), F.array().cast("array<string>")).otherwise(F.col("plain_template"))
+    own = own.withColumns({"extracted_tokens": F.when(marked, C.laid_out(inside)).otherwise(F.col("added_tokens")), "template_tokens": F.when(marked, C.laid_out(outside)).otherwise(trivial)})
+    found = (
         F.when(F.col("n_solutions") == 0, "only boiler")
         .when(F.col("instructor"), F.when(F.coalesce("span_rows", F.lit(0)) >= 2, "success").when(F.col("span_rows") == 1, "only 1 solution").otherwise("no span"))
         .when(F.col("target").isNull(), "no autograder tests or none passed").when(F.col("template").isNull(), "no boilerplate").when(blank(F.col("added")), "multiple insertion points")
         .when(F.col("extracted_tokens").isNull() | F.col("template_tokens").isNull(), "not tokenizable autograded").otherwise("success")
     )
-    out = own.withColumn("status", status)
-    long = F.coalesce(F.size("extracted_tokens"), F.lit(0)) > max_tokens
-    return out.withColumn("status", F.when((F.col("status") == "success") & long, "longer than the token limit").otherwise(F.col("status"))).select("question", "status", "target", "template", "template_tokens", "extracted", "extracted_tokens", "n_solutions")
+    long = F.size("extracted_tokens") > max_tokens
+    status = F.when(found != "success", found).when(F.size("target.code.code_tokens_clean") <= 0, "empty target cell tokens").when(F.size("extracted_tokens") == 0, "empty extracted tokens").when(long, "longer than the token limit").otherwise(found)
+    return own.withColumn("status", status).select("question", "status", "target", "template", "template_tokens", "extracted", "extracted_tokens", "n_solutions")
+
+
+def target_of() -> Column:
+    """What a record says of the cell that was chosen."""
+    return F.struct("source", "nb_index", "cell_index", "path", "repo", "code", "nl", "nl_tokens")
 
 
 def instructor_answers(solutions: DataFrame) -> DataFrame:
-    """For each question, what stands between the solution marks in the code that most rows share."""
+    """For each question, the code that most rows share of those with something between the solution marks: its first row (answer), how many rows (span_rows), and the text between the marks (span)."""
+    between = X.solution_span(F.col("code.code_tokens"))
+    filled = solutions.where(F.coalesce(F.exists(between, lambda t: F.regexp_replace(t, r"\s+", "") != ""), F.lit(False)))
+    most = D.majority(filled, ["question"], "source", "path", "pos", least=1).select("question", F.col("n").alias("span_rows"), F.col("first").alias("pos"))
     inner = F.array_join(X.solution_span(X.lines(F.col("source"))), "\n")
-    spans = solutions.withColumn("span", inner).where(F.coalesce(F.trim("span"), F.lit("")) != "")
-    return D.majority(spans, ["question"], "source", "path", "pos", least=1).join(spans.select("question", "source", "span").dropDuplicates(["question", "source"]), ["question", "source"]).select("question", "span", F.col("n").alias("span_rows"))
+    return most.join(filled.select("question", "pos", target_of().alias("answer"), inner.alias("span")), ["question", "pos"]).drop("pos")
 
 
-def exercise(notebooks: DataFrame, max_tokens: int = 120, percent: int = 50) -> DataFrame:
+def exercise(notebooks: DataFrame, max_tokens: int = 120, percent: int = 50, context_len: int = 11111) -> DataFrame:
     """Problems whose solutions differ from a similar notebook of the same repo, chosen by majority; status says why a group has none."""
     nbs = K.python_notebooks(notebooks)
     name = F.to_json(F.struct("metadata.repo", "metadata.path"))  # what tells notebooks apart here
@@ -115,10 +167,14 @@ def exercise(notebooks: DataFrame, max_tokens: int = 120, percent: int = 50) ->
     keyed = cells.withColumn("nb", F.struct("repo", "path"))
     both = pairs.select(F.struct("repo", F.col("solution_path").alias("path")).alias("a"), F.struct("repo", F.col("submission_path").alias("path")).alias("b"))
     changed = D.positional_diff(both, keyed)
-    context = K.markdown_distance(K.nearest_markdown(cells, 11111), 11111).select(F.struct("repo", "path").alias("a"), "cell_index", "nl", "nl_distance", "nb_index")
-    rows = changed.join(context, ["a", "cell_index"]).select(F.col("a.repo").alias("repo"), F.col("a.path").alias("path"), F.col("b.path").alias("boilerplate_path"), "nb_index", "cell_index", "nl", "nl_distance", F.col("source_a").alias("source"), F.col("source_b").alias("boilerplate"))
-    rows = WorkTable(of_kept_logic(rows.withColumn("code", C.analyze(F.col("source"))).where("code.parses"))).df
-    return vote(rows.withColumn("group", F.concat_ws("\x01", F.coalesce("nl", F.nullif(F.array_join("code.comments", " "), F.lit("")), F.lit("yo")), "nl_distance")), max_tokens)
+    above = K.last_markdown(cells).select(F.struct("repo", "path").alias("a"), "cell_index", "above", "nb_index")
+    rows = changed.join(above, ["a", "cell_index"]).select(F.col("a.repo").alias("repo"), F.col("a.path").alias("path"), F.col("b.path").alias("boilerplate_path"), "nb_index", "cell_index", "above", F.col("source_a").alias("source"), F.col("source_b").alias("boilerplate"))
+    told = near_text(rows, context_len).withColumn("code", C.analyze(F.col("source"))).where(F.col("code.parses") & (F.size("code.code_tokens") > 0))
+    words = lambda c: F.nullif(F.array_join(c, " "), F.lit(""))
+    rows = WorkTable(of_kept_logic(told).withColumn("group", F.concat_ws("\x01", F.coalesce(words("nl_tokens"), words("code.comments"), F.lit("yo")), "nl_distance"))).df
+    chosen = WorkTable(vote(rows, max_tokens)).df
+    picked = chosen.where("status = 'success'").select("group", "nb_index", "cell_index")
+    return chosen.join(with_records(picked, cells, context_len).select("group", "context", "num_cells_above", "imports"), "group", "left")
 
 
 def vote(rows: DataFrame, max_tokens: int = 120) -> DataFrame:
@@ -126,7 +182,7 @@ def vote(rows: DataFrame, max_tokens: int = 120) -> DataFrame:
     placed = rows.withColumn("pos", F.row_number().over(Window.partitionBy("group").orderBy("repo", "path", "cell_index")))
     codes = D.majority(placed, ["group"], "source", "repo", "pos", least=1).withColumnsRenamed({"n": "n_code", "n_sources": "n_repos", "first": "first_code"})
     templates = D.majority(placed, ["group"], "boilerplate", "repo", "pos", least=1).select("group", "boilerplate", F.col("n").alias("n_template"))
-    chosen = placed.select("group", F.col("pos").alias("first_code"), "repo", "path", "cell_index", "code", "nl")
+    chosen = placed.select("group", F.col("pos").alias("first_code"), "repo", "path", "nb_index", "cell_index", "code", "nl", "nl_tokens")
     out = codes.join(templates, "group").join(chosen, ["group", "first_code"]).withColumn("template_tokens", C.plain_tokens(F.col("boilerplate")))
     tokens = F.filter("template_tokens", lambda t: ~t.isin("NEWLINE", "INDENT"))
     status = (
@@ -134,7 +190,7 @@ def vote(rows: DataFrame, max_tokens: int = 120) -> DataFrame:
         .when((F.trim("boilerplate") != "") & F.col("template_tokens").isNull(), "boiler tokenization failed").when(F.size(tokens) > 10, "boilerplate longer than 10 toks")
         .when(F.size("code.code_tokens_clean") > max_tokens + 5, "longer than the token limit").otherwise("success")
     )
-    return out.select("group", status.alias("status"), "repo", "path", "cell_index", "nl", F.col("source").alias("target"), "boilerplate", "code", "n_code", "n_repos")
+    return out.select("group", status.alias("status"), "repo", "path", "nb_index", "cell_index", "nl", "nl_tokens", F.col("source").alias("target"), "boilerplate", "code", "n_code", "n_repos")
 
 
 def combined(parts: dict[str, DataFrame], fields: list[str], ids: list[str]) -> DataFrame:
