@@ -42,32 +42,69 @@ def by_role(markdown: Column, code: Column) -> Column:
     return F.when(F.col("role") == "user", markdown).when(F.col("role") == "assistant", code).otherwise(F.array(cell("raw", F.col("text"))))
 
 
-def train(s: SparkSession, d: str) -> DataFrame:
-    """The train pipeline; markdown names its text by md5, with an accent where the text isn't ASCII."""
+def train_books(s: SparkSession, d: str) -> DataFrame:
+    """Markdown names its text by md5, with an accent where the text isn't ASCII."""
     some = lambda c: F.when(F.col("text") == "", "").otherwise(c)
     prose = some(F.concat(F.lit("about "), F.md5(F.col("text").cast("binary")), F.when(X.is_ascii(F.col("text")), "").otherwise(" é")))
     code = some(F.concat(F.lit("import m\n%time\nvalue = run('"), F.md5(F.col("text").cast("binary")), F.lit("', "), F.col("n"), F.lit(")\nvalue.show()")))
-    books = notebooks(turns(s, d), by_role(F.array(cell("markdown", prose)), F.array(cell("code", code))), F.lit("r"), F.lit("p"))
-    out = pipelines.train(books)
+    return notebooks(turns(s, d), by_role(F.array(cell("markdown", prose)), F.array(cell("code", code))), F.lit("r"), F.lit("p"))
+
+
+def train(s: SparkSession, d: str) -> DataFrame:
+    """The train pipeline."""
+    out = pipelines.train(train_books(s, d))
     return out.select("nb_index", F.col("cell_index").cast("long").alias("cell_index"), "nl", F.size("context").cast("long").alias("n_context"), F.size("imports").cast("long").alias("n_imports"), F.array_join("code.api_sequence", ",").alias("api"), F.size("code.code_tokens_clean").cast("long").alias("n_tokens"))
 
 
-def graded(s: SparkSession, d: str) -> DataFrame:
-    """The graded pipeline over assignments: one question for each of 50 remainders of a turn's length."""
+def graded_books(s: SparkSession, d: str) -> DataFrame:
+    """Assignments, one for each of 50 remainders of a turn's length; some are answered between an instructor's marks, some with nothing but a comment there."""
     name = F.concat(F.lit("q"), F.col("n") % 50)
     released = F.md5(F.concat(F.lit(TEMPLATE), F.lit("codeFalseTrueFalse"), name).cast("binary"))
     mark = lambda grade, solution, locked, points, checksum: F.struct(F.lit(grade).alias("grade"), F.lit(solution).alias("solution"), F.lit(locked).alias("locked"), name.alias("grade_id"), F.lit(points).cast("double").alias("points"), checksum.alias("checksum"))
-    answer = F.when(F.col("conv_id") % 3 == 0, TEMPLATE).otherwise(F.concat(F.lit("answer = compute("), F.col("n") % 7, F.lit(")")))
+    own = F.concat(F.lit("answer = compute("), F.col("n") % 7, F.lit(")"))
+    between = lambda c: F.concat(F.lit("x = 1\n### BEGIN SOLUTION\n"), c, F.lit("\n### END SOLUTION"))
+    kind = F.col("n") % 50 % 10
+    answer = F.when(F.col("conv_id") % 3 == 0, TEMPLATE).when(kind == 7, between(own)).when(kind == 8, between(F.lit("# none"))).otherwise(own)
     failed = F.when(F.col("conv_id") % 5 == 1, F.array(F.struct(F.lit("error").alias("output_type")))).otherwise(F.array().cast("array<struct<output_type:string>>"))
     code = F.array(cell("code", answer, F.lit(1), None, mark(False, True, False, None, released)), cell("code", F.lit("assert answer"), F.col("turn") % 4, failed, mark(True, False, True, 1.0, F.lit("t"))))
-    books = notebooks(turns(s, d), by_role(F.array(cell("markdown", F.concat(F.lit("task "), F.col("n") % 50))), code), F.lit("r"), F.concat(F.lit("p"), F.col("conv_id")))
-    return pipelines.graded(books).select("question", "status", "template", "extracted", F.array_join("extracted_tokens", " ").alias("extracted_tokens"), F.array_join("template_tokens", " ").alias("template_tokens"), F.col("n_solutions").cast("long").alias("n_solutions"))
+    return notebooks(turns(s, d), by_role(F.array(cell("markdown", F.concat(F.lit("task "), F.col("n") % 50))), code), F.lit("r"), F.concat(F.lit("p"), F.col("conv_id")))
 
 
-def exercise(s: SparkSession, d: str) -> DataFrame:
-    """The exercise pipeline: each conversation is a repo with a solution and its submission, whose code differs."""
+def graded(s: SparkSession, d: str) -> DataFrame:
+    """The graded pipeline; n_context tells how many cells a record's context holds."""
+    out = pipelines.graded(graded_books(s, d))
+    joined = lambda c: F.array_join(c, " ").alias(c)
+    return out.select("question", "status", "template", "extracted", joined("extracted_tokens"), joined("template_tokens"), F.col("n_solutions").cast("long").alias("n_solutions"), F.when(F.col("context").isNull(), 0).otherwise(F.size("context")).cast("long").alias("n_context"))
+
+
+def exercise_books(s: SparkSession, d: str) -> DataFrame:
+    """Each conversation is a repo with a solution and its submission, whose code differs."""
     rows = turns(s, d).withColumn("path", F.explode(F.array(F.lit("hw_solution.ipynb"), F.lit("hw.ipynb"))))
     answer = F.when(F.col("path") == "hw.ipynb", "").otherwise(F.concat(F.lit("best = search("), F.col("n") % 3, F.lit(")")))
     prose = F.concat(F.lit("this is the task for "), F.col("n") % 20)
-    books = notebooks(rows, by_role(F.array(cell("markdown", prose), cell("markdown", F.concat(prose, F.lit(" and that is all of it")))), F.array(cell("code", answer))), F.concat(F.lit("r"), F.col("conv_id")), F.col("path"))
-    return pipelines.exercise(books).select("group", "status", "target", "boilerplate", F.col("n_code").cast("long").alias("n_code"), F.col("n_repos").cast("long").alias("n_repos"))
+    return notebooks(rows, by_role(F.array(cell("markdown", prose), cell("markdown", F.concat(prose, F.lit(" and that is all of it")))), F.array(cell("code", answer))), F.concat(F.lit("r"), F.col("conv_id")), F.col("path"))
+
+
+def exercise(s: SparkSession, d: str) -> DataFrame:
+    """The exercise pipeline."""
+    return pipelines.exercise(exercise_books(s, d)).select("group", "status", "target", "boilerplate", F.col("n_code").cast("long").alias("n_code"), F.col("n_repos").cast("long").alias("n_repos"))
+
+
+def splits(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    graded_part = pipelines.dev_and_test(pipelines.graded_records(pipelines.graded(graded_books(s, d))))
+    return graded_part, pipelines.dev_and_test(pipelines.exercise_records(pipelines.exercise(exercise_books(s, d))))
+
+
+def graded_split(s: SparkSession, d: str) -> DataFrame:
+    return pipelines.dev_and_test(pipelines.graded_records(pipelines.graded(graded_books(s, d)))).select("id", "part")
+
+
+def exercise_split(s: SparkSession, d: str) -> DataFrame:
+    return pipelines.dev_and_test(pipelines.exercise_records(pipelines.exercise(exercise_books(s, d)))).select("id", "part")
+
+
+def final_dataset(s: SparkSession, d: str) -> DataFrame:
+    """dev, test and train of all three pipelines, in their orders (shuffle_key)."""
+    parts = pipelines.final_dataset(*splits(s, d), pipelines.train(train_books(s, d)))
+    some = [df.select(F.lit(part).alias("part"), "kind", "id", "shuffle_key") for part, df in parts.items()]
+    return some[0].unionByName(some[1]).unionByName(some[2])

@@ -136,7 +136,7 @@ def choose_solution(rows: DataFrame, max_tokens: int = 120) -> DataFrame:
         .when(F.col("extracted_tokens").isNull() | F.col("template_tokens").isNull(), "not tokenizable autograded").otherwise("success")
     )
     long = F.size("extracted_tokens") > max_tokens
-    status = F.when(found != "success", found).when(F.size("target.code.code_tokens_clean") <= 0, "empty target cell tokens").when(F.size("extracted_tokens") == 0, "empty extracted tokens").when(long, "longer than the token limit").otherwise(found)
+    status = F.when(found != "success", found).when(F.size("target.code.code_tokens_clean") <= 0, "empty target cell tokens").when(F.size(F.filter("extracted_tokens", lambda x: x != "NEWLINE")) == 0, "empty extracted tokens").when(long, "longer than the token limit").otherwise(found)
     return own.withColumn("status", status).select("question", "status", "target", "template", "template_tokens", "extracted", "extracted_tokens", "n_solutions")
 
 
@@ -199,5 +199,33 @@ def combined(parts: dict[str, DataFrame], fields: list[str], ids: list[str]) ->
     return D.shuffled_union(have, ["kind", *ids])
 
 
+#: Fields of the final dataset's records.
+RECORD = ["nb_index", "cell_index", "repo", "path", "nl_tokens", "code", "context", "num_cells_above", "imports", "extracted_tokens", "template_tokens"]
+
+
+def graded_records(results: DataFrame) -> DataFrame:
+    """The successes of graded() as records, their id the question."""
+    own = [F.col("target")[c].alias(c) for c in ("nb_index", "cell_index", "repo", "path", "nl_tokens", "code")]
+    return results.where("status = 'success'").select(F.col("question").alias("id"), *own, "context", "num_cells_above", "imports", "extracted_tokens", "template_tokens")
+
+
+def exercise_records(results: DataFrame) -> DataFrame:
+    """The successes of exercise() as records, their id the group."""
+    return results.where("status = 'success'").select(F.col("group").alias("id"), *[c for c in RECORD if c in results.columns])
+
+
+def dev_and_test(records: DataFrame, test_percent: int = 55) -> DataFrame:
+    """Adds part; no code of test occurs in dev."""
+    return D.split_exactly(records.withColumn("_tokens", F.col("code.code_tokens")), ["id"], "_tokens", test_percent).drop("_tokens")
+
+
+def final_dataset(graded_split: DataFrame, exercise_split: DataFrame, trained: DataFrame) -> dict[str, DataFrame]:
+    """dev, test and train, each in a fixed pseudo-random order; ids of different pipelines are told apart by kind."""
+    text = lambda d: d.withColumn("nb_index", F.col("nb_index").cast("string"))
+    of = lambda part: combined({"graded": text(graded_split.where(F.col("part") == part)), "exercise": text(exercise_split.where(F.col("part") == part))}, RECORD, ["id"])
+    train_records = text(trained.withColumn("id", F.concat_ws(":", "nb_index", "cell_index")))
+    return {"dev": of("dev"), "test": of("test"), "train": combined({"train": train_records}, RECORD, ["id"])}
+
+
 def outcomes(results: DataFrame, most: int = 11) -> DataFrame:
     return D.top_frequencies(results, "status", most)

@@ -155,6 +155,15 @@ def code_records(s: SparkSession, d: str) -> DataFrame:
     return out.select("p_partkey", F.array_join("c.api_sequence", ",").alias("api"), F.array_join("c.comments", " ").alias("comments"), F.array_join("c.code_tokens_clean", " ").alias("clean"))
 
 
+def detected_languages(s: SparkSession, d: str) -> DataFrame:
+    """For each language that documents are labelled with, whether the model agrees on 95 % of its texts at least."""
+    from ..functions.language import detect_language
+
+    names = F.create_map(*[F.lit(x) for kv in (("en", "English"), ("fr", "French"), ("de", "German"), ("es", "Spanish")) for x in kv])
+    told = table(s, d, "documents").where("text is not null").select("lang", (detect_language(F.col("text")) == F.element_at(names, F.col("lang"))).alias("same"))
+    return told.groupBy("lang").agg(F.count("*").alias("n_docs"), (F.avg(F.col("same").cast("int")) >= 0.95).alias("agrees"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     docs = lambda s, d: table(s, d, "documents")
     return {
@@ -193,6 +202,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "train_pipeline": generated.train,
         "graded_pipeline": generated.graded,
         "exercise_pipeline": generated.exercise,
+        "graded_split": generated.graded_split,
+        "exercise_split": generated.exercise_split,
+        "final_dataset": generated.final_dataset,
+        "detected_languages": detected_languages,
+        "split_exactly": lambda s, d: D.split_exactly(docs(s, d), ["doc_id"], "text").select("doc_id", "part"),
         "any_test_below": any_test,
         "repos_with_cells": lambda s, d: K.repos_with_cells(chats(s, d).withColumns({"repo": F.col("nb_index") % 7, "path": F.col("nb_index")})),
         "distinct_codes": lambda s, d: D.distinct_values(docs(s, d), ["source"], "text"),
@@ -212,6 +226,50 @@ LEAKS = "SELECT DISTINCT doc_id, item_id FROM documents d JOIN benchmark b ON co
 
 TEMPLATE = "('# YOUR CODE HERE' || chr(10) || 'raise NotImplementedError()')"
 
+GRADED = f"""WITH t AS (SELECT conv_id, turn, role, coalesce(text, '') AS text, length(coalesce(text, '')) AS n FROM conversations),
+    c AS (SELECT *, CASE role WHEN 'user' THEN 'markdown' WHEN 'assistant' THEN CASE k WHEN 0 THEN 'code' ELSE 'test' END ELSE 'raw' END AS kind FROM t, range(2) r(k) WHERE k = 0 OR role = 'assistant'),
+    p AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, k) - 1 AS i FROM c),
+    w AS (SELECT *, last_value(CASE WHEN kind = 'markdown' THEN 'task ' || (n % 50) END IGNORE NULLS) OVER near AS nl, i - last_value(CASE WHEN kind = 'markdown' THEN i END IGNORE NULLS) OVER near AS distance,
+        count(*) FILTER (kind <> 'test' AND (kind <> 'raw' OR text <> '')) OVER (PARTITION BY conv_id ORDER BY i ROWS BETWEEN 1200 PRECEDING AND 1 PRECEDING) AS above
+        FROM p WINDOW near AS (PARTITION BY conv_id ORDER BY i ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING)),
+    q AS (SELECT *, nl || chr(1) || distance || chr(1) || md5({TEMPLATE} || 'codeFalseTrueFalseq' || (n % 50)) AS question, conv_id % 3 = 0 AS boiler, conv_id % 5 <> 1 AND turn % 4 <> 0 AS passed, n % 50 % 10 AS form,
+        CASE WHEN n % 50 % 10 = 8 THEN -1 ELSE n % 7 END AS answer, conv_id * 1000000 + i AS spot FROM w WHERE kind = 'code' AND nl IS NOT NULL),
+    v AS (SELECT question, answer, count(*) AS n, min(spot) AS first, arg_min(above, spot) AS above FROM q WHERE NOT boiler AND form IN (7, 8) GROUP BY 1, 2),
+    b AS (SELECT question, arg_max(answer, (n, -first)) AS best, max(n) AS n, arg_max(above, (n, -first)) AS above FROM v GROUP BY 1),
+    g AS (SELECT question, any_value(form) AS form, count(*) FILTER (NOT boiler) AS n_solutions, max(boiler) AS has_template, first(answer ORDER BY spot) FILTER (NOT boiler AND passed) AS answer, first(above ORDER BY spot) FILTER (NOT boiler AND passed) AS above FROM q GROUP BY question),
+    o AS (SELECT g.question, form, n_solutions, b.question IS NOT NULL AS marked, best, b.n AS n_best, coalesce(b.above, g.above) AS above, answer, has_template OR (b.question IS NULL AND answer IS NOT NULL AND (SELECT max(boiler) FROM q)) AS released FROM g LEFT JOIN b ON g.question = b.question),
+    s AS (SELECT *, CASE WHEN n_solutions = 0 THEN 'only boiler' WHEN marked THEN CASE WHEN n_best < 2 THEN 'only 1 solution' WHEN form = 8 THEN 'empty extracted tokens' ELSE 'success' END
+        WHEN answer IS NULL THEN 'no autograder tests or none passed' WHEN NOT released THEN 'no boilerplate' ELSE 'success' END AS status FROM o)
+    SELECT question, status, CASE WHEN released THEN {TEMPLATE} END AS template, n_solutions, CASE WHEN status = 'success' THEN above ELSE 0 END AS n_context, marked || ':' || coalesce(best, answer) AS code,
+    CASE WHEN marked THEN CASE form WHEN 8 THEN '# none' ELSE 'answer = compute(' || best || ')' END WHEN released AND answer IS NOT NULL THEN 'answer = compute(' || answer || ')' END AS extracted,
+    CASE WHEN marked THEN CASE form WHEN 8 THEN 'NEWLINE' ELSE 'NEWLINE answer = compute ( ' || best || ' )' END WHEN released AND answer IS NOT NULL THEN 'answer = compute ( ' || answer || ' )' END AS extracted_tokens,
+    CASE WHEN marked THEN 'x = 1 NEWLINE' WHEN released THEN '' END AS template_tokens FROM s"""
+EXERCISE = """WITH t AS (SELECT conv_id, turn, role, coalesce(text, '') AS text, length(coalesce(text, '')) AS n FROM conversations),
+            c AS (SELECT conv_id, turn, k, CASE role WHEN 'user' THEN 'markdown' WHEN 'assistant' THEN 'code' ELSE 'raw' END AS kind,
+            CASE role WHEN 'user' THEN 'this is the task for ' || (n % 20) || CASE k WHEN 1 THEN ' and that is all of it' ELSE '' END WHEN 'assistant' THEN 'best = search(' || (n % 3) || ')' ELSE text END AS source FROM t, range(2) r(k) WHERE k = 0 OR role = 'user'),
+            p AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, k) - 1 AS i FROM c),
+            s AS (SELECT conv_id, count(DISTINCT source) FILTER (kind <> 'code' AND source <> '') AS shared, count(DISTINCT source) FILTER (kind = 'code') AS answers FROM p GROUP BY conv_id HAVING count(*) FILTER (kind = 'markdown') > 0),
+            w AS (SELECT *, last_value(CASE WHEN kind = 'markdown' THEN source END IGNORE NULLS) OVER above AS nl, i - last_value(CASE WHEN kind = 'markdown' THEN i END IGNORE NULLS) OVER above AS distance FROM p WINDOW above AS (PARTITION BY conv_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+            r AS (SELECT coalesce(nl, 'yo') || chr(1) || coalesce(distance, 0) AS grp, 'r' || conv_id AS repo, i, source FROM w JOIN s USING (conv_id) WHERE kind = 'code' AND 100 * shared >= 50 * (shared + answers)),
+            o AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY repo, i) AS pos, count(*) OVER (PARTITION BY grp) AS n_all FROM r),
+            v AS (SELECT grp, source, count(*) AS n_code, count(DISTINCT repo) AS n_repos, min(pos) AS first, any_value(n_all) AS n_all FROM o GROUP BY grp, source),
+            b AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY n_code DESC, first) AS nth FROM v)
+            SELECT grp AS "group", CASE WHEN n_code < 2 OR n_all < 2 THEN 'only 1 solution' WHEN n_repos < 2 THEN 'only from 1 repo' ELSE 'success' END AS status, source AS target, '' AS boilerplate, n_code, n_repos FROM b WHERE nth = 1"""
+TRAIN = rf"""WITH c AS (SELECT conv_id AS nb_index, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS cell_index, CASE role WHEN 'user' THEN 'markdown' WHEN 'assistant' THEN 'code' ELSE 'raw' END AS cell_type, coalesce(text, '') AS t FROM conversations),
+            n AS (SELECT *, CASE WHEN cell_type = 'markdown' AND t <> '' THEN 'about ' || md5(t) || CASE WHEN regexp_matches(t, '[^\x00-\x7F]') THEN ' é' ELSE '' END ELSE t END AS source FROM c),
+            w AS (SELECT *, lag(cell_type) OVER ({BY}) AS above, lag(source) OVER ({BY}) AS above_source, last_value(CASE WHEN cell_type = 'markdown' AND source <> '' THEN source END IGNORE NULLS) OVER ({BY} ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING) AS nl,
+            count(*) FILTER (source <> '') OVER ({BY} ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING) AS n_context, count(*) FILTER (cell_type = 'code' AND source <> '') OVER ({BY}) AS n_imports FROM n),
+            v AS (SELECT *, max(coalesce(cell_type = 'code' AND above = 'markdown' AND regexp_matches(above_source, '[^\x00-\x7F]'), false)) OVER (PARTITION BY nb_index) AS veto FROM w),
+            a AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY nb_index, cell_index) AS nth FROM v WHERE cell_type = 'code' AND above = 'markdown' AND NOT veto AND source <> ''),
+            b AS (SELECT *, row_number() OVER (PARTITION BY nl ORDER BY nb_index, cell_index) AS mth FROM a WHERE nth = 1 AND nl IS NOT NULL)
+            SELECT nb_index, cell_index::BIGINT AS cell_index, nl, n_context::BIGINT AS n_context, n_imports::BIGINT AS n_imports, 'run,show' AS api, 17::BIGINT AS n_tokens FROM b WHERE mth = 1"""
+
+
+def parts(results: str, of: str, code: str) -> str:
+    """The exact split of a pipeline's successes."""
+    return f"""WITH r AS (SELECT {of} AS id, {code} AS code, row_number() OVER (ORDER BY md5('0:' || {of})) <= ceil(count(*) OVER () * 0.55) AS test FROM ({results}) WHERE status = 'success')
+        SELECT id, CASE WHEN test AND NOT EXISTS (SELECT 1 FROM r x WHERE NOT x.test AND x.code = r.code) THEN 'test' ELSE 'dev' END AS part FROM r"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {
@@ -262,34 +320,16 @@ def oracle_sql() -> dict[str, str]:
         "record_urls": "SELECT page_id, replace('https://example.org/a b ' || url, ' ', '%20') AS link FROM pages",
         "code_analysis": """SELECT p_partkey, 'read_csv' AS api, array_to_string(list_filter(string_split_regex('# ' || p_name, '[\x20\x09-\x0D]+'), lambda x: x <> ''), ' ') || ' COMMENTSEP' AS comments,
             'import pandas as pd NEWLINE NEWLINE def f ( a ) : NEWLINE INDENT return pd . read_csv ( ''jupyter_string'' , a )' AS clean FROM part""",
-        "graded_pipeline": f"""WITH t AS (SELECT conv_id, turn, role, coalesce(text, '') AS text, length(coalesce(text, '')) AS n FROM conversations),
-            c AS (SELECT *, CASE role WHEN 'user' THEN 'markdown' WHEN 'assistant' THEN CASE k WHEN 0 THEN 'code' ELSE 'test' END ELSE 'raw' END AS kind FROM t, range(2) r(k) WHERE k = 0 OR role = 'assistant'),
-            p AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, k) - 1 AS i FROM c),
-            w AS (SELECT *, last_value(CASE WHEN kind = 'markdown' THEN 'task ' || (n % 50) END IGNORE NULLS) OVER near AS nl, i - last_value(CASE WHEN kind = 'markdown' THEN i END IGNORE NULLS) OVER near AS distance FROM p WINDOW near AS (PARTITION BY conv_id ORDER BY i ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING)),
-            q AS (SELECT *, nl || chr(1) || distance || chr(1) || md5({TEMPLATE} || 'codeFalseTrueFalseq' || (n % 50)) AS question, conv_id % 3 = 0 AS boiler, conv_id % 5 <> 1 AND turn % 4 <> 0 AS passed FROM w WHERE kind = 'code' AND nl IS NOT NULL),
-            g AS (SELECT question, count(*) FILTER (NOT boiler) AS n_solutions, max(boiler) AS has_template, first(n % 7 ORDER BY conv_id, i) FILTER (NOT boiler AND passed) AS answer FROM q GROUP BY question),
-            o AS (SELECT *, has_template OR (answer IS NOT NULL AND (SELECT max(boiler) FROM q)) AS released FROM g)
-            SELECT question, CASE WHEN n_solutions = 0 THEN 'only boiler' WHEN answer IS NULL THEN 'no autograder tests or none passed' WHEN NOT released THEN 'no boilerplate' ELSE 'success' END AS status, CASE WHEN released THEN {TEMPLATE} END AS template,
-            CASE WHEN released AND answer IS NOT NULL THEN 'answer = compute(' || answer || ')' END AS extracted, CASE WHEN released AND answer IS NOT NULL THEN 'answer = compute ( ' || answer || ' )' END AS extracted_tokens, CASE WHEN released THEN '' END AS template_tokens, n_solutions FROM o""",
-        "exercise_pipeline": """WITH t AS (SELECT conv_id, turn, role, coalesce(text, '') AS text, length(coalesce(text, '')) AS n FROM conversations),
-            c AS (SELECT conv_id, turn, k, CASE role WHEN 'user' THEN 'markdown' WHEN 'assistant' THEN 'code' ELSE 'raw' END AS kind,
-            CASE role WHEN 'user' THEN 'this is the task for ' || (n % 20) || CASE k WHEN 1 THEN ' and that is all of it' ELSE '' END WHEN 'assistant' THEN 'best = search(' || (n % 3) || ')' ELSE text END AS source FROM t, range(2) r(k) WHERE k = 0 OR role = 'user'),
-            p AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, k) - 1 AS i FROM c),
-            s AS (SELECT conv_id, count(DISTINCT source) FILTER (kind <> 'code' AND source <> '') AS shared, count(DISTINCT source) FILTER (kind = 'code') AS answers FROM p GROUP BY conv_id HAVING count(*) FILTER (kind = 'markdown') > 0),
-            w AS (SELECT *, last_value(CASE WHEN kind = 'markdown' THEN source END IGNORE NULLS) OVER above AS nl, i - last_value(CASE WHEN kind = 'markdown' THEN i END IGNORE NULLS) OVER above AS distance FROM p WINDOW above AS (PARTITION BY conv_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-            r AS (SELECT coalesce(nl, 'yo') || chr(1) || coalesce(distance, 0) AS grp, 'r' || conv_id AS repo, i, source FROM w JOIN s USING (conv_id) WHERE kind = 'code' AND 100 * shared >= 50 * (shared + answers)),
-            o AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY repo, i) AS pos, count(*) OVER (PARTITION BY grp) AS n_all FROM r),
-            v AS (SELECT grp, source, count(*) AS n_code, count(DISTINCT repo) AS n_repos, min(pos) AS first, any_value(n_all) AS n_all FROM o GROUP BY grp, source),
-            b AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY n_code DESC, first) AS nth FROM v)
-            SELECT grp AS "group", CASE WHEN n_code < 2 OR n_all < 2 THEN 'only 1 solution' WHEN n_repos < 2 THEN 'only from 1 repo' ELSE 'success' END AS status, source AS target, '' AS boilerplate, n_code, n_repos FROM b WHERE nth = 1""",
-        "train_pipeline": rf"""WITH c AS (SELECT conv_id AS nb_index, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS cell_index, CASE role WHEN 'user' THEN 'markdown' WHEN 'assistant' THEN 'code' ELSE 'raw' END AS cell_type, coalesce(text, '') AS t FROM conversations),
-            n AS (SELECT *, CASE WHEN cell_type = 'markdown' AND t <> '' THEN 'about ' || md5(t) || CASE WHEN regexp_matches(t, '[^\x00-\x7F]') THEN ' é' ELSE '' END ELSE t END AS source FROM c),
-            w AS (SELECT *, lag(cell_type) OVER ({BY}) AS above, lag(source) OVER ({BY}) AS above_source, last_value(CASE WHEN cell_type = 'markdown' AND source <> '' THEN source END IGNORE NULLS) OVER ({BY} ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING) AS nl,
-            count(*) FILTER (source <> '') OVER ({BY} ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING) AS n_context, count(*) FILTER (cell_type = 'code' AND source <> '') OVER ({BY}) AS n_imports FROM n),
-            v AS (SELECT *, max(coalesce(cell_type = 'code' AND above = 'markdown' AND regexp_matches(above_source, '[^\x00-\x7F]'), false)) OVER (PARTITION BY nb_index) AS veto FROM w),
-            a AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY nb_index, cell_index) AS nth FROM v WHERE cell_type = 'code' AND above = 'markdown' AND NOT veto AND source <> ''),
-            b AS (SELECT *, row_number() OVER (PARTITION BY nl ORDER BY nb_index, cell_index) AS mth FROM a WHERE nth = 1 AND nl IS NOT NULL)
-            SELECT nb_index, cell_index::BIGINT AS cell_index, nl, n_context::BIGINT AS n_context, n_imports::BIGINT AS n_imports, 'run,show' AS api, 17::BIGINT AS n_tokens FROM b WHERE mth = 1""",
+        "graded_pipeline": f"SELECT * EXCLUDE (code) FROM ({GRADED})",
+        "exercise_pipeline": EXERCISE,
+        "train_pipeline": TRAIN,
+        "graded_split": parts(GRADED, "question", "code"),
+        "exercise_split": parts(EXERCISE, '"group"', "target"),
+        "final_dataset": f"""SELECT part, kind, id, md5('42:' || kind || ':' || id) AS shuffle_key FROM (SELECT part, 'graded' AS kind, id FROM ({parts(GRADED, "question", "code")}) UNION ALL
+            SELECT part, 'exercise', id FROM ({parts(EXERCISE, '"group"', "target")}) UNION ALL SELECT 'train', 'train', nb_index || ':' || cell_index FROM ({TRAIN}))""",
+        "detected_languages": "SELECT lang, count(*) AS n_docs, true AS agrees FROM documents WHERE text IS NOT NULL GROUP BY lang",
+        "split_exactly": """WITH d AS (SELECT doc_id, text, row_number() OVER (ORDER BY md5('0:' || doc_id)) <= ceil(count(*) OVER () * 0.55) AS test FROM documents)
+            SELECT doc_id, CASE WHEN test AND NOT EXISTS (SELECT 1 FROM d e WHERE NOT e.test AND e.text IS NOT DISTINCT FROM d.text) THEN 'test' ELSE 'dev' END AS part FROM d""",
         "any_test_below": "SELECT event_id, coalesce(max(event_type = 'signup') OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), false) AS any_test_below FROM events",
         "repos_with_cells": f"SELECT nb_index % 7 AS repo, count(*) AS n_cells, count(DISTINCT nb_index) AS n_notebooks FROM {CHATS} GROUP BY 1",
         "distinct_codes": "SELECT source, count(DISTINCT text) + max((text IS NULL)::INT) AS n_distinct FROM documents GROUP BY source",
