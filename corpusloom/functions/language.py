@@ -12,6 +12,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .markdown import render
+
 # Plain sentences and frequent words from which the model of each language in Latin script is counted.
 SAMPLES = {
     "English": "All human beings are born free and equal in dignity and rights. They are endowed with reason and conscience and should act towards one another in a spirit of brotherhood. In this exercise we will load the data, clean the missing values and plot the results. What do you see when you look at each of these? Write a function that returns the answer. the of and to in is that for it was on are with as be this have from or by not but at an they which you his were had has been their there would what when who will more if out so can about into than them these some could",
@@ -108,26 +110,6 @@ def _guess_all(s: pd.Series) -> pd.Series:
     return pd.Series([guess(x) for x in s], dtype=object)
 
 
-def render(markdown: str) -> str:
-    """HTML of the markdown that matters here: fences, inline code, headings, emphasis and links."""
-    out, fenced = [], False
-    for line in markdown.splitlines():
-        if re.match(r"\s*(```|~~~)", line):
-            out.append("</code></pre>" if fenced else "<pre><code>")
-            fenced = not fenced
-            continue
-        line = html.escape(line, quote=False)
-        if not fenced:
-            line = re.sub(r"`([^`]+)`", r"<code>\1</code>", line)
-            line = re.sub(r"!?\[([^\]]*)\]\([^)]*\)", r"<a>\1</a>", line)
-            line = re.sub(r"(\*\*|__)(?=\S)(.+?)(?<=\S)\1", r"<strong>\2</strong>", line)
-            line = re.sub(r"(?<!\w)([*_])(?=\S)(.+?)(?<=\S)\1(?!\w)", r"<em>\2</em>", line)
-            if m := re.match(r"(#{1,6})\s+(.*)", line):
-                line = f"<h{len(m[1])}>{m[2]}</h{len(m[1])}>"
-        out.append(line)
-    return "\n".join(out)
-
-
 def tokens(markdown: str | None) -> list[str] | None:
     """Words and punctuation of rendered markdown, CTAG for code tags."""
     if markdown is None:

@@ -65,7 +65,8 @@ def make_cell(kind: Column, lines: Column) -> Column:
 
 def with_code_tags(cells: DataFrame) -> DataFrame:
     """Cells of notebooks in which some markdown renders to HTML with a code tag; a notebook's answer is found before its cells are."""
-    tagged = cells.where(is_markdown() & F.contains("source", F.lit("`")) | is_markdown() & F.contains("source", F.lit("~~~"))).where(has_code_tag(F.col("source"))).select("nb_index").distinct()
+    maybe = is_markdown() & F.col("source").rlike(r"(?i)`|~~~|<code|(?m)^(?: {4}|[ >]*\t)|(?:[-+*>]|\d[.)]) {4}")
+    tagged = cells.where(maybe).where(has_code_tag(F.col("source"))).select("nb_index").distinct()
     return cells.join(tagged, "nb_index", "left_semi")
 
 
@@ -191,14 +192,24 @@ def import_places(cells: DataFrame, name: str = "n_imports") -> DataFrame:
     return cells.withColumn(name, F.sum(F.greatest(found, F.lit(0))).over(upto).cast("int"))
 
 
-def sliced_imports(counted: DataFrame, cells: DataFrame, name: str = "imports", count: str = "n_imports") -> DataFrame:
-    """Import tokens of all code cells from the first to this one, repeats kept: the first so many (import_places()) of the one array that holds a notebook's."""
+def notebook_imports(notebooks: DataFrame) -> DataFrame:
+    """(nb_index, all_imports): the import tokens of a notebook's code cells, from its array of cells."""
+    code = F.filter(F.col("cells"), lambda c: (c["cell_type"] == "code") & c["source"].isNotNull())
+    return notebooks.select(F.col("metadata.nb_index").alias("nb_index"), F.flatten(F.transform(code, lambda c: X.import_tokens(c["source"]))).alias("all_imports")).where(F.size("all_imports") > 0)
+
+
+def cell_imports(cells: DataFrame) -> DataFrame:
+    """notebook_imports() of exploded cells."""
     own = cells.where(is_code()).select("nb_index", F.struct("cell_index", X.import_tokens(F.col("source")).alias("found")).alias("x")).where(F.size("x.found") > 0)
-    whole = own.groupBy("nb_index").agg(F.flatten(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["found"])).alias("_imports"))
-    some = F.slice("_imports", F.lit(1), F.col(count))
-    return counted.join(whole, "nb_index", "left").withColumn(name, F.coalesce(some, F.array().cast("array<string>"))).drop("_imports", count)
+    return own.groupBy("nb_index").agg(F.flatten(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["found"])).alias("all_imports"))
+
+
+def sliced_imports(counted: DataFrame, whole: DataFrame, name: str = "imports", count: str = "n_imports") -> DataFrame:
+    """Import tokens of all code cells from the first to this one, repeats kept: the first so many (import_places()) of the one array that holds a notebook's."""
+    some = F.slice("all_imports", F.lit(1), F.col(count))
+    return counted.join(whole, "nb_index", "left").withColumn(name, F.coalesce(some, F.array().cast("array<string>"))).drop("all_imports", count)
 
 
 def running_imports(cells: DataFrame, name: str = "imports") -> DataFrame:
     """Import tokens of all code cells from the first to this one, repeats kept."""
-    return sliced_imports(import_places(cells), cells, name)
+    return sliced_imports(import_places(cells), cell_imports(cells), name)

@@ -48,7 +48,7 @@ def train(notebooks: DataFrame, context_len: int = 12, max_tokens: int = 120) ->
     sized = targets.where((F.size("code.code_tokens") > 0) & (F.size("code.code_tokens_clean") <= max_tokens))
     records = sized.withColumn("source", F.col("fixed")).drop("fixed", "context_nl", "context_code", "is_context")
     once = D.first_by(records, F.col("code.code_tokens"), ["nb_index", "cell_index"])
-    return K.sliced_imports(D.first_by(once, F.col("nl_tokens"), ["nb_index", "cell_index"]), cells)
+    return K.sliced_imports(D.first_by(once, F.col("nl_tokens"), ["nb_index", "cell_index"]), K.notebook_imports(notebooks))
 
 
 #: Fields of a context cell: markdown has its words and text, other cells their analysis.
@@ -62,7 +62,7 @@ def with_records(chosen: DataFrame, cells: DataFrame, context_len: int) -> DataF
     prose = F.when(K.is_markdown(), F.col("source"))
     told = own.withColumns({"nl": nl_tokens(prose), "nl_original": prose, "code": C.analyze(F.when(~K.is_markdown() & K.is_valid(), F.col("source")))})
     contexts = K.notebook_context(told, CONTEXT, K.is_markdown() | (G.grading_of(F.col("nbgrader")) != "autograder tests"))
-    return K.sliced_imports(K.sliced_context(chosen, contexts, context_len).join(counts, ["nb_index", "cell_index"]), own)
+    return K.sliced_imports(K.sliced_context(chosen, contexts, context_len).join(counts, ["nb_index", "cell_index"]), K.cell_imports(own))
 
 
 def graded(notebooks: DataFrame, max_nl_distance: int = 3, max_tokens: int = 120, context_len: int = 1200) -> DataFrame:
