@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 import difflib
-import itertools
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,31 +14,48 @@ EMPTY_TEMPLATE = "# YOUR CODE HERE\nraise NotImplementedError()"
 TRIVIAL_TOKENS = ["raise", "NotImplementedError", "(", ")"]
 
 
-def added_lines(template: str, solution: str) -> str | None:
-    """The one run of lines added to the template: null if nothing but comments or imports was added, '' if there are several runs."""
-    kept: list[tuple[bool, str]] = []
-    for line in difflib.Differ().compare(template.splitlines(), solution.splitlines()):
-        mark, body = line[0], line[2:]
-        text = body.strip()
-        if mark == "+":
-            bare = line.strip("+ ")
-            if bare.strip() and not bare.startswith(('"""', "#")) and "import " not in bare:
-                kept.append((True, body))
-        elif mark == " " and text and not text.startswith(("?", "#", "raise")):
-            kept.append((False, body))
-    runs = [[b for _, b in g] for added, g in itertools.groupby(kept, key=lambda x: x[0]) if added]
-    if not runs:
-        return None
-    return "\n".join(runs[0]) if len(runs) == 1 else ""
+def diff_lines(template: str, solution: str) -> list[str]:
+    """The lines of a diff, each behind its mark (+, - or blank) and a space; what only hints at changes inside lines is left out."""
+    return [x for x in difflib.Differ().compare(template.splitlines(), solution.splitlines()) if x[0] != "?"]
 
 
-def extract_target(template: Column, solution: Column) -> Column:
-    """added_lines() as a column; an empty template gives the whole solution, nothing added gives ''."""
+def diffs(template: Column, solution: Column) -> Column:
+    """diff_lines() as a column; null for null."""
 
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None or y is None else y if x == EMPTY_TEMPLATE else added_lines(x, y) or "" for x, y in zip(a, b, strict=True)], dtype=object)
+        return pd.Series([None if x is None or y is None else diff_lines(x, y) for x, y in zip(a, b, strict=True)], dtype=object)
 
-    return F.pandas_udf(run, T.StringType())(template, solution)
+    return F.pandas_udf(run, T.ArrayType(T.StringType())).asNondeterministic()(template, solution)
+
+
+def telling_lines(diff: Column) -> Column:
+    """The lines of a diff that count, as (added, body): added ones that are more than comments, docstrings or imports, and common ones that are more than comments or a raise."""
+    rows = F.transform(diff, lambda x: F.struct(F.substring(x, 1, 1).alias("mark"), F.substr(x, F.lit(3)).alias("body")))
+    spaces = r"[\s\x1C-\x1F\x85]+"
+    bare = lambda c: F.regexp_replace(c, f"^{spaces}|{spaces}$", "")
+    starts = lambda c, *marks: F.lit(False) if not marks else F.startswith(c, F.lit(marks[0])) | starts(c, *marks[1:])
+    # of an added line + and blanks are taken off before it is judged
+    open_ = lambda x: F.btrim(x["body"], F.lit("+ "))
+    new = lambda x: (x["mark"] == "+") & (bare(open_(x)) != "") & ~starts(open_(x), '"""', "#") & ~F.contains(open_(x), F.lit("import "))
+    old = lambda x: (x["mark"] == " ") & (bare(x["body"]) != "") & ~starts(bare(x["body"]), "?", "#", "raise")
+    return F.transform(F.filter(rows, lambda x: new(x) | old(x)), lambda x: F.struct((x["mark"] == "+").alias("added"), x["body"].alias("body")))
+
+
+def single_run(lines: Column) -> Column:
+    """The bodies of the one run of added lines; null without any, '' if there are several runs: a run begins where a line is added and the one before isn't."""
+    begins = F.filter(lines, lambda x, i: x["added"] & ((i == 0) | ~F.get(lines, i - 1)["added"]))
+    added = F.transform(F.filter(lines, lambda x: x["added"]), lambda x: x["body"])
+    return F.when(F.size(begins) == 1, F.array_join(added, "\n")).when(F.size(begins) > 1, "")
+
+
+def with_target(rows: DataFrame, template: Column, solution: Column, name: str) -> DataFrame:
+    """`name`: what a solution adds to its template in one run of lines; an empty template gives the whole solution, nothing or several runs give ''.
+
+    Python only makes the diff; its lines are judged and put together by Spark.
+    """
+    compared = rows.withColumn("_diff", diffs(F.when(template != EMPTY_TEMPLATE, template), solution))
+    added = F.coalesce(single_run(telling_lines(F.col("_diff"))), F.lit(""))
+    return compared.withColumn(name, F.when(template.isNull() | solution.isNull(), None).when(template == EMPTY_TEMPLATE, solution).otherwise(added)).drop("_diff")
 
 
 def is_trivial(tokens: Column) -> Column:

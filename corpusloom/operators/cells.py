@@ -161,6 +161,14 @@ def with_context(cells: DataFrame, length: int, fields: list[str] | dict[str, st
     return own.withColumn("context", context).withColumn("num_cells_above", F.col("cell_index")).drop("_above")
 
 
+def runs(rows: DataFrame, keys: list[str], order: list[str], flag: Column, name: str = "run") -> DataFrame:
+    """`name`: the number, from 1, of the run of equal flags that a row lies in, by keys and in order; null is a flag like others."""
+    placed = Window.partitionBy(*keys).orderBy(*order)
+    first = (F.row_number().over(placed) == 1) | ~flag.eqNullSafe(F.lag(flag).over(placed))
+    begun = rows.withColumn("_begins", first.cast("int"))
+    return begun.withColumn(name, F.sum("_begins").over(placed.rowsBetween(Window.unboundedPreceding, Window.currentRow))).drop("_begins")
+
+
 def last_markdown(cells: DataFrame, name: str = "above") -> DataFrame:
     """`name`: struct (cell_index, source) of the nearest markdown above that isn't empty, however far, in one pass over a notebook."""
     above = in_order().rowsBetween(Window.unboundedPreceding, -1)

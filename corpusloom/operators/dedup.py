@@ -38,19 +38,26 @@ def top_frequencies(df: DataFrame, label: str, k: int = 50) -> DataFrame:
     return df.groupBy(label).agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), label).limit(k)
 
 
-def similar_classes(df: DataFrame, within: list[str], id_col: str, items: str, percent: int = 50) -> tuple[DataFrame, DataFrame]:
-    """(members: a row of each id with its class; pairs of classes with 100 |A & B| >= percent |A | B| inside a group): exact, by prefix filtering.
+def set_classes(df: DataFrame, within: list[str], id_col: str, items: str) -> tuple[DataFrame, DataFrame]:
+    """(members: a row of each id with its class and number of items; sets: class and items).
 
     Rows of the same set of items are a class, named by its smallest id, so copies cost
-    no pairs.  Items are ordered from rare to frequent; similar sets share one of the
-    first n - ceil(percent n / 100) + 1, so only those are joined, and only sets of
-    comparable sizes are compared.  Null and empty items don't count; sets without items
-    have no class.
+    no pairs.  Null and empty items don't count; sets without items have no class.
     """
     kept = F.array_sort(F.array_distinct(F.filter(items, lambda x: x.isNotNull() & (x != ""))))
     rows = df.select(*within, F.col(id_col).alias("id"), kept.alias("items")).where(F.size("items") > 0).withColumn("set", F.sha2(F.to_json(F.struct("items")).cast("binary"), 256))
     sets = rows.groupBy(*within, "set").agg(F.min("id").alias("class"), F.any_value("items").alias("items"))
     members = rows.select(*within, "set", "id").join(sets.select(*within, "set", "class", F.size("items").alias("n")), [*within, "set"]).drop("set")
+    return members, sets
+
+
+def similar_sets(sets: DataFrame, within: list[str], percent: int = 50) -> DataFrame:
+    """Pairs a < b of classes inside a group with 100 |A & B| >= percent |A | B|: exact, by prefix filtering.
+
+    Items are ordered from rare to frequent; similar sets share one of the first
+    n - ceil(percent n / 100) + 1, so only those are joined, and only sets of comparable
+    sizes are compared.
+    """
     flat = sets.select(*within, "class", F.explode("items").alias("item"), F.size("items").alias("n"))
     counts = flat.groupBy(*within, "item").agg(F.count("*").alias("df"))
     own = Window.partitionBy(*within, "class")
@@ -60,11 +67,22 @@ def similar_classes(df: DataFrame, within: list[str], id_col: str, items: str, p
     head = placed.withColumn("lone", lone).where(F.col("at") + F.col("lone") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
     a, b = (head.select(*within, "item", F.col("class").alias(x), F.col("n").alias(f"n_{x}")) for x in "ab")
     sized = (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (F.col("a") < F.col("b"))
-    pairs = a.join(b, [*within, "item"]).where(sized).select(*within, "a", "b").distinct()
+    return verified(a.join(b, [*within, "item"]).where(sized).select(*within, "a", "b").distinct(), sets, within, percent)
+
+
+def verified(pairs: DataFrame, sets: DataFrame, within: list[str], percent: int) -> DataFrame:
+    """(a, b, n_shared, n_union) of the pairs that are similar."""
     left, right = (sets.select(*within, F.col("class").alias(x), F.col("items").alias(f"items_{x}")) for x in "ab")
     both = pairs.join(left, [*within, "a"]).join(right, [*within, "b"])
     both = both.withColumn("n_shared", F.size(F.array_intersect("items_a", "items_b"))).withColumn("n_union", F.size("items_a") + F.size("items_b") - F.col("n_shared"))
-    return members, both.where(100 * F.col("n_shared") >= percent * F.col("n_union")).select(*within, "a", "b", "n_shared", "n_union")
+    return both.where(100 * F.col("n_shared") >= percent * F.col("n_union")).select(*within, "a", "b", "n_shared", "n_union")
+
+
+def similar_classes(df: DataFrame, within: list[str], id_col: str, items: str, percent: int = 50) -> tuple[DataFrame, DataFrame]:
+    """(members of classes of equal sets, similar_sets() of the classes); written once, read by every branch."""
+    members, sets = set_classes(df, within, id_col, items)
+    sets = WorkTable(sets).df
+    return WorkTable(members).df, similar_sets(sets, within, percent)
 
 
 def similar_pairs(df: DataFrame, within: list[str], id_col: str, items: str, percent: int = 50) -> DataFrame:
@@ -77,19 +95,47 @@ def similar_pairs(df: DataFrame, within: list[str], id_col: str, items: str, per
 
 
 def minhash(items: Column, permutations: int = 128) -> Column:
-    """MinHash signature of an array of strings: the least hash under each of `permutations` seeds."""
-    return F.transform(F.sequence(F.lit(1), F.lit(permutations)), lambda s: F.array_min(F.transform(items, lambda x: F.xxhash64(x, s))))
+    """MinHash signature of an array of strings: the least hash under each of `permutations` seeds; items are hashed once, their hashes once a seed."""
+    hashes = F.transform(items, lambda x: F.xxhash64(x))
+    return F.transform(F.sequence(F.lit(1), F.lit(permutations)), lambda s: F.array_min(F.transform(hashes, lambda x: F.xxhash64(x, s))))
+
+
+def bands_of(sets: DataFrame, within: list[str], id_col: str, bands: int, rows: int) -> DataFrame:
+    """A row (id, band) for each band of each signature."""
+    signed = sets.select(*within, F.col(id_col).alias("id"), minhash(F.col("items"), bands * rows).alias("sig"))
+    band = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.xxhash64(i, F.slice("sig", i * rows + 1, rows)))
+    return signed.select(*within, "id", F.explode(band).alias("band"))
 
 
 def lsh_candidates(df: DataFrame, within: list[str], id_col: str, items: str, bands: int = 25, rows: int = 5) -> DataFrame:
     """(a, b) that share a band of their signatures, not verified: the probabilistic form of similar_pairs."""
-    signed = df.where(F.size(items) > 0).select(*within, F.col(id_col).alias("id"), minhash(F.col(items), bands * rows).alias("sig"))
-    band = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.xxhash64(i, F.slice("sig", i * rows + 1, rows)))
-    held = signed.select(*within, "id", F.explode(band).alias("band"))
+    held = bands_of(df.where(F.size(items) > 0).withColumn("items", F.col(items)), within, id_col, bands, rows)
     a, b = (held.select(*within, "band", F.col("id").alias(x)) for x in "ab")
     return a.join(b, [*within, "band"]).where("a < b").select(*within, "a", "b").distinct()
 
 
+#: Sets of one bucket that are compared pair by pair; larger buckets go by their items.
+BUCKET = 32
+
+
+def lsh_classes(df: DataFrame, within: list[str], id_col: str, items: str, percent: int = 50, bands: int = 42, rows: int = 3, bucket: int = BUCKET) -> tuple[DataFrame, DataFrame]:
+    """similar_classes() with candidates from MinHash bands, each verified.
+
+    Two sets with a share s of common items meet with probability 1 - (1 - s^rows)^bands:
+    0.996 at one half.  A bucket of more than `bucket` sets isn't paired: similar_sets()
+    runs inside it, so that what is made there are links, not the bucket's pairs.
+    """
+    members, sets = set_classes(df, within, id_col, items)
+    sets = WorkTable(sets).df
+    held = WorkTable(bands_of(sets, within, "class", bands, rows)).df
+    sizes = held.groupBy(*within, "band").agg(F.count("*").alias("size")).where("size > 1")
+    small, large = (held.join(sizes.where(c).select(*within, "band"), [*within, "band"]) for c in (F.col("size") <= bucket, F.col("size") > bucket))
+    a, b = (small.select(*within, "band", F.col("id").alias(x)) for x in "ab")
+    near = verified(a.join(b, [*within, "band"]).where("a < b").select(*within, "a", "b").distinct(), sets, within, percent)
+    wide = large.withColumnRenamed("id", "class").join(sets.select(*within, "class", "items"), [*within, "class"])
+    return members, near.unionByName(similar_sets(wide, [*within, "band"], percent).drop("band")).distinct()
+
+
 def solution_pairs(notebooks: DataFrame, percent: int = 50) -> DataFrame:
     """Similar notebooks of one repo, `solution` in the left one's path and not in the right one's."""
     paths = notebooks.select("repo", F.col("path").alias("id"), F.contains(F.lower("path"), F.lit("solution")).alias("solves"))

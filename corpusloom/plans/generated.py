@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..operators.cells import explode_cells
 from ..sources import records
 from . import pipelines
 
@@ -42,6 +43,28 @@ def by_role(markdown: Column, code: Column) -> Column:
     return F.when(F.col("role") == "user", markdown).when(F.col("role") == "assistant", code).otherwise(F.array(cell("raw", F.col("text"))))
 
 
+def crawled(s: SparkSession, d: str) -> DataFrame:
+    """A line of notebook JSON for each conversation; by turn, cells differ in what they leave out or spell otherwise."""
+    quoted = lambda c: F.substring(F.to_json(F.array(c)), F.lit(2), F.length(F.to_json(F.array(c))) - 2)
+    text = F.col("text")
+    lines = F.to_json(F.split(text, r"(?<=\n)", -1))
+    kind = F.col("turn") % 5
+    made = (
+        F.when(kind == 0, F.concat(F.lit('{"cell_type":"code","source":'), lines, F.lit(',"metadata":[],"execution_count":null}')))
+        .when(kind == 1, F.concat(F.lit('{"cell_type":"markdown","source":'), quoted(text), F.lit(',"metadata":{"tags":[1]},"extra":{"x":[null]}}')))
+        .when(kind == 2, F.concat(F.lit('{"source":'), quoted(text), F.lit(',"execution_count":7,"outputs":[{"output_type":"error","text":"t"}],"metadata":{"nbgrader":{"grade":true,"points":2}}}')))
+        .when(kind == 3, F.lit('{"cell_type":"code","source":null}')).otherwise(F.lit('"no cell"'))
+    )
+    cells = turns(s, d).select("conv_id", F.struct("turn", made.alias("made")).alias("x")).groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["made"]), ",").alias("cells"))
+    return cells.select(F.concat(F.lit('{"cells":['), "cells", F.lit('],"metadata":{"nb_index":'), "conv_id", F.lit(',"repo":"r"}}')).alias("value"))
+
+
+def decoded(s: SparkSession, d: str) -> DataFrame:
+    """Those lines as cells again."""
+    mark = F.col("nbgrader")
+    return explode_cells(records.decode_notebooks(crawled(s, d))).select("nb_index", F.col("cell_index").cast("long").alias("cell_index"), "cell_type", F.md5(F.col("source").cast("binary")).alias("source_md5"), F.coalesce("execution_count", F.lit(-1)).alias("count_or_null"), F.size("outputs").cast("long").alias("n_outputs"), F.coalesce(mark["grade"], F.lit(False)).alias("graded"))
+
+
 def train_books(s: SparkSession, d: str) -> DataFrame:
     """Markdown names its text by md5, with an accent where the text isn't ASCII."""
     some = lambda c: F.when(F.col("text") == "", "").otherwise(c)

@@ -118,7 +118,7 @@ def choose_solution(rows: DataFrame, max_tokens: int = 120) -> DataFrame:
     released = G.boilerplates_by_checksum(lacking, rows).select("question", "released")
     groups = groups.join(released, "question", "left").withColumn("template", F.coalesce("template", "released"))
     own = groups.join(instructor_answers(placed.where(solution)), "question", "left").withColumn("target", F.when(F.col("instructor"), F.col("answer")).otherwise(F.col("student")))
-    own = own.withColumn("added", F.when(F.col("template").isNotNull() & ~F.col("instructor"), S.extract_target(F.col("template"), F.col("target.source"))))
+    own = S.with_target(own, F.when(~F.col("instructor"), F.col("template")), F.col("target.source"), "added")
     blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
     typed = C.typed_tokens(F.col("target.code"))
     texts = F.transform(typed, lambda t: t["text"])

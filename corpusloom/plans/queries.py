@@ -82,10 +82,10 @@ def near_dup_pairs(s: SparkSession, d: str) -> DataFrame:
     return D.similar_pairs(docs, ["lang"], "doc_id", "items").select("lang", "a", "b", F.col("n_shared").cast("long").alias("n_shared"), F.col("n_union").cast("long").alias("n_union"))
 
 
-def near_dup_classes(s: SparkSession, d: str) -> DataFrame:
+def linked_classes(s: SparkSession, d: str, similar: Callable) -> DataFrame:
     """Each document's class of equal line sets, and how many other classes that one is similar to."""
     docs = table(s, d, "documents").select("lang", "doc_id", F.split(F.coalesce("text", F.lit("")), "\n", -1).alias("items"))
-    members, pairs = D.similar_classes(docs, ["lang"], "doc_id", "items")
+    members, pairs = similar(docs, ["lang"], "doc_id", "items")
     ends = pairs.select("lang", F.explode(F.array("a", "b")).alias("class")).groupBy("lang", "class").agg(F.count("*").alias("n_links"))
     out = members.join(ends, ["lang", "class"], "left")
     return out.select("lang", F.col("id").alias("doc_id"), F.col("class").alias("class_id"), F.col("n").cast("long").alias("n_lines"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
@@ -155,6 +155,17 @@ def code_records(s: SparkSession, d: str) -> DataFrame:
     return out.select("p_partkey", F.array_join("c.api_sequence", ",").alias("api"), F.array_join("c.comments", " ").alias("comments"), F.array_join("c.code_tokens_clean", " ").alias("clean"))
 
 
+def added_lines(s: SparkSession, d: str) -> DataFrame:
+    """What documents of ten lines at most, as solutions, add to a template: two lines in one run, or in two runs where the id is odd."""
+    from ..functions.solutions import with_target
+
+    text = F.regexp_replace(F.coalesce("text", F.lit("")), r"[^a-zA-Z \n]", "x")
+    lines = F.transform(F.filter(F.split(text, "\n", -1), lambda x: F.trim(x) != ""), lambda x: F.concat(F.lit("k"), F.btrim(x)))
+    rows = table(s, d, "documents").select("doc_id", F.transform(lines, lambda x, i: F.concat(x, i)).alias("lines")).where(F.size("lines").between(1, 10))
+    solved = F.when(F.col("doc_id") % 2 == 0, F.concat(F.array(F.lit("new = 1"), F.lit("# remark"), F.lit("new = 2")), F.col("lines"))).otherwise(F.concat(F.array(F.lit("new = 1")), F.col("lines"), F.array(F.lit("new = 2"))))
+    return with_target(rows, F.array_join("lines", "\n"), F.array_join(solved, "\n"), "added").select("doc_id", "added")
+
+
 def detected_languages(s: SparkSession, d: str) -> DataFrame:
     """For each language that documents are labelled with, whether the model agrees on 95 % of its texts at least."""
     from ..functions.language import detect_language
@@ -183,7 +194,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "chained_dedup": lambda s, d: D.first_by(D.first_by(docs(s, d), F.col("text"), ["doc_id"]).withColumn("line", first_line()), F.col("line"), ["doc_id"]).select("doc_id", "line"),
         "majority_by_group": lambda s, d: D.majority(docs(s, d).withColumn("line", first_line()), ["line"], "text", "source", "doc_id").select("line", F.md5(F.col("text").cast("binary")).alias("text_md5"), "n", "n_sources", "first"),
         "near_dup_pairs": near_dup_pairs,
-        "near_dup_classes": near_dup_classes,
+        "near_dup_classes": lambda s, d: linked_classes(s, d, D.similar_classes),
+        "lsh_dup_classes": lambda s, d: linked_classes(s, d, D.lsh_classes),
         "positional_diff": positional,
         "split_leak_guard": lambda s, d: D.split_without_leaks(docs(s, d), "doc_id", "text").select("doc_id", "part"),
         "benchmark_leaks": benchmark_leaks,
@@ -207,6 +219,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "final_dataset": generated.final_dataset,
         "detected_languages": detected_languages,
         "split_exactly": lambda s, d: D.split_exactly(docs(s, d), ["doc_id"], "text").select("doc_id", "part"),
+        "decoded_notebooks": generated.decoded,
+        "event_runs": lambda s, d: K.runs(table(s, d, "events"), ["user_id"], ["ts", "event_id"], F.col("event_type")).select("event_id", F.col("run").cast("long").alias("run")),
+        "added_lines": added_lines,
         "any_test_below": any_test,
         "repos_with_cells": lambda s, d: K.repos_with_cells(chats(s, d).withColumns({"repo": F.col("nb_index") % 7, "path": F.col("nb_index")})),
         "distinct_codes": lambda s, d: D.distinct_values(docs(s, d), ["source"], "text"),
@@ -226,6 +241,10 @@ LEAKS = "SELECT DISTINCT doc_id, item_id FROM documents d JOIN benchmark b ON co
 
 TEMPLATE = "('# YOUR CODE HERE' || chr(10) || 'raise NotImplementedError()')"
 
+CLASSES = """WITH s AS (SELECT lang, doc_id, list_sort(list_distinct(list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: x <> ''))) AS items FROM documents),
+            k AS (SELECT lang, doc_id, items, min(doc_id) OVER (PARTITION BY lang, items) AS class_id FROM s WHERE len(items) > 0), f AS (SELECT lang, class_id, len(items) AS n, unnest(items) AS item FROM k WHERE doc_id = class_id),
+            p AS (SELECT a.lang, a.class_id AS a, b.class_id AS b FROM f a JOIN f b ON a.lang = b.lang AND a.item = b.item AND a.class_id <> b.class_id GROUP BY 1, 2, 3 HAVING 100 * count(*) >= 50 * (any_value(a.n) + any_value(b.n) - count(*))),
+            l AS (SELECT lang, a, count(*) AS n_links FROM p GROUP BY 1, 2) SELECT k.lang, doc_id, class_id, len(items)::BIGINT AS n_lines, coalesce(n_links, 0)::BIGINT AS n_links FROM k LEFT JOIN l ON k.lang = l.lang AND k.class_id = l.a"""
 GRADED = f"""WITH t AS (SELECT conv_id, turn, role, coalesce(text, '') AS text, length(coalesce(text, '')) AS n FROM conversations),
     c AS (SELECT *, CASE role WHEN 'user' THEN 'markdown' WHEN 'assistant' THEN CASE k WHEN 0 THEN 'code' ELSE 'test' END ELSE 'raw' END AS kind FROM t, range(2) r(k) WHERE k = 0 OR role = 'assistant'),
     p AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, k) - 1 AS i FROM c),
@@ -296,10 +315,8 @@ def oracle_sql() -> dict[str, str]:
         "majority_by_group": f"WITH c AS (SELECT {LINE} AS line, text, count(*) AS n, count(DISTINCT source) AS n_sources, min(doc_id) AS first FROM documents GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY line ORDER BY n DESC, first) AS nth FROM c) SELECT line, md5(text) AS text_md5, n, n_sources, first FROM r WHERE nth = 1 AND n >= 2",
         "near_dup_pairs": """WITH s AS (SELECT lang, doc_id, list_distinct(list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: x <> '')) AS items FROM documents), f AS (SELECT lang, doc_id, len(items) AS n, unnest(items) AS item FROM s),
             p AS (SELECT a.lang, a.doc_id AS a, b.doc_id AS b, count(*) AS n_shared, any_value(a.n) + any_value(b.n) - count(*) AS n_union FROM f a JOIN f b ON a.lang = b.lang AND a.item = b.item AND a.doc_id < b.doc_id GROUP BY 1, 2, 3) SELECT lang, a, b, n_shared::BIGINT AS n_shared, n_union::BIGINT AS n_union FROM p WHERE 100 * n_shared >= 50 * n_union""",
-        "near_dup_classes": """WITH s AS (SELECT lang, doc_id, list_sort(list_distinct(list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: x <> ''))) AS items FROM documents),
-            k AS (SELECT lang, doc_id, items, min(doc_id) OVER (PARTITION BY lang, items) AS class_id FROM s WHERE len(items) > 0), f AS (SELECT lang, class_id, len(items) AS n, unnest(items) AS item FROM k WHERE doc_id = class_id),
-            p AS (SELECT a.lang, a.class_id AS a, b.class_id AS b FROM f a JOIN f b ON a.lang = b.lang AND a.item = b.item AND a.class_id <> b.class_id GROUP BY 1, 2, 3 HAVING 100 * count(*) >= 50 * (any_value(a.n) + any_value(b.n) - count(*))),
-            l AS (SELECT lang, a, count(*) AS n_links FROM p GROUP BY 1, 2) SELECT k.lang, doc_id, class_id, len(items)::BIGINT AS n_lines, coalesce(n_links, 0)::BIGINT AS n_links FROM k LEFT JOIN l ON k.lang = l.lang AND k.class_id = l.a""",
+        "near_dup_classes": CLASSES,
+        "lsh_dup_classes": CLASSES,
         "positional_diff": f"""WITH c AS (SELECT * FROM {CHATS}), n AS (SELECT nb_index, count(*) AS size FROM c GROUP BY 1) SELECT x.nb_index AS a, y.nb_index AS b, x.cell_index, x.source AS source_a, y.source AS source_b FROM c x JOIN c y ON y.nb_index = x.nb_index + 1 AND x.cell_index = y.cell_index
             JOIN n p ON p.nb_index = x.nb_index JOIN n q ON q.nb_index = y.nb_index AND p.size = q.size WHERE x.cell_type = 'code' AND x.source <> y.source""",
         "split_leak_guard": "WITH d AS (SELECT doc_id, text, CASE WHEN ('0x' || substr(md5('0:' || doc_id), 1, 6))::BIGINT % 100 < 55 THEN 'test' ELSE 'dev' END AS drawn FROM documents) SELECT doc_id, CASE WHEN drawn = 'test' AND NOT EXISTS (SELECT 1 FROM d e WHERE e.drawn = 'dev' AND e.text IS NOT DISTINCT FROM d.text) THEN 'test' ELSE 'dev' END AS part FROM d",
@@ -327,6 +344,13 @@ def oracle_sql() -> dict[str, str]:
         "exercise_split": parts(EXERCISE, '"group"', "target"),
         "final_dataset": f"""SELECT part, kind, id, md5('42:' || kind || ':' || id) AS shuffle_key FROM (SELECT part, 'graded' AS kind, id FROM ({parts(GRADED, "question", "code")}) UNION ALL
             SELECT part, 'exercise', id FROM ({parts(EXERCISE, '"group"', "target")}) UNION ALL SELECT 'train', 'train', nb_index || ':' || cell_index FROM ({TRAIN}))""",
+        "decoded_notebooks": """WITH t AS (SELECT conv_id, turn % 5 AS k, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i FROM conversations)
+            SELECT conv_id AS nb_index, i AS cell_index, CASE k WHEN 0 THEN 'code' WHEN 1 THEN 'markdown' WHEN 3 THEN 'code' ELSE '' END AS cell_type, md5(CASE WHEN k < 3 THEN text ELSE '' END) AS source_md5,
+            CASE k WHEN 0 THEN -1 WHEN 2 THEN 7 ELSE 0 END::BIGINT AS count_or_null, (k = 2)::BIGINT AS n_outputs, k = 2 AS graded FROM t""",
+        "event_runs": """WITH e AS (SELECT event_id, user_id, ts, coalesce(event_type IS DISTINCT FROM lag(event_type) OVER w OR row_number() OVER w = 1, true)::INT AS begins FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
+            SELECT event_id, sum(begins) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS run FROM e""",
+        "added_lines": r"""WITH l AS (SELECT doc_id, len(list_filter(string_split(regexp_replace(coalesce(text, ''), '[^a-zA-Z \n]', 'x', 'g'), chr(10)), lambda x: trim(x, ' ') <> '')) AS n FROM documents)
+            SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'new = 1' || chr(10) || 'new = 2' ELSE '' END AS added FROM l WHERE n BETWEEN 1 AND 10""",
         "detected_languages": "SELECT lang, count(*) AS n_docs, true AS agrees FROM documents WHERE text IS NOT NULL GROUP BY lang",
         "split_exactly": """WITH d AS (SELECT doc_id, text, row_number() OVER (ORDER BY md5('0:' || doc_id)) <= ceil(count(*) OVER () * 0.55) AS test FROM documents)
             SELECT doc_id, CASE WHEN test AND NOT EXISTS (SELECT 1 FROM d e WHERE NOT e.test AND e.text IS NOT DISTINCT FROM d.text) THEN 'test' ELSE 'dev' END AS part FROM d""",

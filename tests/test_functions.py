@@ -56,8 +56,9 @@ def test_analysis_of_bad_code():
     ("a = 1\n", "a = 1\n# done\n", None),
     ("# YOUR CODE HERE\nraise NotImplementedError()\nprint(x)", "x = 4\nprint(x)", "x = 4"),
 ])
-def test_added_lines(template, answer, want):
-    assert solutions.added_lines(template, answer) == want
+def test_added_lines(spark, template, answer, want):
+    frame = spark.createDataFrame([(template, answer)], "t string, a string").withColumn("d", solutions.diffs(F.col("t"), F.col("a")))
+    assert frame.select(solutions.single_run(solutions.telling_lines(F.col("d")))).first()[0] == want
 
 
 def one(spark, column):

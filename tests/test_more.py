@@ -53,8 +53,8 @@ def test_split_size_and_notebook_files(spark, tmp_path):
     cell = {"cell_type": "code", "source": "x", "execution_count": 1, "outputs": []}
     (tmp_path / "n.jsonl").write_text("\n".join(json.dumps({"cells": [cell], "metadata": {"nb_index": i, "repo": "r", "path": "p"}}) for i in range(3)))
     records.dump_notebooks(records.read_records(spark, str(tmp_path / "n.jsonl"), records.NOTEBOOK), str(tmp_path / "out"))
-    files = sorted((tmp_path / "out").glob("nb_index=*/part-*"))
-    assert len(files) == 3 and all(json.loads(f.read_text())["cells"][0]["source"] == "x" for f in files)
+    files = sorted((tmp_path / "out").glob("nb_*.ipynb"))
+    assert [f.name for f in files] == [f"nb_{i}.ipynb" for i in range(3)] and all(json.loads(f.read_text())["cells"][0]["source"] == "x" for f in files)
 
 
 def test_context_holds_words_and_analysis(spark, tmp_path):

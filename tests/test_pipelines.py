@@ -132,7 +132,8 @@ def test_sources(spark, tmp_path):
     out = records.decode_crawl(records.read_lines(spark, str(path), "nbgrader"))
     assert [(r["metadata"]["repo"], r["cells"][0]["source"]) for r in out.collect()] == [("r", "x")]
     assert records.count_lines(spark, str(path)) == 3
-    records.write_records(out, str(tmp_path / "out"), single=True)
+    records.write_records(out, str(tmp_path / "out"), single="all.jsonl")
+    assert [f.name for f in (tmp_path / "out").glob("[!._]*")] == ["all.jsonl"]
     assert records.read_records(spark, str(tmp_path / "out"), records.NOTEBOOK).count() == 1
 
 
