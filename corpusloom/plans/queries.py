@@ -100,25 +100,32 @@ def positional(s: SparkSession, d: str) -> DataFrame:
 
 
 def benchmark_leaks(s: SparkSession, d: str) -> DataFrame:
-    """Documents that hold a benchmark passage: found by an inner run of eight of its words, confirmed by substring.
+    """Documents that hold a benchmark passage: found by a key of it, confirmed by substring.
 
-    Passages of fewer than ten words have no such run and are found by the words of
-    their own that stand whole in any document that holds them; those of one or two
-    words are looked for in every document.
+    A passage of ten words or more has an inner run of eight that stands whole in any
+    document that holds it, one of three to nine words a longest inner word: both are keys
+    of one join, for which documents are split once.  One or two words may lie inside longer
+    ones; these passages are met by their first characters, and only if there are any.
     """
     run = lambda c: F.transform(F.sequence(F.lit(1), F.size(c) - 7), lambda i: F.xxhash64(F.slice(c, i, 8)))
-    items = table(s, d, "benchmark").where("text <> ''").select("item_id", F.col("text").alias("passage"), X.words(F.col("text")).alias("w"))
+    word = lambda c: F.xxhash64(F.lit("word"), c)
+    items = table(s, d, "benchmark").where("text <> ''").select("item_id", F.col("text").alias("passage"), X.words(F.col("text")).alias("w")).where("size(w) > 0")
     docs = table(s, d, "documents").where("text <> ''").select("doc_id", "text")
     words = docs.select("doc_id", X.words(F.col("text")).alias("w"))
-    long = items.where(F.size("w") >= 10).select("item_id", F.xxhash64(F.slice("w", 2, 8)).alias("run"))
-    by_run = words.where(F.size("w") >= 8).select("doc_id", F.explode(F.array_distinct(run("w"))).alias("run")).join(long, "run").select("doc_id", "item_id")
-    middle = items.where("size(w) between 3 and 9").select("item_id", F.get("w", F.lit(1)).alias("word"))
-    by_word = words.select("doc_id", F.explode(F.array_distinct("w")).alias("word")).join(middle, "word").select("doc_id", "item_id")
-    likely = by_run.unionByName(by_word).distinct().join(items.select("item_id", "passage"), "item_id").withColumnRenamed("doc_id", "at")
-    hits = docs.join(likely, F.col("doc_id").eqNullSafe(F.col("at"))).where(F.contains("text", F.col("passage"))).select("doc_id", "item_id")
-    short = F.broadcast(items.where("size(w) between 1 and 2").select("item_id", "passage"))
-    by_text = docs.join(short, F.contains("text", F.col("passage"))).select("doc_id", "item_id")
-    return hits.unionByName(by_text).distinct()
+    runs = F.when(F.size("w") >= 8, run("w")).otherwise(F.array().cast("array<bigint>"))
+    keys = words.select("doc_id", F.explode(F.array_union(runs, F.transform("w", word))).alias("key"))
+    longest = F.aggregate(F.slice("w", 2, F.greatest(F.size("w") - 2, F.lit(0))), F.lit(""), lambda a, x: F.when(F.length(x) > F.length(a), x).otherwise(a))
+    of_item = F.when(F.size("w") >= 10, F.xxhash64(F.slice("w", 2, 8))).otherwise(word(longest))
+    likely = keys.join(items.where("size(w) > 2").select("item_id", of_item.alias("key")), "key").select("doc_id", "item_id")
+    short = items.where("size(w) < 3").select("item_id", "passage")
+    least = short.agg(F.min(F.length("passage"))).first()[0]
+    if least:
+        n = min(least, 4)
+        pieces = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("text") - n + 1), lambda i: F.substr("text", i, F.lit(n))))
+        some = docs.where(F.length("text") >= n).select("doc_id", F.explode(pieces).alias("key"))
+        likely = likely.unionByName(some.join(short.select("item_id", F.substring("passage", 1, n).alias("key")), "key").select("doc_id", "item_id"))
+    found = likely.distinct().join(items.select("item_id", "passage"), "item_id").withColumnRenamed("doc_id", "at")
+    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("at"))).where(F.contains("text", F.col("passage"))).select("doc_id", "item_id").distinct()
 
 
 def benchmark_anti(s: SparkSession, d: str) -> DataFrame:
