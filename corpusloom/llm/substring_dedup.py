@@ -7,7 +7,7 @@ Sparse suffixes.  Every window holds an anchor: the run of GRAM words of least h
 it, the same in equal windows.  Only suffixes that start at anchors go into trees,
 each with the words before it, read backwards; this context, `window` words from the
 anchor on and window - GRAM before it, decides all windows around the anchor.  Equal
-contexts, told by 128 bits of fingerprint, become one suffix with a weight before
+contexts, told by fingerprints that rest on 64 bits a word, become one suffix with a weight before
 anything is dealt out, so a passage copied into a third of all rows is a row a task.
 
 Prefix partitioning.  Suffixes with the same first GRAM words form a group; a group of
