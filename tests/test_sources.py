@@ -118,3 +118,25 @@ def test_minhash_classes_find_the_similar_sets(spark, bucket):
     assert sorted(map(tuple, members.collect())) == sorted(map(tuple, exact_members.collect()))
     got, want = set(map(tuple, pairs.collect())), set(map(tuple, exact.collect()))
     assert got <= want and len(got) >= 0.9 * len(want) and len(want) > 5
+
+
+def test_notebooks_encoded_and_decoded_again(spark, tmp_path):
+    cells = [{"cell_type": "code", "source": 'a = "ü\\n"\n', "execution_count": 3, "outputs": [{"output_type": "error"}], "metadata": {"nbgrader": {"grade": True, "points": 1.5, "grade_id": "g"}}}, {"cell_type": "markdown", "source": "", "outputs": []}]
+    books = decoded(spark, json.dumps({"cells": cells, "metadata": {"nb_index": 1, "repo": "r", "path": "p"}, "nbformat": 4}))
+    again = records.decode_notebooks(records.encode_notebooks(books))
+    assert again.schema == books.schema and again.collect() == books.collect()
+    path = tmp_path / "lines"
+    path.mkdir()
+    for name in ("a.jsonl", "b.jsonl", "c.txt"):
+        (path / name).write_text(records.encode_notebooks(books).first()["value"])
+    assert records.read_records(spark, str(path), records.NOTEBOOK, "*.jsonl").count() == 2
+    assert records.read_records(spark, str(path), records.NOTEBOOK, first=1).count() == 1
+    out = str(tmp_path / "out")
+    for rows in (books.union(books), books):  # what stood there is replaced
+        records.write_records(rows, out)
+    assert records.count_lines(spark, out) == 1
+
+
+def test_strictly_valid_cells(spark):
+    rows = spark.createDataFrame([("a", "code"), ("", "code"), ("a", ""), ("a", None)], "source string, cell_type string")
+    assert [(r[0], r[1]) for r in rows.select(F.coalesce(K.is_valid(), F.lit(False)), F.coalesce(K.is_strictly_valid(), F.lit(False))).collect()] == [(True, True), (False, False), (True, False), (False, False)]
