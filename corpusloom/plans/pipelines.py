@@ -215,8 +215,9 @@ def exercise_records(results: DataFrame) -> DataFrame:
 
 
 def dev_and_test(records: DataFrame, test_percent: int = 55) -> DataFrame:
-    """Adds part; no code of test occurs in dev."""
-    return D.split_exactly(records.withColumn("_tokens", F.col("code.code_tokens")), ["id"], "_tokens", test_percent).drop("_tokens")
+    """Adds part; no code of test occurs in dev.  The records are written once, as every step of the split reads them."""
+    held = WorkTable(records.withColumn("_tokens", F.col("code.code_tokens"))).df
+    return D.split_exactly(held, ["id"], "_tokens", test_percent).drop("_tokens")
 
 
 def final_dataset(graded_split: DataFrame, exercise_split: DataFrame, trained: DataFrame) -> dict[str, DataFrame]:
