@@ -23,10 +23,14 @@ def first_by(df: DataFrame, key: Column, order: list[str], also: Column | None =
 
 
 def majority(df: DataFrame, group: list[str], value: str, source: str, order: str, least: int = 2) -> DataFrame:
-    """Each group's most frequent value, the earliest on a tie: n rows hold it, from n_sources sources; where it has `least` rows at least."""
+    """Each group's most frequent value, the earliest on a tie: n rows hold it, from n_sources sources, the first at `first`; where it has `least` rows at least.
+
+    `order` may be a struct.  Rows are counted before they are shuffled, so a group of
+    any share of all rows costs a row a value and task.
+    """
     counted = df.groupBy(*group, value).agg(F.count("*").alias("n"), F.countDistinct(source).alias("n_sources"), F.min(order).alias("first"))
-    best = counted.groupBy(*group).agg(F.max(F.struct("n", (-F.col("first")).alias("early"), "n_sources", value)).alias("best"))
-    return best.select(*group, f"best.{value}", "best.n", "best.n_sources", (-F.col("best.early")).alias("first")).where(F.col("n") >= least)
+    best = counted.groupBy(*group).agg(F.min(F.struct((-F.col("n")).alias("fewer"), "first", "n_sources", value)).alias("best"))
+    return best.select(*group, f"best.{value}", (-F.col("best.fewer")).alias("n"), "best.n_sources", "best.first").where(F.col("n") >= least)
 
 
 def distinct_values(df: DataFrame, group: list[str], value: str) -> DataFrame:
@@ -46,9 +50,9 @@ def set_classes(df: DataFrame, within: list[str], id_col: str, items: str) -> tu
     """
     kept = F.array_sort(F.array_distinct(F.filter(items, lambda x: x.isNotNull() & (x != ""))))
     rows = df.select(*within, F.col(id_col).alias("id"), kept.alias("items")).where(F.size("items") > 0).withColumn("set", F.sha2(F.to_json(F.struct("items")).cast("binary"), 256))
-    sets = rows.groupBy(*within, "set").agg(F.min("id").alias("class"), F.any_value("items").alias("items"))
-    members = rows.select(*within, "set", "id").join(sets.select(*within, "set", "class", F.size("items").alias("n")), [*within, "set"]).drop("set")
-    return members, sets
+    sets = rows.groupBy(*within, "set").agg(F.min("id").alias("class"), F.any_value(F.size("items")).alias("n"), F.any_value("items").alias("items"))
+    members = rows.select(*within, "set", "id").join(sets.select(*within, "set", "class", "n"), [*within, "set"]).drop("set")
+    return members, sets.drop("set", "n")
 
 
 def similar_sets(sets: DataFrame, within: list[str], percent: int = 50) -> DataFrame:
@@ -122,11 +126,12 @@ def lsh_classes(df: DataFrame, within: list[str], id_col: str, items: str, perce
     """similar_classes() with candidates from MinHash bands, each verified.
 
     Two sets with a share s of common items meet with probability 1 - (1 - s^rows)^bands:
-    0.996 at one half.  A bucket of more than `bucket` sets isn't paired: similar_sets()
+    0.996 at one half.  Items are compared by 64-bit hashes, which is what travels with
+    the pairs.  A bucket of more than `bucket` sets isn't paired: similar_sets()
     runs inside it, so that what is made there are links, not the bucket's pairs.
     """
     members, sets = set_classes(df, within, id_col, items)
-    sets = WorkTable(sets).df
+    sets = WorkTable(sets.select(*within, "class", F.transform("items", lambda x: F.xxhash64(x)).alias("items"))).df
     held = WorkTable(bands_of(sets, within, "class", bands, rows)).df
     sizes = held.groupBy(*within, "band").agg(F.count("*").alias("size")).where("size > 1")
     small, large = (held.join(sizes.where(c).select(*within, "band"), [*within, "band"]) for c in (F.col("size") <= bucket, F.col("size") > bucket))
