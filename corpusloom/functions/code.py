@@ -58,6 +58,13 @@ def tokens_of(code: str, name_words: bool = True) -> list[Token]:
     return out
 
 
+def untokenized(tokens: list[Token]) -> str:
+    """Code that has these tokens; blanks between them are not those of the code they came from."""
+    named = {name: number for number, name in tokenize.tok_name.items()}
+    number = lambda text, kind: named[kind] if kind in named else tokenize.NAME if text.isidentifier() else tokenize.OP
+    return tokenize.untokenize([(number(text, kind), text) for text, kind in tokens])
+
+
 def between(rows: list[str], start: tuple[int, int], end: tuple[int, int]) -> str:
     """Source text from one (row, column) to another."""
     if start[0] == end[0]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import code as C
@@ -105,15 +105,13 @@ def choose_solution(rows: DataFrame, max_tokens: int = 120) -> DataFrame:
     that of the question's own rows or else found by checksum among all, and what is
     extracted are the lines added to it.
     """
-    position = Window.partitionBy("question").orderBy("nb_index", "cell_index")
-    placed = rows.withColumn("pos", F.row_number().over(position))
-    rank = F.struct((~F.col("from_output_nb")).alias("late"), F.when(F.col("from_output_nb"), -F.col("pos")).otherwise(F.col("pos")).alias("pos"))
+    placed = rows.withColumn("pos", F.struct("nb_index", "cell_index"))
     solution, passed = ~F.col("is_boilerplate"), ~F.col("is_boilerplate") & F.coalesce("test_below_passed", F.lit(False))
-    groups = placed.groupBy("question").agg(
-        F.count_if(solution).alias("n_solutions"), F.coalesce(F.max(solution & F.col("is_instructor_answer")), F.lit(False)).alias("instructor"), F.min_by(F.when(passed, target_of()), F.when(passed, rank)).alias("student"),
-        F.min_by(F.when(passed, F.struct("nbgrader", "cell_type")), F.when(passed, rank)).alias("mark"),
-        F.min_by(F.when(~solution, F.col("source")), F.when(~solution, F.col("pos"))).alias("template"),
-    )
+    late, one = passed & F.col("from_output_nb"), F.struct(target_of().alias("target"), F.struct("nbgrader", "cell_type").alias("mark"))
+    groups = placed.groupBy("question").agg(  # all of it is added up before the shuffle, however many rows a question has
+        F.count_if(solution).alias("n_solutions"), F.coalesce(F.max(solution & F.col("is_instructor_answer")), F.lit(False)).alias("instructor"),
+        F.coalesce(F.max_by(one, F.when(late, F.col("pos"))), F.min_by(one, F.when(passed & ~F.col("from_output_nb"), F.col("pos")))).alias("chosen"), F.min_by(F.when(~solution, F.col("source")), F.when(~solution, F.col("pos"))).alias("template"),
+    ).select("question", "n_solutions", "instructor", "template", F.col("chosen.target").alias("student"), F.col("chosen.mark").alias("mark"))
     lacking = groups.where(F.col("template").isNull() & F.col("mark").isNotNull() & ~F.col("instructor")).select("question", "mark.nbgrader", "mark.cell_type")
     released = G.boilerplates_by_checksum(lacking, rows).select("question", "released")
     groups = groups.join(released, "question", "left").withColumn("template", F.coalesce("template", "released"))
@@ -179,7 +177,7 @@ def exercise(notebooks: DataFrame, max_tokens: int = 120, percent: int = 50, con
 
 def vote(rows: DataFrame, max_tokens: int = 120) -> DataFrame:
     """The code and the template that most rows of a group share; two rows of two repos must agree."""
-    placed = rows.withColumn("pos", F.row_number().over(Window.partitionBy("group").orderBy("repo", "path", "cell_index")))
+    placed = rows.withColumn("pos", F.struct("repo", "path", "cell_index", "boilerplate_path"))
     codes = D.majority(placed, ["group"], "source", "repo", "pos", least=1).withColumnsRenamed({"n": "n_code", "n_sources": "n_repos", "first": "first_code"})
     templates = D.majority(placed, ["group"], "boilerplate", "repo", "pos", least=1).select("group", "boilerplate", F.col("n").alias("n_template"))
     chosen = placed.select("group", F.col("pos").alias("first_code"), "repo", "path", "nb_index", "cell_index", "code", "nl", "nl_tokens")

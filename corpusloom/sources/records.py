@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,6 +23,11 @@ def read_records(spark: SparkSession, path: str, schema: str | T.StructType, ext
     return out if first is None else out.limit(first)
 
 
+def iterate_records(records: DataFrame, first: int | None = None) -> Iterator[Row]:
+    """Rows one after the other, a partition of them at the driver at a time."""
+    return (records if first is None else records.limit(first)).toLocalIterator(prefetchPartitions=True)
+
+
 def read_lines(spark: SparkSession, path: str, without: str | None = None) -> DataFrame:
     """Raw lines, those that hold `without` left out before anything is parsed."""
     out = spark.read.text(path)

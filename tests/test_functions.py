@@ -99,3 +99,11 @@ def test_grading_type(spark, present, has_s, s, has_g, g, want):
 def test_language():
     assert [language.guess(x) for x in ("the cat and the dog", "le chat et la souris", "", None, "der Hund und die Katze")] == ["English", "French", "un", "failed", "German"]
     assert language.tokens("# Load `x`\n**bold** isn't") == ["Load", "CTAG", "x", "CTAG", "bold", "isn't"]
+
+
+@pytest.mark.parametrize("source", ["x = 1\n", "def f(a, *b):\n    # hi\n    if a:\n        return f'{a!r}' + \"b\"\n    return [*b]\n", "for i in range(3):\n    print(i, end='')\n\n\nclass A:\n    pass\n"])
+def test_untokenized_code_has_the_same_tokens(source):
+    tokens = [t for t in code.tokens_of(source) if t[1] not in ("NL", "COMMENT")]
+    again = [t for t in code.tokens_of(code.untokenized(code.tokens_of(source))) if t[1] not in ("NL", "COMMENT")]
+    squeezed = lambda ts: [(text.strip() if kind in ("INDENT", "NEWLINE") else text, kind) for text, kind in ts]
+    assert squeezed(again) == squeezed(tokens)

@@ -140,3 +140,9 @@ def test_notebooks_encoded_and_decoded_again(spark, tmp_path):
 def test_strictly_valid_cells(spark):
     rows = spark.createDataFrame([("a", "code"), ("", "code"), ("a", ""), ("a", None)], "source string, cell_type string")
     assert [(r[0], r[1]) for r in rows.select(F.coalesce(K.is_valid(), F.lit(False)), F.coalesce(K.is_strictly_valid(), F.lit(False))).collect()] == [(True, True), (False, False), (True, False), (False, False)]
+
+
+def test_records_one_after_the_other(spark):
+    rows = spark.range(0, 100, 1, 7)
+    assert [r["id"] for r in records.iterate_records(rows)] == list(range(100))
+    assert len(list(records.iterate_records(rows, 12))) == 12
