@@ -62,7 +62,8 @@ def similar_sets(sets: DataFrame, within: list[str], percent: int = 50) -> DataF
     n - ceil(percent n / 100) + 1, so only those are joined, and only sets of comparable
     sizes are compared.
     """
-    flat = sets.select(*within, "class", F.explode("items").alias("item"), F.size("items").alias("n"))
+    # 64-bit hashes stand for the items until pairs are verified
+    flat = sets.select(*within, "class", F.explode(F.transform("items", lambda x: F.xxhash64(x))).alias("item"), F.size("items").alias("n"))
     counts = flat.groupBy(*within, "item").agg(F.count("*").alias("df"))
     own = Window.partitionBy(*within, "class")
     placed = flat.join(counts.where("df > 1"), [*within, "item"]).withColumn("at", F.row_number().over(own.orderBy("df", "item")))
