@@ -82,13 +82,11 @@ def near_dup_pairs(s: SparkSession, d: str) -> DataFrame:
     return D.similar_pairs(docs, ["lang"], "doc_id", "items").select("lang", "a", "b", F.col("n_shared").cast("long").alias("n_shared"), F.col("n_union").cast("long").alias("n_union"))
 
 
-def linked_classes(s: SparkSession, d: str, similar: Callable) -> DataFrame:
+def linked_classes(s: SparkSession, d: str, pairing: Callable) -> DataFrame:
     """Each document's class of equal line sets, and how many other classes that one is similar to."""
     docs = table(s, d, "documents").select("lang", "doc_id", F.split(F.coalesce("text", F.lit("")), "\n", -1).alias("items"))
-    members, pairs = similar(docs, ["lang"], "doc_id", "items")
-    ends = pairs.select("lang", F.explode(F.array("a", "b")).alias("class")).groupBy("lang", "class").agg(F.count("*").alias("n_links"))
-    out = members.join(ends, ["lang", "class"], "left")
-    return out.select("lang", F.col("id").alias("doc_id"), F.col("class").alias("class_id"), F.col("n").cast("long").alias("n_lines"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    out = D.linked_classes(docs, ["lang"], "doc_id", "items", pairing=pairing)
+    return out.select("lang", F.col("id").alias("doc_id"), F.col("class").alias("class_id"), F.col("n").cast("long").alias("n_lines"), "n_links")
 
 
 def positional(s: SparkSession, d: str) -> DataFrame:
@@ -201,8 +199,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "chained_dedup": lambda s, d: D.first_by(D.first_by(docs(s, d), F.col("text"), ["doc_id"]).withColumn("line", first_line()), F.col("line"), ["doc_id"]).select("doc_id", "line"),
         "majority_by_group": lambda s, d: D.majority(docs(s, d).withColumn("line", first_line()), ["line"], "text", "source", "doc_id").select("line", F.md5(F.col("text").cast("binary")).alias("text_md5"), "n", "n_sources", "first"),
         "near_dup_pairs": near_dup_pairs,
-        "near_dup_classes": lambda s, d: linked_classes(s, d, D.similar_classes),
-        "lsh_dup_classes": lambda s, d: linked_classes(s, d, D.lsh_classes),
+        "near_dup_classes": lambda s, d: linked_classes(s, d, D.similar_kinds),
+        "lsh_dup_classes": lambda s, d: linked_classes(s, d, D.banded_kinds),
         "positional_diff": positional,
         "split_leak_guard": lambda s, d: D.split_without_leaks(docs(s, d), "doc_id", "text").select("doc_id", "part"),
         "benchmark_leaks": benchmark_leaks,

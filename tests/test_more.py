@@ -1,5 +1,7 @@
 import json
+import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.functions import code
@@ -111,3 +113,35 @@ def test_copies_are_one_class(spark):
     assert [tuple(r) for r in pairs.collect()] == [("g", 0, 10, 3, 4)]
     want = {("g", i, j, 3, 3) for i in range(6) for j in range(i + 1, 6)} | {("g", i, 10, 3, 4) for i in range(6)}
     assert {tuple(r) for r in D.similar_pairs(df, ["k"], "id", "items").collect()} == want
+
+
+def brute_links(rows):
+    """id -> (class, n, links of the class) by comparing all sets; a null group keeps its classes and has no links."""
+    sets = {i: (g, frozenset(x for x in items or [] if x)) for g, i, items in rows}
+    classes = {}
+    for i in sorted(sets):
+        if sets[i][1]:
+            classes.setdefault(sets[i], i)
+    similar = lambda a, b: a != b and a[0] == b[0] and a[0] is not None and 2 * len(a[1] & b[1]) >= len(a[1] | b[1])
+    links = {k: sum(similar(k, other) for other in classes) for k in classes}
+    return {i: (classes[k], len(k[1]), links[k]) for i, k in sets.items() if k[1]}
+
+
+@pytest.mark.parametrize("pairing", [D.similar_kinds, D.banded_kinds])
+def test_links_against_brute_force(spark, pairing):
+    """Pairs at a share of exactly one half, many sets that differ in one item of their own, chains, copies, a null group."""
+    r = random.Random(3)
+    sets = [[f"a{i // 2}", f"b{i // 2}", f"own{i}"] for i in range(800)] + [["c1", "c2", f"x{i}"] for i in range(60)] + [["c1"], ["c1", "c2"], ["c2", None, ""], [], None]
+    sets += [[f"r{r.randint(0, 25)}" for _ in range(r.randint(1, 7))] for _ in range(150)] + [["c1", "c2", "x1"]] * 3
+    rows = [(g, i, s) for i, (g, s) in enumerate([("g", s) for s in sets] + [("h", s) for s in sets[800:900]] + [(None, ["c1", "c2"]), (None, ["c1", "c2"]), (None, ["c1"])])]
+    df = spark.createDataFrame(rows, "k string, id long, items array<string>").repartition(3)
+    assert {x["id"]: (x["class"], x["n"], x["n_links"]) for x in D.linked_classes(df, ["k"], "id", "items", pairing=pairing).collect()} == brute_links(rows)
+
+
+def test_sets_with_the_same_links_cost_no_pairs(spark):
+    df = spark.createDataFrame([("g", i, ["c1", "c2", f"x{i}"]) for i in range(50)] + [("g", i, ["c1", f"y{i}"]) for i in range(50, 100)], "k string, id long, items array<string>")
+    members, sets = D.set_classes(df, ["k"], "id", "items")
+    classes, kinds = D.kinds_of(sets, ["k"], 50)
+    assert sorted(tuple(x) for x in kinds.select("kind", "n", "m").collect()) == [(0, 3, 50), (50, 2, 50)] and classes.count() == 100
+    assert [tuple(x) for x in D.similar_kinds(kinds, ["k"]).collect()] == [("g", 0, 0, 2, 4)]
+    assert len(D.similar_pairs(df, ["k"], "id", "items").collect()) == 50 * 49 // 2
