@@ -1,9 +1,11 @@
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.functions import code, language, solutions
+from corpusloom.functions import code, language, slices, solutions
 from corpusloom.functions import text as X
 from corpusloom.operators import grading
+from corpusloom.plans import queries
 
 
 @pytest.mark.parametrize(("source", "want"), [
@@ -107,3 +109,28 @@ def test_untokenized_code_has_the_same_tokens(source):
     again = [t for t in code.tokens_of(code.untokenized(code.tokens_of(source))) if t[1] not in ("NL", "COMMENT")]
     squeezed = lambda ts: [(text.strip() if kind in ("INDENT", "NEWLINE") else text, kind) for text, kind in ts]
     assert squeezed(again) == squeezed(tokens)
+
+
+def test_results_are_made_for_few_rows_at_a_time():
+    calls = []
+    made = slices.results(lambda x, y: calls.append(x) or [x] * y, pa.list_(pa.int64()), iter([(pa.array(range(1000)), pa.array([2] * 1000)), (pa.array([], pa.int64()),) * 2]))
+    assert len(next(made)) == slices.ROWS == len(calls)
+    assert sum(map(len, made)) == 1000 - slices.ROWS and calls == [*range(1000)]
+
+
+def test_analysis_kept_by_shape_is_that_of_the_code_itself():
+    bodies = ["x = {0}  # {1}\n", "def f(a):\n    {0}\n    # {1}\n    b = {0} {0}\n    return g(a, b)", "print(f'{{x}}' {0})", "x = b'y' + {0}", "import os\nclass A:\n\t{0}\n\tx = {0}", "x = (", "# {1}", "if x:\n  y({0})\n\n\n# {1}\nz({0})", "def f():\n    {0}", "x = {0}\r\ny = x", "match x:\n    case {0}:\n        pass", "'\\x'", "x = \\\n  {0}"]
+    texts = ["'a'", '"b"', "'''c\nd'''", "'\\n'", "r'e'", "''", "'\\N{nothing}'", "u'h'", "f'{a}'"]
+    kept = {}
+    for body in bodies:
+        for i, text in enumerate(texts):
+            source = body.format(text, f"remark {i}")
+            assert code.analyze_one(source, kept) == code.analyze_one(source), source
+    assert 5 < len(kept) < len(bodies) * len(texts) / 3  # comments and plain strings share an entry
+
+
+def test_code_of_one_small_file_is_analysed_by_many_tasks(spark, tmp_path):
+    spark.createDataFrame([(i, f"name {i}", "Brand#1") for i in range(50)], "p_partkey long, p_name string, p_brand string").coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    out = queries.code_records(spark, str(tmp_path))
+    assert out.rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism and out.count() == 50
+    assert {r["comments"] for r in out.collect()} == {f"# name {i} COMMENTSEP" for i in range(50)}
