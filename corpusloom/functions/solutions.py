@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import difflib
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from .slices import by_value
 
 # Fixed value: the template that stands for no code at all.
 EMPTY_TEMPLATE = "# YOUR CODE HERE\nraise NotImplementedError()"
@@ -21,11 +22,7 @@ def diff_lines(template: str, solution: str) -> list[str]:
 
 def diffs(template: Column, solution: Column) -> Column:
     """diff_lines() as a column; null for null."""
-
-    def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None or y is None else diff_lines(x, y) for x, y in zip(a, b, strict=True)], dtype=object)
-
-    return F.pandas_udf(run, T.ArrayType(T.StringType())).asNondeterministic()(template, solution)
+    return by_value(lambda a, b: None if a is None or b is None else diff_lines(a, b), "array<string>", pa.list_(pa.string()), template, solution, once=True)
 
 
 def telling_lines(diff: Column) -> Column:
