@@ -12,6 +12,8 @@ from pyspark.sql import types as T
 
 from ..functions import text as X
 from ..functions.language import has_code_tag
+from ..sources.work import merging
+
 
 def in_order() -> WindowSpec:
     return Window.partitionBy("nb_index").orderBy("cell_index")
@@ -67,7 +69,7 @@ def with_code_tags(cells: DataFrame) -> DataFrame:
     """Cells of notebooks in which some markdown renders to HTML with a code tag; a notebook's answer is found before its cells are."""
     maybe = is_markdown() & F.col("source").rlike(r"(?i)`|~~~|<code|(?m)^(?: {4}|[ >]*\t)|(?:[-+*>]|\d[.)]) {4}")
     tagged = cells.where(maybe).where(has_code_tag(F.col("source"))).select("nb_index").distinct()
-    return cells.join(tagged, "nb_index", "left_semi")
+    return cells.join(merging(tagged), "nb_index", "left_semi")
 
 
 def without_sources(cells: DataFrame, sources: list[str]) -> DataFrame:
@@ -147,7 +149,7 @@ def exploded_context(cells: DataFrame, targets: DataFrame, length: int) -> DataF
     """A row for each target and each valid cell at most `length` above it, with its distance."""
     above = cells.where(is_valid()).select("nb_index", F.col("cell_index").alias("context_index"), F.col("cell_type").alias("context_type"), F.col("source").alias("context_source"))
     distance = F.col("cell_index") - F.col("context_index")
-    return targets.join(above, "nb_index").where(distance.between(1, length)).withColumn("distance_target", distance)
+    return targets.join(merging(above), "nb_index").where(distance.between(1, length)).withColumn("distance_target", distance)
 
 
 def with_context(cells: DataFrame, length: int, fields: list[str] | dict[str, str], wanted: Column | None = None) -> DataFrame:
@@ -188,7 +190,7 @@ def sliced_context(targets: DataFrame, contexts: DataFrame, length: int) -> Data
     taken = F.reverse(F.filter("_cells", lambda c: (c["at"] < F.col("cell_index")) & (c["at"] >= first)))
     fields = contexts.schema["cells"].dataType.elementType.names[1:]
     context = F.transform(taken, lambda c: F.struct((F.col("cell_index") - c["at"]).cast("int").alias("distance_target"), *[c[f].alias(f) for f in fields]))
-    both = targets.join(contexts.select("nb_index", F.col("cells").alias("_cells")), "nb_index", "left")
+    both = targets.join(merging(contexts.select("nb_index", F.col("cells").alias("_cells"))), "nb_index", "left")
     kind = T.ArrayType(T.StructType([T.StructField("distance_target", T.IntegerType()), *contexts.schema["cells"].dataType.elementType.fields[1:]]))
     return both.withColumn("context", F.coalesce(context, F.array().cast(kind))).withColumn("num_cells_above", F.col("cell_index")).drop("_cells")
 
@@ -215,7 +217,7 @@ def cell_imports(cells: DataFrame) -> DataFrame:
 def sliced_imports(counted: DataFrame, whole: DataFrame, name: str = "imports", count: str = "n_imports") -> DataFrame:
     """Import tokens of all code cells from the first to this one, repeats kept: the first so many (import_places()) of the one array that holds a notebook's."""
     some = F.slice("all_imports", F.lit(1), F.col(count))
-    return counted.join(whole, "nb_index", "left").withColumn(name, F.coalesce(some, F.array().cast("array<string>"))).drop("all_imports", count)
+    return counted.join(merging(whole), "nb_index", "left").withColumn(name, F.coalesce(some, F.array().cast("array<string>"))).drop("all_imports", count)
 
 
 def running_imports(cells: DataFrame, name: str = "imports") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..sources.work import merging
 
 
 def grading_type(present: Column, has_solution: Column, solution: Column, has_grade: Column, grade: Column) -> Column:
@@ -66,11 +67,11 @@ def boilerplates_by_checksum(targets: DataFrame, boilerplates: DataFrame, block:
     texts = boilerplates.where("is_boilerplate").select(F.col("source").alias("released"), F.col("nbgrader.checksum").alias("own")).distinct()
     hit = checksum_of(F.col("released"), F.col("cell_type"), F.col("nbgrader")) == F.col("nbgrader.checksum")
     first = lambda found: found.where(hit).groupBy("_mark").agg(F.min("released").alias("released"))
-    known = first(marks.join(texts, F.col("nbgrader.checksum") == F.col("own")))
-    rest, all_texts = marks.join(known, "_mark", "left_anti"), texts.select("released").distinct()
+    known = first(marks.join(merging(texts), F.col("nbgrader.checksum") == F.col("own")))
+    rest, all_texts = marks.join(merging(known), "_mark", "left_anti"), texts.select("released").distinct()
     rows, columns = (max(1, -(-side.count() // block)) for side in (all_texts, rest))
     numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     down = all_texts.select("released", F.pmod(F.xxhash64("released"), F.lit(rows)).cast("int").alias("_row"), numbers(columns).alias("_column"))
     across = rest.select("_mark", "nbgrader", "cell_type", F.pmod(F.xxhash64("_mark"), F.lit(columns)).cast("int").alias("_column"), numbers(rows).alias("_row"))
-    tried = first(across.join(down, ["_row", "_column"]))
-    return asked.join(known.unionByName(tried), "_mark", "left").drop("_mark")
+    tried = first(across.join(merging(down), ["_row", "_column"]))
+    return asked.join(merging(known.unionByName(tried)), "_mark", "left").drop("_mark")

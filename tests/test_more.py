@@ -145,3 +145,17 @@ def test_sets_with_the_same_links_cost_no_pairs(spark):
     assert sorted(tuple(x) for x in kinds.select("kind", "n", "m").collect()) == [(0, 3, 50), (50, 2, 50)] and classes.count() == 100
     assert [tuple(x) for x in D.similar_kinds(kinds, ["k"]).collect()] == [("g", 0, 0, 2, 4)]
     assert len(D.similar_pairs(df, ["k"], "id", "items").collect()) == 50 * 49 // 2
+
+
+def test_nothing_that_grows_is_broadcast(spark, tmp_path):
+    """Work tables of few bytes in files may hold many rows: their joins are merged, not sent through the driver."""
+    rows = [(c, t, ("user", "assistant")[t % 2], "a" * (c % 4 + 1)) for c in range(12) for t in range(4)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    out = generated.exercise_split(spark, str(tmp_path))
+    assert out.count() > 0
+    pairs = pipelines.D.solution_pairs(spark.createDataFrame([("r", "solution", ["a", "b"]), ("r", "hw", ["a"])], "repo string, path string, items array<string>"))
+    assert [tuple(r) for r in pairs.collect()] == [("r", "solution", "hw")]
+    for df in (out, pairs, generated.exercise(spark, str(tmp_path))):
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
