@@ -61,7 +61,8 @@ class Bags:
     """Words of a slice of texts by sentence."""
 
     def __init__(self, text: pa.Array, bits: int = BITS):
-        self.words = w = Words(text, lower=True)
+        w = Words(text, lower=True)
+        self.index, self.doc_at, self.values = w.index, w.doc_at, len(w.values)  # the words' bytes and places aren't kept
         ends = np.concatenate(([0], np.cumsum(END[w.data])))[w.begin]
         doc = np.repeat(np.arange(len(text)), np.diff(w.doc_at))
         new = np.ones(len(w), bool)
@@ -69,27 +70,28 @@ class Bags:
         self.first = np.flatnonzero(new)  # first word of each sentence
         self.doc = doc[self.first]
         self.docs = len(text)
-        self.features, self.sizes = word_features(w.values, bits)
+        features, self.sizes = word_features(w.values, bits)
+        self.features = features.astype(np.int32)
 
     def logits(self, weight: np.ndarray, bias: float) -> np.ndarray:
         """Of each sentence."""
         if not len(self.first):
             return np.zeros(0)
         of_word = np.add.reduceat(weight[self.features], np.cumsum(self.sizes) - self.sizes)
-        return np.add.reduceat(of_word[self.words.index], self.first) + bias
+        return np.add.reduceat(of_word[self.index], self.first) + bias
 
     def support(self, size: int) -> np.ndarray:
         """In how many of the documents each feature occurs, to a few collisions."""
-        doc = np.repeat(np.arange(self.docs), np.diff(self.words.doc_at))
-        pairs = np.unique(doc * len(self.words.values) + self.words.index)
-        index, at = pairs % max(len(self.words.values), 1), np.cumsum(self.sizes) - self.sizes
+        doc = np.repeat(np.arange(self.docs), np.diff(self.doc_at))
+        pairs = np.unique(doc * self.values + self.index)
+        index, at = pairs % max(self.values, 1), np.cumsum(self.sizes) - self.sizes
         found = gather_runs(self.features, at[index], self.sizes[index])
-        owner = np.repeat(pairs // max(len(self.words.values), 1), self.sizes[index])
+        owner = np.repeat(pairs // max(self.values, 1), self.sizes[index])
         return np.bincount(np.unique(owner * size + found) % size, minlength=size).astype(np.int32)
 
     def back(self, slope: np.ndarray, size: int) -> np.ndarray:
         """Slopes by feature from those by sentence."""
-        by_word = np.bincount(self.words.index, np.repeat(slope, np.diff(np.append(self.first, len(self.words)))), len(self.words.values))
+        by_word = np.bincount(self.index, np.repeat(slope, np.diff(np.append(self.first, len(self.index)))), self.values)
         return np.bincount(self.features, np.repeat(by_word, self.sizes), size)
 
 

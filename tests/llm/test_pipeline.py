@@ -188,3 +188,10 @@ def test_repeated_rows_score_alike(spark):
     out = toxicity.op7(docs, labels).collect()
     same = [x["score"] for x in out if x["doc_id"] == 4 or x["doc_id"] is None]
     assert len(out) == 203 and len(same) == 4 and len(set(same)) == 1
+
+
+def test_bags_hold_little_besides_their_words_numbers():
+    """What training keeps of its texts: numbers of words, not their bytes and places."""
+    text = pa.array([f"some words of text {i % 50}. and more of them " * 40 for i in range(200)])
+    held = [x for x in vars(toxicity.Bags(text)).values() if not isinstance(x, int)]
+    assert all(isinstance(x, np.ndarray) for x in held) and sum(x.nbytes for x in held) < 2 * text.nbytes
