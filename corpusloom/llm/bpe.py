@@ -8,7 +8,10 @@ are the ids of its pieces end to end.  Distinct pieces are encoded once per work
 looked up from then on; a word is the same piece with a mark after it or without.
 Where the vocabulary lower-cases, ASCII letters are folded before that, save those that
 a combining mark may follow and those of special tokens' texts in any case, and white
-space becomes a blank.
+space becomes a blank.  New pieces that a blank leads and that hold nothing a normaliser
+would change (printable ASCII and letters of Latin-1, lower-cased where the vocabulary
+lower-cases) are encoded end to end without it, and told apart by the bytes their tokens
+spell; other new pieces by the library's offsets.
 """
 
 from __future__ import annotations
@@ -16,6 +19,7 @@ from __future__ import annotations
 import itertools
 import json
 import os
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +36,8 @@ STOP[[ord(c) for c in STOP_TEXT]] = True
 FOLD = np.where(SPACE, np.uint8(0x20), LOWER)
 ALNUM = np.zeros(256, dtype=bool)
 ALNUM[[c for c in range(128) if chr(c).isalnum()]] = True
+PRINTABLE = np.zeros(256, dtype=bool)
+PRINTABLE[0x20:0x7F] = True
 
 _encoders: dict[tuple[str, int], PieceEncoder] = {}
 
@@ -88,10 +94,18 @@ class PieceEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.most = most
-        held = json.loads(self.tokenizer.to_str())["normalizer"] or {}
+        told = json.loads(self.tokenizer.to_str())
+        held = told["normalizer"] or {}
         self.folds = [x["type"] for x in held.get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]
+        self.bare = Tokenizer.from_str(json.dumps(told | {"normalizer": None})) if self.folds else None if held else self.tokenizer
         self.specials = [FOLD[np.frombuffer(x.content.encode(), np.uint8)].tobytes() for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.vocab = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        suffix = told["model"].get("end_of_word_suffix") or ""
+        tokens = [self.tokenizer.id_to_token(i) or "" for i in range(self.vocab)]
+        self.size = np.fromiter((len(t.removesuffix(suffix)) for t in tokens), np.int64, self.vocab)  # a character a byte
+        self.blanks = self.bare is not None and self.size[self.bare.encode(" a", add_special_tokens=False).ids].sum() == 2  # tokens spell them
+        self.as_is = PRINTABLE.copy()
+        self.as_is[65:91] = not self.folds
         self.clear()
 
     def clear(self) -> None:
@@ -125,7 +139,49 @@ class PieceEncoder:
         return entry
 
     def encode_new(self, pieces: list[bytes], together: int = 128) -> tuple[np.ndarray, np.ndarray]:
-        """(ids end to end, how many each piece has); pieces with hard boundaries between them are encoded many at a time."""
+        """(ids end to end, how many each piece has)."""
+        size = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        edges = np.concatenate(([0], np.cumsum(size)))
+        data = np.frombuffer(b"".join(pieces), np.uint8)
+        plain = self.plain(data, edges)
+        first, sizes = self.encode_plain(data[np.repeat(plain, size)], size[plain], together)
+        if sizes is None:
+            first, plain = first[:0], np.zeros(len(pieces), bool)
+        if plain.all():
+            return first, sizes
+        rest, others = self.encode_told_apart([pieces[i] for i in np.flatnonzero(~plain).tolist()], together)
+        count, start = np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int64)
+        for own, n, base in ((plain, sizes, 0), (~plain, others, len(first))):
+            if own.any():
+                count[own], start[own] = n, base + np.cumsum(n) - n
+        return gather_runs(np.concatenate((first, rest)), start, count), count
+
+    def plain(self, data: np.ndarray, edges: np.ndarray) -> np.ndarray:
+        """Which pieces a blank leads and no normaliser changes, and that end in what surely isn't white space."""
+        if self.bare is None:
+            return np.zeros(len(edges) - 1, bool)
+        good = self.as_is[data]
+        latin = (data[:-1] == 0xC3) & (data[1:] >= (0x9F if self.folds else 0x80)) & (data[1:] < 0xC0)
+        good[:-1] |= latin
+        good[1:] |= latin
+        odd = np.concatenate(([0], np.cumsum(~good)))
+        return (odd[edges[1:]] == odd[edges[:-1]]) & (data[edges[:-1]] == 0x20) & (data[edges[1:] - 1] != 0x20)
+
+    def encode_plain(self, data: np.ndarray, size: np.ndarray, together: int) -> tuple[np.ndarray, np.ndarray | None]:
+        """encode_new() of plain() pieces; None if their bytes aren't those that the tokens spell."""
+        edges = np.concatenate(([0], np.cumsum(size)))
+        cuts = np.append(edges[:-1:together], edges[-1]).tolist()
+        raw = memoryview(data)
+        found = [x.ids for x in self.bare.encode_batch_fast([str(raw[a:b], "utf-8") for a, b in zip(cuts, cuts[1:], strict=False)], add_special_tokens=False)] if len(size) else []
+        ids = np.fromiter(itertools.chain.from_iterable(found), np.uint32, sum(map(len, found)))
+        want = edges if self.blanks else np.concatenate(([0], np.cumsum(data != 0x20)))[edges]
+        spelt = np.concatenate(([0], np.cumsum(self.size[ids])))
+        at = np.searchsorted(spelt, want)
+        right = spelt[-1] == want[-1] and (spelt[at] == want).all()
+        return ids, np.diff(at) if right else None
+
+    def encode_told_apart(self, pieces: list[bytes], together: int) -> tuple[np.ndarray, np.ndarray]:
+        """encode_new() of any pieces; those with hard boundaries between them are encoded many at a time."""
         groups: list[list[str]] = [[]]
         whole = [x.decode("utf-8", "replace") for x in pieces]
         for x in whole:
@@ -145,19 +201,21 @@ class PieceEncoder:
             sizes.append(np.diff(np.searchsorted(begin, edges)))
         return np.concatenate(flat), np.concatenate(sizes)
 
-    def encode(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, data: np.ndarray, bounds: np.ndarray, boundaries: Callable = hard_boundaries) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts end to end, first id of each text with the end appended); bounds: the texts' byte offsets."""
         if not len(data):
             return np.zeros(0, np.uint32), np.zeros(len(bounds), np.int64)
         if self.folds:
             data = folded(data, self.specials)
-        cut = hard_boundaries(data)
+        cut = boundaries(data)
         cut[bounds[bounds < len(data)]] = True
         cuts = np.append(np.flatnonzero(cut), len(data))
         index, values = pieces_of(data, cuts)
-        entry = self.lookup(values.to_pylist())[index]
-        length = self.length[entry]
-        ids = gather_runs(self.store, self.start[entry], length)
+        entry = self.lookup(values.to_pylist())
+        size = self.length[entry]
+        own = gather_runs(self.store, self.start[entry], size)  # what the distinct pieces have: few, so near at hand
+        length = size[index]
+        ids = gather_runs(own, (np.cumsum(size) - size)[index], length)
         at = np.concatenate(([0], np.cumsum(length)))
         return ids, at[np.searchsorted(cuts, bounds)]
 

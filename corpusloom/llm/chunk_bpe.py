@@ -2,9 +2,10 @@
 
 A rolling hash over bytes ends a chunk wherever its low bits are 0, so equal passages
 fall into equal chunks whatever stands before them.  A chunk's core, from its first to
-its last hard boundary (see bpe), is encoded once by the library for all documents of
-a task that share the chunk.  Where two cores join, what lies between them is encoded
-anew together with the last stretch of the left core and the first of the right one.
+its last hard boundary (see bpe), is encoded once for all documents of a task that
+share the chunk, from the ids of its pieces, each of which the library has encoded
+once.  Where two cores join, what lies between them is encoded
+anew by the library, together with the last stretch of the left core and the first of the right one.
 The ids of both stretches must be those that the cores have there; a core that doesn't
 agree is given up and the join grows over it, until all joins agree.  The ids are
 exactly those of the whole text.  Vocabularies with another pre-tokenizer than the
@@ -19,7 +20,6 @@ from __future__ import annotations
 import hashlib
 import itertools
 import json
-import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -71,12 +71,8 @@ class ChunkStore:
     """
 
     def __init__(self, path: str, most: int = KEPT_BYTES):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
+        self.pieces = bpe.encoder(path)
+        self.tokenizer = self.pieces.tokenizer
         told = json.loads(self.tokenizer.to_str())
         split = told["pre_tokenizer"] or {}
         if told["normalizer"] or (split.get("type"), split.get("add_prefix_space"), split.get("use_regex")) != ("ByteLevel", False, True):
@@ -108,7 +104,8 @@ class ChunkStore:
     def learn(self, names: list[bytes], data: np.ndarray, edges: np.ndarray) -> None:
         """Encodes cores; edges: first, second, last but one and last boundary of each."""
         first, second, before, last = edges
-        ids, at = self.library(data, first, last)
+        size = last - first
+        ids, at = self.pieces.encode(gather_runs(data, first, size), np.concatenate(([0], np.cumsum(size))))
         head = self.tokens_in(ids, at[:-1], second - first)
         body = self.tokens_in(ids, at[:-1], before - first)
         for k, x in enumerate(names):

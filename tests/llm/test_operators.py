@@ -176,6 +176,40 @@ def test_chunk_joins_grow_until_they_agree(monkeypatch):
     assert store.repaired > 50
 
 
+def test_cores_of_chunks_are_encoded_from_pieces_met_before():
+    r = random.Random(6)
+    words = ["".join(r.choice("abcdefghéßÀ") for _ in range(r.randint(3, 9))) for _ in range(60)]
+    texts = [" ".join(r.choice(words) for _ in range(5000)) for _ in range(4)]
+    store, tok, sent = chunk_bpe.ChunkStore(BYTE), Tokenizer.from_file(BYTE), []
+    bare = store.pieces.bare
+
+    class Counted:
+        def encode_batch_fast(self, some, add_special_tokens):
+            sent.extend(some)
+            return bare.encode_batch_fast(some, add_special_tokens=add_special_tokens)
+
+    store.pieces.clear()
+    store.pieces.bare = store.tokenizer = Counted()
+    try:
+        bounds, data = common.offsets_of(pa.array(texts))
+        ids, at = store.encode(data, bounds)
+    finally:
+        store.pieces.bare = bare
+    assert all(ids[a:b].tolist() == tok.encode(t).ids for t, a, b in zip(texts, at, at[1:], strict=False))
+    assert store.encoded > 50 and sum(map(len, sent)) < 0.3 * len(data)  # the joins and each word once
+
+
+def test_plain_pieces_get_the_librarys_ids_and_others_too():
+    pieces = [" don", "'t", " Wörter", " naïve", " e\u0301t", " \u00a0x", "  ", " ", " <|endoftext|>", "<|endoftext|>", " ABC", " œuvre", " 1234", " ÷×", " à\u0316", " x\x1c", " ~|~", "\n\nend", " ß", " İI", ","]
+    for vocabulary in (WORD, BYTE):
+        coder, tok = bpe.PieceEncoder(vocabulary), Tokenizer.from_file(vocabulary)
+        flat, sizes = coder.encode_new([x.encode() for x in pieces])
+        ends = np.cumsum(sizes)
+        assert [flat[b - n : b].tolist() for b, n in zip(ends, sizes, strict=True)] == [tok.encode(x, add_special_tokens=False).ids for x in pieces]
+        data = np.frombuffer("".join(pieces[:5]).encode(), np.uint8)
+        assert coder.plain(data, np.concatenate(([0], np.cumsum([len(x.encode()) for x in pieces[:5]])))).tolist() == [True, False, vocabulary == BYTE, True, False]
+
+
 def test_chunks_refuse_other_pre_tokenizers():
     with pytest.raises(ValueError, match="byte-level"):
         chunk_bpe.ChunkStore(WORD)
