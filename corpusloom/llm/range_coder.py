@@ -48,8 +48,8 @@ class Model:
         self.after2 = np.zeros(1 << TABLE_BITS, np.int32)
         self.right = np.ones((RIGHT_CONTEXTS, 3), np.int64)
         self.right[:, 2] = 6
-        self.previous = np.zeros(lanes, np.int32)
-        self.slot = np.zeros(lanes, np.int32)
+        self.previous = np.zeros(lanes, np.int64)
+        self.slot = np.zeros(lanes, np.int64)
         self.step = 0
         self.edges = ((np.arange(alphabet + 1) << COUNT_BITS) // alphabet).astype(np.int32)
         self.back = back
@@ -68,7 +68,8 @@ class Model:
     def invert(self) -> None:
         """For a decoder, the id at each place between the first edge and the last."""
         if self.back:
-            self.at = np.repeat(np.arange(self.alphabet, dtype=np.int32), np.diff(self.edges))
+            small = np.uint16 if self.alphabet <= 1 << 16 else np.int32  # so that more of it stays in the cache
+            self.at = np.repeat(np.arange(self.alphabet, dtype=small), np.diff(self.edges))
 
     def reweigh(self) -> None:
         """Widths of the order-2 region and of both upper regions, in 256ths, by mixing context."""
@@ -79,24 +80,36 @@ class Model:
 
     def predict(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(order-2 id, order-1 id, width of the order-2 region, width of both upper regions)."""
-        self.held2, self.held1 = self.after2[self.slot], self.after1[self.previous]
+        self.held2, self.held1 = self.after2.take(self.slot), self.after1.take(self.previous)
         p2, p1 = self.held2 >> 3, self.held1 >> 3
-        self.context = ((self.held2 & 7) << 3) | (self.held1 & 7) | ((p1 == p2).view(np.int8).astype(np.int32) << 6)
-        return p2, p1, self.two[self.context], self.both[self.context]
+        self.runs2, self.runs1 = self.held2 & 7, self.held1 & 7
+        context = self.runs2 << 3
+        context |= self.runs1
+        context |= (p1 == p2).view(np.int8).astype(np.int32) << 6
+        self.context = context.astype(np.int64)
+        return p2, p1, self.two.take(self.context), self.both.take(self.context)
 
     def learn(self, ids: np.ndarray, hit2: np.ndarray, hit1: np.ndarray) -> None:
         """hit2, hit1: whether each order's guess was right."""
-        outcome = np.where(hit2, 0, 2 - hit1.view(np.int8))
-        self.right += np.bincount(self.context * 3 + outcome, minlength=3 * RIGHT_CONTEXTS).reshape(-1, 3)
+        outcome = self.context * 4
+        outcome += 2
+        outcome -= hit1.view(np.int8)
+        outcome[hit2] &= -4
+        self.right += np.bincount(outcome, minlength=4 * RIGHT_CONTEXTS).reshape(-1, 4)[:, :3]
         fresh = ids << 3
-        for table, at, held, hit in ((self.after2, self.slot, self.held2, hit2), (self.after1, self.previous, self.held1, hit1)):
-            run = np.minimum((held & 7) + 1, 7)
-            run *= hit
+        for table, at, run, hit in ((self.after2, self.slot, self.runs2, hit2), (self.after1, self.previous, self.runs1, hit1)):
+            run += 1
+            np.minimum(run, 7, out=run)
+            run *= hit.view(np.int8)
             run |= fresh
             table[at] = run
         self.unseen.append(ids)
-        self.slot = ((self.previous.astype(np.uint32) * np.uint32(0x9E3779B1) + ids.astype(np.uint32) * np.uint32(0x85EBCA77)) >> np.uint32(32 - TABLE_BITS)).view(np.int32)
-        self.previous = ids
+        slot = self.previous.astype(np.uint32)
+        slot *= np.uint32(0x9E3779B1)
+        slot += ids.view(np.uint32) * np.uint32(0x85EBCA77)
+        slot >>= np.uint32(32 - TABLE_BITS)
+        self.slot = slot.astype(np.int64)
+        self.previous = ids.astype(np.int64)
         self.step += 1
         if self.step in RECOUNT or self.step % 32 == 0:
             self.recount()
@@ -111,14 +124,20 @@ def lanes_of(n: int) -> tuple[int, int]:
 
 def interval(model: Model, s: np.ndarray, in2: np.ndarray, in1: np.ndarray, two: np.ndarray, both: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(begin, size) of each id's interval; in2, in1: it is coded as the order-2 or the order-1 guess."""
-    edge, rest = model.edges[s], 256 - both
-    size = (model.edges[s + 1] - edge) * rest
-    begin = edge * rest
+    at = s.astype(np.int64)
+    edge, rest = model.edges.take(at), 256 - both
+    at += 1
+    size = model.edges.take(at)
+    size -= edge
+    size *= rest
+    begin = edge
+    begin *= rest
     begin += both << COUNT_BITS
     at = np.flatnonzero(in2)
-    begin[at], size[at] = 0, two[at] << COUNT_BITS
+    begin[at], size[at] = 0, two.take(at) << COUNT_BITS
     at = np.flatnonzero(in1)
-    begin[at], size[at] = two[at] << COUNT_BITS, (both[at] - two[at]) << COUNT_BITS
+    low = two.take(at)
+    begin[at], size[at] = low << COUNT_BITS, (both.take(at) - low) << COUNT_BITS
     return begin.astype(np.uint64), size.astype(np.uint64)
 
 
@@ -208,8 +227,11 @@ def decode(block: bytes) -> np.ndarray:
         in2, low_part = top < two, top < both
         s = np.where(in2, p2, p1)
         rest = np.flatnonzero(~low_part)
-        some = both[rest]
-        s[rest] = model.at[np.minimum((value[rest] - (some << COUNT_BITS)) // (256 - some), len(model.at) - 1)]
+        some = both.take(rest)
+        place = value.take(rest)
+        place -= some << COUNT_BITS
+        place //= 256 - some
+        s[rest] = model.at.take(np.minimum(place, len(model.at) - 1))
         s = np.minimum(s, alphabet - 1)
         begin, size = interval(model, s, in2, low_part & ~in2, two, both)
         table[t] = s
