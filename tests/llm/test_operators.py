@@ -593,3 +593,41 @@ def test_pieces_give_the_librarys_ids_around_marks_case_and_special_tokens():
         ids, at = coder.encode(data, bounds)
         want = coder.tokenizer.encode_batch(held, add_special_tokens=False)
         assert [ids[a:b].tolist() for a, b in zip(at, at[1:], strict=False)] == [x.ids for x in want]
+
+
+def test_gru_tree_of_outputs():
+    r = np.random.default_rng(6)
+    share = 1 / np.arange(1, 5001)
+    words, branches = gru_lm.tree_of(share / share.sum())
+    sizes = np.diff(words)
+    assert sizes.max() <= gru_lm.TOGETHER and words[-1] == 5000 and branches[-1] == len(sizes)
+    # outputs that a token of this corpus meets; two levels of equal roots of the shares meet over 100
+    p = np.add.reduceat(share, words[:-1]) / share.sum()
+    of = np.repeat(np.arange(len(branches) - 1), np.diff(branches))
+    assert len(branches) - 1 + (p * (np.diff(branches)[of] + sizes * (sizes > 1))).sum() < 70
+    edges = np.array([0, 1, 2, 6, 9, 13, 14]), np.array([0, 1, 4, 6])
+    net = gru_lm.Network(4, edges=edges, hidden=3)
+    net.start(np.arange(1, 15) / 105)
+    states = r.normal(0, 1, (40, 3)).astype(np.float32)
+    total = sum(np.exp(net.outputs(states, np.full(40, t))) for t in range(14))
+    assert np.allclose(total, 1, atol=1e-5)
+    assert np.allclose([np.exp(net.outputs(np.zeros((1, 3), np.float32), np.array([t]))[0]) for t in range(14)], np.arange(1, 15) / 105, atol=1e-5)
+    targets = r.integers(0, 14, 40)
+    before = net.outputs(states, targets)
+    net.m[:, -1] += 300  # beyond what the exponential function takes
+    net.w[2:6, -1] -= 300
+    assert np.allclose(net.outputs(states, targets), before, atol=1e-3)
+    # slopes by state and by weight
+    for n in net.NAMES:
+        setattr(net, n, getattr(net, n).astype(np.float64))
+    states, got = states.astype(np.float64), {n: np.zeros_like(getattr(net, n)) for n in "cmw"}
+    _, slopes = net.outputs(states, targets, lambda name, rows, slope: got[name].__setitem__(rows, slope))
+    loss = lambda: -net.outputs(states, targets).sum()
+    for held, want in ((states, slopes), *((getattr(net, n), got[n]) for n in "cmw")):
+        for i in np.ndindex(held.shape):
+            own = held[i]
+            held[i] = own + 1e-5
+            up = loss()
+            held[i] = own - 1e-5
+            assert abs((up - loss()) / 2e-5 - want[i]) < 1e-4
+            held[i] = own
